@@ -1,10 +1,13 @@
 """Registered queries (Spark builders + DuckDB twins) and derived views."""
 
 
+MODULES = ("queries_sales", "queries_clean")
+
+
 def load_all():
     """Import every query module so that the registry is complete."""
     import importlib
-    for m in ("queries_sales",):
+    for m in MODULES:
         importlib.import_module(f"tabloom.plans.{m}")
     from tabloom.plans.registry import ORACLES, QUERIES
     return QUERIES, ORACLES

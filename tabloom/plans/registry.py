@@ -31,11 +31,19 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every floating column (the twins round the same columns)."""
+    """Round every floating column and write dates / timestamps as ISO text.
+
+    The DuckDB twins round the same columns and format dates with
+    ``strftime``, so both engines hand over identical plain values.
+    """
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             out.append(F.round(F.col(f.name), digits).alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            out.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            out.append(F.date_format(F.col(f.name), "yyyy-MM-dd HH:mm:ss").alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
