@@ -1,7 +1,7 @@
 """Registered queries (Spark builders + DuckDB twins) and derived views."""
 
 
-MODULES = ("queries_sales", "queries_clean")
+MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep")
 
 
 def load_all():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +26,36 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql, *views)
+            ORACLES[name] = positive_zero(with_views(sql, *views))
         return fn
     return deco
 
 
+def positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` of a DuckDB twin as ``(round(...) + 0.0)``.
+
+    DuckDB rounds tiny negatives to -0.0 where Spark gives 0.0; adding 0.0
+    turns -0.0 into 0.0 under IEEE rules, so both engines hand over the same
+    value.
+    """
+    out, i = [], 0
+    while True:
+        m = re.search(r"(?<![A-Za-z_])round\(", sql[i:])
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        start = i + m.start()
+        j, depth = i + m.end(), 1
+        while depth:
+            ch = sql[j]
+            depth += ch == "("
+            depth -= ch == ")"
+            j += 1
+        out.append(sql[i:start])
+        out.append("(round(" + positive_zero(sql[i + m.end():j - 1]) + ") + 0.0)")
+        i = j
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every floating column and write dates / timestamps as ISO text.
 
