@@ -18,7 +18,7 @@ __all__ = [
     "NUMERIC_TEXT", "to_number", "to_long", "nan_to_null", "inf_to_null", "is_numeric_type",
     "numeric_columns", "categorical_columns", "strptime_to_java", "WEEKDAY_JA", "WEEKDAY_EN",
     "WEEKDAY_EN_SHORT", "weekday_label", "sample_skewness", "sample_kurtosis", "null_safe_true",
-    "col_or_name", "is_date_like", "date_columns", "blank_to_null",
+    "col_or_name", "is_date_like", "date_columns", "blank_to_null", "INTEGER_TEXT",
 ]
 
 # A finite decimal number as text, as accepted by a lenient numeric parse.

@@ -1,7 +1,7 @@
 """Registered queries (Spark builders + DuckDB twins) and derived views."""
 
 
-MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep")
+MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep", "queries_profile")
 
 
 def load_all():
