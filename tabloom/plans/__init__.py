@@ -1,7 +1,8 @@
 """Registered queries (Spark builders + DuckDB twins) and derived views."""
 
 
-MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep", "queries_profile")
+MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep", "queries_profile",
+           "queries_merge")
 
 
 def load_all():

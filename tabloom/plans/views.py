@@ -150,4 +150,8 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named views as CTEs."""
     if not names:
         return sql
-    return "WITH " + ",\n".join(SQL_VIEWS[n] for n in names) + "\n" + sql
+    head = "WITH " + ",\n".join(SQL_VIEWS[n] for n in names)
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return head + ",\n" + body[4:].lstrip()
+    return head + "\n" + body
