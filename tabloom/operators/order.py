@@ -169,9 +169,12 @@ def top_k_per_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[C
     over ``salt_buckets`` tasks; the second pass ranks at most
     ``k * salt_buckets`` candidates per group.
     """
-    tb = list(tie_break) if tie_break else [c for c in df.columns]
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType,))]
+    tb = list(tie_break) if tie_break else hashable
     ords = list(order_by) + [F.col(c) for c in tb]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+    # the salt depends on the row only (not on partitioning), so a retried
+    # task puts every row in the same slice again
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(salt_buckets))
     s1 = (df.withColumn("__salt", salt)
           .withColumn("__r1", F.row_number().over(Window.partitionBy(*group_by, "__salt").orderBy(*ords)))
           .where(F.col("__r1") <= k).drop("__salt", "__r1"))

@@ -2,7 +2,7 @@
 
 
 MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep", "queries_profile",
-           "queries_merge")
+           "queries_merge", "queries_model")
 
 
 def load_all():

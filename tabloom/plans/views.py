@@ -155,3 +155,36 @@ def with_views(sql: str, *names: str) -> str:
     if body[:4].upper() == "WITH":
         return head + ",\n" + body[4:].lstrip()
     return head + "\n" + body
+
+
+# ---------------------------------------------------------------- run records
+# A run table derived from events: each event is a "run" of the experiment
+# named after its event type, with metrics, parameters, tags and comments
+# computed from the event's columns (so the table grows with the data).
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        F.concat(F.lit("exp_"), F.col("event_type")).alias("experiment"),
+        F.col("event_id").cast("string").alias("run_id"),
+        F.col("ts").alias("start_time"),
+        F.create_map(F.lit("k"), k, F.lit("user_id"), F.col("user_id").cast("string")).alias("params"),
+        F.create_map(F.lit("r2"), F.col("value") / 500.0, F.lit("rmse"), F.col("value"),
+                     F.lit("mae"), F.col("value") / 2).alias("metrics"),
+        F.create_map(F.lit("mlflow.user"), F.concat(F.lit("user_"), F.col("user_id").cast("string")),
+                     F.lit("mlflow.source.type"), F.lit("LOCAL"),
+                     F.lit("event_type"), F.col("event_type"),
+                     F.lit("k_bucket"), F.floor(k.cast("int") / 10).cast("string")).alias("tags"),
+        F.array(F.concat(F.lit("モデル: GBT "), F.col("event_type")),
+                F.concat(F.lit("note for user "), F.col("user_id").cast("string"))).alias("comments"),
+        F.col("props").alias("importance_json"),
+    )
+
+
+SQL_VIEWS["runs"] = """runs AS (
+        SELECT 'exp_' || event_type AS experiment, CAST(event_id AS VARCHAR) AS run_id, ts AS start_time,
+               value / 500.0 AS r2, value AS rmse, value / 2 AS mae, event_type, user_id,
+               json_extract_string(props, '$.k') AS k, props AS importance_json,
+               'モデル: GBT ' || event_type AS c1, 'note for user ' || CAST(user_id AS VARCHAR) AS c2
+        FROM events)"""
