@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import nan_to_null, numeric_columns
+from tabloom.operators.order import exact_quantiles
 
 ALIASES = {"standardize": "standard", "normalize": "minmax", "robust_scale": "robust"}
 BOUNDS_THRESHOLD = 1e-7  # fixed value: edge tolerance of the uniform quantile transform
@@ -134,16 +135,20 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
     def get(c, k):
         return row[slots[c][k]]
 
-    # quantile landmarks need n first (n_quantiles = min(1000, n))
-    q_aggs, q_refs = [], {}
+    # quantile landmarks need n first (n_quantiles = min(1000, n)); many
+    # probabilities at once are found by rank (a distributed sort) rather than
+    # by the percentile aggregate, which merges all distinct values in one task
+    q_refs, qrow = {}, {}
     for c, (m, extra) in methods.items():
         if m == "quantile":
             n = get(c, "n") or 0
             k = max(1, min(n_quantiles, n))
-            refs = list(np.linspace(0, 1, k)) if k > 1 else [0.0]
+            refs = [float(r) for r in np.linspace(0, 1, k)] if k > 1 else [0.0]
             q_refs[c] = refs
-            q_aggs.append(F.percentile(_x(c), F.array(*[F.lit(float(r)) for r in refs])).alias(c))
-    qrow = df.agg(*q_aggs).first() if q_aggs else None
+            if not exact:
+                qrow[c] = df.agg(F.percentile_approx(_x(c), F.array(*[F.lit(r) for r in refs]), accuracy)).first()[0]
+            else:
+                qrow[c] = exact_quantiles(df, c, refs) if n else None
 
     out = Scaler()
     for c, (m, extra) in methods.items():

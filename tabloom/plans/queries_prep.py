@@ -176,7 +176,37 @@ def scale_log(spark, sf):
     return rounded(out.join(bz.select("c_custkey", "c_acctbal_bin"), "c_custkey"))
 
 
-@query("quantile_uniform")
+def _quantile_uniform_sql(col: str, table: str, keys: list[str], k: int = 1000) -> str:
+    """DuckDB twin of the uniform quantile transform: exact landmarks, then the
+    average of the interpolation from below and from above (two ASOF joins)."""
+    import numpy as np
+    refs = [float(r) for r in np.linspace(0, 1, k)]
+    plist = "[" + ", ".join(repr(r) for r in refs) + "]"
+    ks = ", ".join(keys)
+    return f"""
+WITH q0 AS (SELECT quantile_cont({col}, {plist}) AS qs FROM {table} WHERE {col} IS NOT NULL),
+     lm AS (SELECT t.j - 1 AS j, qs[t.j] AS q, ({plist})[t.j] AS r FROM q0, range(1, {k + 1}) t(j)),
+     d AS (SELECT q, min(j) AS a, max(j) AS b FROM lm GROUP BY q),
+     x AS (SELECT {ks}, {col} AS v FROM {table}),
+     lo AS (SELECT x.*, d.b FROM x ASOF LEFT JOIN d ON x.v >= d.q),
+     hi AS (SELECT lo.*, d.a FROM lo ASOF LEFT JOIN d ON lo.v <= d.q),
+     e AS (SELECT hi.*, l0.q AS qb, l0.r AS rb, l1.q AS qb1, l1.r AS rb1, u0.q AS qa, u0.r AS ra, u1.q AS qa1, u1.r AS ra1
+           FROM hi LEFT JOIN lm l0 ON l0.j = hi.b LEFT JOIN lm l1 ON l1.j = hi.b + 1
+                   LEFT JOIN lm u0 ON u0.j = hi.a LEFT JOIN lm u1 ON u1.j = hi.a - 1),
+     y AS (SELECT e.*,
+             CASE WHEN b IS NULL THEN 0.0 WHEN b = {k - 1} THEN 1.0
+                  ELSE (rb1 - rb) / (qb1 - qb) * (v - qb) + rb END AS lpart,
+             CASE WHEN a IS NULL THEN -1.0 WHEN a = 0 THEN -0.0
+                  ELSE (ra - ra1) / (qa - qa1) * (qa - v) - ra END AS upart
+           FROM e)
+SELECT {ks}, round(CASE WHEN v IS NULL THEN NULL
+                        WHEN v - 1e-7 < (SELECT min(q) FROM lm) THEN 0.0
+                        WHEN v + 1e-7 > (SELECT max(q) FROM lm) THEN 1.0
+                        ELSE 0.5 * (lpart - upart) END, 6) AS {col}
+FROM y"""
+
+
+@query("quantile_uniform", _quantile_uniform_sql("l_extendedprice", "lineitem", _KEYS))
 def quantile_uniform(spark, sf):
     df = V.table(spark, sf, "lineitem").select(*_KEYS, "l_extendedprice")
     return rounded(H.scale(df, {"l_extendedprice": "quantile"}), 6)
