@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import modeling as M
 from tabloom.operators import runs as R
 from tabloom.plans import views as V
-from tabloom.plans.registry import query, rounded
+from tabloom.plans.registry import query, rnd, rounded
 from tabloom.session import scratch_table_path
 
 _SEED = 42
@@ -59,8 +59,8 @@ FROM preds GROUP BY 1"""
 def regression_metrics(spark, sf):
     p = M.add_split(V.preds(spark, sf), "l_orderkey", 0.2, _SEED)
     m = M.regression_metrics(p, "y", "yhat", group_by=["split"])
-    return m.select("split", "n", F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"),
-                    F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"))
+    return m.select("split", "n", rnd("r2", 6).alias("r2"), rnd("mae", 4).alias("mae"),
+                    rnd("mse", 2).alias("mse"), rnd("rmse", 4).alias("rmse"))
 
 
 @query("overfit_flags", """
@@ -79,9 +79,9 @@ FROM w""", ("preds",))
 def overfit_flags(spark, sf):
     p = M.add_split(V.preds(spark, sf), "l_orderkey", 0.2, _SEED)
     f = M.overfit_flags_df(M.regression_metrics(p, "y", "yhat", group_by=["split"]))
-    return f.select(F.round("train_r2", 6).alias("train_r2"), F.round("test_r2", 6).alias("test_r2"),
-                    F.round("r2_difference", 6).alias("r2_difference"),
-                    F.round("rmse_difference", 4).alias("rmse_difference"), "is_overfitting", "reasons")
+    return f.select(rnd("train_r2", 6).alias("train_r2"), rnd("test_r2", 6).alias("test_r2"),
+                    rnd("r2_difference", 6).alias("r2_difference"),
+                    rnd("rmse_difference", 4).alias("rmse_difference"), "is_overfitting", "reasons")
 
 
 # --- the modelling table: lineitem with part attributes --------------------------------
@@ -216,7 +216,7 @@ def latest_runs_per_experiment(spark, sf):
 SELECT experiment, round(avg(r2), 6) AS r2, round(avg(rmse), 4) AS rmse FROM runs GROUP BY 1""", ("runs",))
 def compare_runs(spark, sf):
     out = R.compare_runs(V.runs(spark, sf), ["r2", "rmse"])
-    return out.select("experiment", F.round("r2", 6).alias("r2"), F.round("rmse", 4).alias("rmse"))
+    return out.select("experiment", rnd("r2", 6).alias("r2"), rnd("rmse", 4).alias("rmse"))
 
 
 @query("importance_from_json", """

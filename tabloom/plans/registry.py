@@ -31,12 +31,34 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     return deco
 
 
-def positive_zero(sql: str) -> str:
-    """Wrap every ``round(...)`` of a DuckDB twin as ``(round(...) + 0.0)``.
+NUDGE = 1.000000000001  # fixed value: relative nudge applied before rounding
+
+
+def _split_top_comma(args: str) -> tuple[str, str | None]:
+    depth, quote = 0, False
+    last = None
+    for i, ch in enumerate(args):
+        if ch == "'":
+            quote = not quote
+        elif not quote:
+            depth += ch == "("
+            depth -= ch == ")"
+            if ch == "," and depth == 0:
+                last = i
+    if last is None:
+        return args, None
+    return args[:last], args[last + 1:]
 
-    DuckDB rounds tiny negatives to -0.0 where Spark gives 0.0; adding 0.0
-    turns -0.0 into 0.0 under IEEE rules, so both engines hand over the same
-    value.
+
+def positive_zero(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` of a DuckDB twin as ``(round((x) * NUDGE, d) + 0.0)``.
+
+    * Rounding ``x * (1 + 1e-12)`` instead of ``x`` moves the decision point
+      away from exact decimal ties (averages of 2-decimal values often land
+      exactly on ``...5``), where the last-bit differences between two
+      engines' sums would otherwise round in opposite directions.  The Spark
+      side (:func:`rnd`) applies the same nudge.
+    * Adding 0.0 turns DuckDB's -0.0 into 0.0, as Spark returns.
     """
     out, i = [], 0
     while True:
@@ -52,10 +74,21 @@ def positive_zero(sql: str) -> str:
             depth -= ch == ")"
             j += 1
         out.append(sql[i:start])
-        out.append("(round(" + positive_zero(sql[i + m.end():j - 1]) + ") + 0.0)")
+        x, d = _split_top_comma(sql[i + m.end():j - 1])
+        x = positive_zero(x)
+        if d is None:
+            out.append(f"(round(({x}) * {NUDGE!r}) + 0.0)")
+        else:
+            out.append(f"(round(({x}) * {NUDGE!r}, {d.strip()}) + 0.0)")
         i = j
 
 
+def rnd(c, digits: int = 4) -> Column:
+    """Spark side of the twins' rounding: ``round(c * NUDGE, digits)``."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * F.lit(NUDGE), digits)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every floating column and write dates / timestamps as ISO text.
 
@@ -65,7 +98,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
+            out.append(rnd(f.name, digits).alias(f.name))
         elif isinstance(f.dataType, T.DateType):
             out.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
