@@ -68,7 +68,7 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     """keep the first row of each duplicate group.
 
     Whole-row duplicates (empty ``subset``) are an aggregation.  With a subset
-    the first row by ``order_by`` is chosen with ``min_by`` on a struct, an
+    the first row by ``order_by`` is chosen with ``min`` over a struct, an
     aggregate with a map-side partial step, so a key holding a large share of
     the rows is pre-reduced on every partition before the shuffle instead of
     being sorted in one task (as a ``row_number`` window would be).
@@ -80,11 +80,11 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     if not rest:
         return df.dropDuplicates(subset)
     order = [F.col(c) if isinstance(c, str) else c for c in (order_by or rest)]
-    # Ties on the ordering are broken by the remaining columns, so the pick is
-    # deterministic whatever the partitioning.
-    key = F.struct(*order, *[F.col(c) for c in rest])
-    picked = (df.groupBy(*subset)
-              .agg(F.min_by(F.struct(*[F.col(c) for c in rest]), key).alias("__row")))
+    # min over a struct that starts with the ordering and ends with the row:
+    # the first row by ``order_by``, ties broken by the remaining columns, so
+    # the pick is deterministic whatever the partitioning.
+    key = F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(order)], *[F.col(c) for c in rest])
+    picked = df.groupBy(*subset).agg(F.min(key).alias("__row"))
     return picked.select(*[F.col(c) for c in subset], *[F.col(f"__row.{c}").alias(c) for c in rest]) \
         .select(*df.columns)
 

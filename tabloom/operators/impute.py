@@ -125,9 +125,15 @@ def fit_imputer(df: DataFrame, plan: dict[str, str], constants: dict[str, Any] |
     if (imp.ffill or imp.bfill) and not order_by:
         raise ValueError("ffill/bfill need order_by")
     if aggs:
-        row = base.agg(*aggs).first()
+        # means are code-generated hash aggregates, median/mode object
+        # aggregates: run the two kinds as separate aggregations (see
+        # profile.split_agg), each one pass over the data
+        from tabloom.operators.profile import split_agg
+        decl = [a for a, c in zip(aggs, keys) if plan[c] == "mean"]
+        imper = [a for a, c in zip(aggs, keys) if plan[c] != "mean"]
+        row = split_agg(base, decl, imper).first()
         for i, c in enumerate(keys):
-            imp.values[c] = row[i]
+            imp.values[c] = row[f"a{i}"]
     return imp
 
 

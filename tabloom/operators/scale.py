@@ -130,10 +130,15 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
             slot(c, "min", F.min(x))
         elif m == "quantile":
             slot(c, "n", F.count(x))
-    row = df.agg(*aggs).first() if aggs else None
+    imperative = {slots[c]["q"] for c in slots if "q" in slots[c]}
+    row = None
+    if aggs:
+        from tabloom.operators.profile import split_agg
+        row = split_agg(df, [a for i, a in enumerate(aggs) if i not in imperative],
+                        [a for i, a in enumerate(aggs) if i in imperative]).first()
 
     def get(c, k):
-        return row[slots[c][k]]
+        return row[f"s{slots[c][k]}"]
 
     # quantile landmarks need n first (n_quantiles = min(1000, n)); many
     # probabilities at once are found by rank (a distributed sort) rather than
