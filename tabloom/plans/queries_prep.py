@@ -9,6 +9,7 @@ from tabloom.operators import impute as I
 from tabloom.operators import order as O
 from tabloom.operators import profile as P
 from tabloom.operators import scale as H
+from tabloom.operators.modeling import GOLDEN, PLASTIC, add_folds
 from tabloom.plans import views as V
 from tabloom.plans.registry import query, rounded
 
@@ -263,15 +264,20 @@ def target_encode(spark, sf):
     return rounded(E.fit_target_mean(c, ["c_mktsegment"], "c_acctbal").apply(c).drop("c_acctbal"))
 
 
-@query("target_encode_oof", """
-WITH f AS (SELECT c_custkey, c_mktsegment, c_acctbal, c_custkey % 5 AS fold FROM customer),
+_U_CUST = (f"((CAST(c_custkey AS DOUBLE) * {GOLDEN!r} + {42 * PLASTIC!r}) - "
+           f"floor(CAST(c_custkey AS DOUBLE) * {GOLDEN!r} + {42 * PLASTIC!r}))")
+
+
+@query("target_encode_oof", f"""
+WITH f AS (SELECT c_custkey, c_mktsegment, c_acctbal, CAST(least(floor({_U_CUST} * 5), 4) AS INTEGER) AS fold
+           FROM customer),
      per AS (SELECT c_mktsegment, fold, sum(c_acctbal) AS s, count(c_acctbal) AS n FROM f GROUP BY 1, 2),
      tot AS (SELECT c_mktsegment, sum(s) AS ts, sum(n) AS tn FROM per GROUP BY 1)
 SELECT f.c_custkey, f.c_mktsegment, round((tot.ts - per.s) / (tot.tn - per.n), 4) AS c_mktsegment_target
 FROM f JOIN per ON f.c_mktsegment = per.c_mktsegment AND f.fold = per.fold
        JOIN tot ON f.c_mktsegment = tot.c_mktsegment""")
 def target_encode_oof(spark, sf):
-    c = V.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal",
-                                              F.pmod("c_custkey", F.lit(5)).alias("fold"))
+    c = add_folds(V.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"),
+                  "c_custkey", 5, 42)
     out = E.target_mean_out_of_fold(c, "c_mktsegment", "c_acctbal", "fold")
     return rounded(out.select("c_custkey", "c_mktsegment", "c_mktsegment_target"))
