@@ -104,27 +104,53 @@ class LabelCodes:
         return out
 
 
+def small_category_sets(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str] | None]:
+    """Sorted distinct non-null text values of each column that has at most
+    ``limit`` of them; ``None`` for columns with more.
+
+    Two jobs for any number of columns: an approximate distinct count (a
+    fixed-size sketch per column) picks the candidates, then one aggregation
+    collects their value sets.  A candidate's set is bounded by twice the
+    limit (the sketch errs by a few percent), so nothing unbounded is
+    collected; the exact size is checked on the collected set.
+    """
+    cols = list(columns)
+    if not cols:
+        return {}
+    approx = df.agg(*[F.approx_count_distinct(_key(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    cand = [c for i, c in enumerate(cols) if approx[f"d{i}"] <= 2 * limit]
+    out: dict[str, list[str] | None] = {c: None for c in cols}
+    if cand:
+        row = df.agg(*[F.collect_set(_key(c)).alias(f"s{i}") for i, c in enumerate(cand)]).first()
+        for i, c in enumerate(cand):
+            vals = row[f"s{i}"]
+            out[c] = sorted(vals) if len(vals) <= limit else None
+    return out
+
+
 def fit_label_codes(df: DataFrame, columns: Sequence[str], missing: str = "last",
                     max_literal: int = MAX_LITERAL, max_categories: int | None = None) -> LabelCodes:
     """E2 (``missing="last"``: missing gets code k) / E3 (``missing="null"``).
 
     Codes are 0..k-1 in sorted order of the text value.  ``max_categories``
-    (E3 uses 50) refuses columns with more distinct values.
+    (E3 uses 50) refuses columns with more distinct values.  Columns with up
+    to ``max_literal`` values are applied as literal maps; larger ones get a
+    distributed code table (dense ranks by the block scheme, no global window).
     """
     out = LabelCodes(missing=missing)
+    sets = small_category_sets(df, columns, max_literal)
     for c in columns:
-        vals = df.select(_key(c).alias("__key")).where(F.col("__key").isNotNull()).distinct()
-        probe = vals.limit(max_literal + 1).collect()
-        if max_categories is not None and len(probe) > max_categories:
-            raise TooManyCategories(f"{c}: more than {max_categories} categories")
-        if len(probe) <= max_literal:
-            keys = sorted(r["__key"] for r in probe)
+        keys = sets[c]
+        if keys is not None:
+            if max_categories is not None and len(keys) > max_categories:
+                raise TooManyCategories(f"{c}: more than {max_categories} categories")
             out.lookups[c] = Lookup(c, pairs={k: i for i, k in enumerate(keys)})
             out.sizes[c] = len(keys)
         else:
-            # dense codes over a large distinct set without a global window
-            coded = global_row_index(vals, ["__key"], "__val")
-            tbl = cut_lineage(coded)
+            if max_categories is not None and max_categories <= max_literal:
+                raise TooManyCategories(f"{c}: more than {max_categories} categories")
+            vals = df.select(_key(c).alias("__key")).where(F.col("__key").isNotNull()).distinct()
+            tbl = cut_lineage(global_row_index(vals, ["__key"], "__val"))
             out.lookups[c] = Lookup(c, table=tbl)
             out.sizes[c] = tbl.count()
     return out
@@ -134,11 +160,13 @@ def category_codes(df: DataFrame, max_distinct: int = 50) -> DataFrame:
     """E3 as used by the feature pipeline: text columns with <= 50 values -> codes
     (missing stays NULL); other text columns are dropped (F12)."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    keep, drop = [], []
-    for c in text:
-        n = df.select(F.count_distinct(c)).first()[0]
-        (keep if n <= max_distinct else drop).append(c)
-    codes = fit_label_codes(df, keep, missing="null")
+    sets = small_category_sets(df, text, max_distinct)
+    keep = [c for c in text if sets[c] is not None]
+    drop = [c for c in text if sets[c] is None]
+    codes = LabelCodes(missing="null")
+    for c in keep:
+        codes.lookups[c] = Lookup(c, pairs={k: i for i, k in enumerate(sets[c])})
+        codes.sizes[c] = len(sets[c])
     return codes.apply(df.drop(*drop))
 
 
@@ -165,14 +193,11 @@ def fit_onehot(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
     The category list is bounded (``max_categories``); more is an error, since
     every category becomes a column.
     """
-    cats = {}
+    sets = small_category_sets(df, columns, max_categories)
     for c in columns:
-        rows = (df.select(_key(c).alias("v")).where(F.col("v").isNotNull()).distinct()
-                .limit(max_categories + 1).collect())
-        if len(rows) > max_categories:
+        if sets[c] is None:
             raise TooManyCategories(f"{c}: more than {max_categories} categories for one-hot")
-        cats[c] = sorted(r["v"] for r in rows)
-    return OneHot(cats, drop_first)
+    return OneHot({c: sets[c] for c in columns}, drop_first)
 
 
 # --- E4 frequency, E5 target mean --------------------------------------------

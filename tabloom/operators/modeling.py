@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.exprs import date_columns, inf_to_null, nan_to_null
 from tabloom.operators.dates import parse_datetime
-from tabloom.operators.encode import LabelCodes, fit_label_codes
+from tabloom.operators.encode import LabelCodes, Lookup, small_category_sets
 from tabloom.session import cut_lineage
 
 # The two irrational multipliers of the key-based uniform draw.
@@ -171,6 +171,30 @@ def assemble(features: Sequence[str], handle_invalid: str = "keep") -> VectorAss
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid)
 
 
+TRAIN_ROWS_PER_PARTITION = 50_000
+
+
+def training_input(df: DataFrame) -> DataFrame:
+    """Prepare the input of one or more fits.
+
+    * Checkpointed into the shared checkpoint folder: every fit of a loop
+      re-reads the prepared rows instead of recomputing their lineage, and a
+      lost executor recomputes from the checkpoint files.
+    * Spread over the cores: tree training passes over its input once per
+      level and round, so a table that arrives in fewer partitions than cores
+      (one small file) would leave cores idle, while splitting a tiny table
+      only adds task overhead.  The target is one partition per 50k rows, at
+      most the default parallelism; large inputs already have more
+      partitions and are not touched.
+    """
+    ck = cut_lineage(df)
+    par = ck.sparkSession.sparkContext.defaultParallelism
+    want = max(1, min(par, ck.count() // TRAIN_ROWS_PER_PARTITION))
+    if ck.rdd.getNumPartitions() < want:
+        ck = cut_lineage(ck.repartition(want))
+    return ck
+
+
 def train_gbt(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
               seed: int = 42) -> PipelineModel:
     """M5: assemble + GBT regressor fitted on ``df``."""
@@ -204,6 +228,7 @@ def feature_importance(model: PipelineModel, features: Sequence[str], top_k: int
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
                    fold_col: str = "fold", k: int | None = None, seed: int = 42) -> DataFrame:
     """M9: per-fold test metrics of models trained on the other folds."""
+    df = training_input(df)
     k = k or df.select(F.max(fold_col)).first()[0] + 1
     rows = []
     for f in range(k):
@@ -247,7 +272,7 @@ def _cv_score(df, features, label, params, fold_col, k, seed, scoring):
 def simple_tuning(df: DataFrame, features: Sequence[str], label: str, space: dict[str, Any], n_trials: int = 10,
                   key: str = "row_key", k: int = 3, seed: int = 42, scoring: str = "rmse") -> DataFrame:
     """Every trial scored by k-fold CV; trials ranked (min rmse / max r2)."""
-    data = cut_lineage(add_folds(df, key, k, seed, "__fold"))
+    data = training_input(add_folds(df, key, k, seed, "__fold"))
     rows = []
     for i, p in enumerate(sample_params(space, n_trials, seed)):
         rows.append((i, json.dumps(p, sort_keys=True), _cv_score(data, features, label, p, "__fold", k, seed, scoring)))
@@ -286,7 +311,7 @@ def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[st
     ``"best_mean"`` the most frequent winner.  A final model is fitted on all
     data.
     """
-    data = cut_lineage(add_folds(add_folds(df, key, outer, seed, "__outer"), key, inner, seed + 1, "__inner"))
+    data = training_input(add_folds(add_folds(df, key, outer, seed, "__outer"), key, inner, seed + 1, "__inner"))
     cands = sample_params(space, n_trials, seed)
     better = (lambda a, b: a > b) if scoring == "r2" else (lambda a, b: a < b)
     scores, winners = [], []
@@ -319,6 +344,7 @@ def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[st
 def staged_selection(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
                      params: dict[str, Any] | None = None, seed: int = 42) -> DataFrame:
     """Train on all features, keep the max(1, n//2) most important, retrain, compare."""
+    train = training_input(train)
     m1 = train_gbt(train, features, label, params, seed)
     r1 = regression_metrics(predict(m1, test), label).first()
     imp = m1.stages[-1].featureImportances.toArray().tolist()
@@ -364,14 +390,15 @@ def fit_feature_pipeline(df: DataFrame, target: str | None = None, max_categorie
     dcols = [c for c in date_columns(df) if c != target and c not in keep]
     text = [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.StringType) and f.name not in dcols and f.name != target and f.name not in keep]
-    n = df.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first() if text else {}
-    small = [c for c in text if n[c] <= max_categories * 2]
-    # confirm the small ones exactly (bounded by the probe limit)
-    coded, dropped = [], [c for c in text if c not in small]
-    for c in small:
-        k = len(df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_categories + 1).collect())
-        (coded if k <= max_categories else dropped).append(c)
-    codes = fit_label_codes(df, coded, missing="null") if coded else None
+    sets = small_category_sets(df, text, max_categories)  # two jobs for all text columns
+    coded = [c for c in text if sets[c] is not None]
+    dropped = [c for c in text if sets[c] is None]
+    codes = None
+    if coded:
+        codes = LabelCodes(missing="null")
+        for c in coded:
+            codes.lookups[c] = Lookup(c, pairs={k: i for i, k in enumerate(sets[c])})
+            codes.sizes[c] = len(sets[c])
     return FeaturePipeline(dcols, codes, dropped, target)
 
 

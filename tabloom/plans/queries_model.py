@@ -135,7 +135,7 @@ _SPACE = {"n_estimators": (10, 30), "max_depth": [3, 4, 5], "learning_rate": (0.
 def gbt_train_predict(spark, sf):
     """M4-M7 + M16: fit on the train split, save and reload, predict the test split."""
     data, feats = _prepared(spark, sf)
-    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+    train, test = M.training_input(data.where(F.col("split") == "train")), data.where(F.col("split") == "test")
     model = M.train_gbt(train, feats, "l_extendedprice", _TRAIN_PARAMS)
     path = scratch_table_path(spark, "gbt")
     M.save_model(model, path, {"features": feats, "target": "l_extendedprice", "params": _TRAIN_PARAMS})
@@ -148,6 +148,7 @@ def gbt_train_predict(spark, sf):
 def train_test_metrics(spark, sf):
     """M5-M8: metrics of train and test predictions and the overfitting verdict."""
     data, feats = _prepared(spark, sf)
+    data = M.training_input(data)
     model = M.train_gbt(data.where(F.col("split") == "train"), feats, "l_extendedprice", _TRAIN_PARAMS)
     m = M.regression_metrics(M.predict(model, data), "l_extendedprice", group_by=["split"])
     flags = M.overfit_flags_df(m)
@@ -157,7 +158,8 @@ def train_test_metrics(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     data, feats = _prepared(spark, sf)
-    model = M.train_gbt(data.where(F.col("split") == "train"), feats, "l_extendedprice", _TRAIN_PARAMS)
+    model = M.train_gbt(M.training_input(data.where(F.col("split") == "train")), feats, "l_extendedprice",
+                        _TRAIN_PARAMS)
     return rounded(M.feature_importance(model, feats, 10))
 
 
