@@ -163,6 +163,12 @@ def inf_to_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 # --- T: text -------------------------------------------------------------
 
+def stringify(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Columns as text (NULL stays NULL; 5.0 prints as ``5.0``)."""
+    cols = set(columns) if columns else set(df.columns)
+    return df.select(*[F.col(c).cast("string").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def replace_text(df: DataFrame, find: str, repl: str, columns: Sequence[str] | None = None,
                  rows: str | Column | None = None) -> DataFrame:
     """Literal replacement in the chosen columns (default all).

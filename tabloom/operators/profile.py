@@ -71,6 +71,26 @@ def missing_report(df: DataFrame) -> DataFrame:
     return _long(row, items)
 
 
+def overview(df: DataFrame, columns: Sequence[str] | None = None, head: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(class summary, first ``head`` rows of the chosen columns).
+
+    The summary has one row: rows, columns, numeric / categorical / with-missing
+    column counts (one aggregation).  The head is a ``limit`` -- the preview
+    itself is the feature.
+    """
+    cols = list(columns) if columns else list(df.columns)
+    sub = df.select(*cols)
+    num = set(numeric_columns(sub))
+    row = sub.agg(F.count(F.lit(1)).alias("n_rows"),
+                  *[F.max(F.col(c).isNull().cast("int")).alias(f"__m{i}") for i, c in enumerate(cols)])
+    summary = row.select(
+        "n_rows", F.lit(len(cols)).alias("n_columns"),
+        F.lit(sum(1 for c in cols if c in num)).alias("n_numeric"),
+        F.lit(sum(1 for c in cols if c not in num)).alias("n_categorical"),
+        sum((F.coalesce(F.col(f"__m{i}"), F.lit(0)) for i in range(len(cols))), F.lit(0)).alias("n_with_missing"))
+    return summary, sub.limit(head)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct (non-null) and non-null counts of the categorical columns."""
     num = set(numeric_columns(df))
@@ -140,6 +160,17 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bo
     return _long(row, items)
 
 
+def pre_transform_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """H7: min, max, mean, median, std, skewness and missing per numeric column,
+    with ``nonpositive_min`` flagging columns a log transform would need to shift."""
+    cols = list(columns) if columns else numeric_columns(df, include_bool=False)
+    st = numeric_stats(df, cols, exact=exact)
+    miss = missing_report(df.select(*cols)).select("column", "missing")
+    return (st.join(miss, "column")
+            .select("column", "min", "max", "mean", "median", "std", "skewness", "missing",
+                    skew_label(F.col("skewness")).alias("skew"), (F.col("min") <= 0).alias("nonpositive_min")))
+
+
 def skew_label(skew: Column) -> Column:
     """> 1 right-skewed, < -1 left-skewed, else near normal."""
     return F.when(skew > 1, "right").when(skew < -1, "left").otherwise("normal")

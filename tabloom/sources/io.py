@@ -141,6 +141,11 @@ def table_schema(df: DataFrame) -> DataFrame:
         "column string, dtype string, nullable boolean")
 
 
+def table_ddl(spark: SparkSession, name: str) -> str:
+    """The DDL text of a catalog table."""
+    return spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
+
+
 def table_count(df: DataFrame) -> int:
     """S11."""
     return df.count()
