@@ -149,7 +149,12 @@ def japanese_holidays(start_year: int, end_year: int) -> list[tuple[dt.date, str
     return sorted((d, n) for d, n in out.items() if start_year <= d.year <= end_year)
 
 
+_ROWS_CACHE: dict[tuple[int, int], list] = {}
+
+
 def holidays_table(spark: SparkSession, start_year: int = 1955, end_year: int = 2099) -> DataFrame:
     """``holidays(date DATE, holiday_name STRING)`` dimension for a year range."""
-    rows = japanese_holidays(start_year, end_year)
-    return spark.createDataFrame(rows, "date date, holiday_name string")
+    key = (start_year, end_year)
+    if key not in _ROWS_CACHE:
+        _ROWS_CACHE[key] = japanese_holidays(start_year, end_year)
+    return spark.createDataFrame(_ROWS_CACHE[key], "date date, holiday_name string")

@@ -137,16 +137,11 @@ def backward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
     return _fill(df, columns, order_by, partition_by, nblocks, forward=False)
 
 
-def global_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index",
-                     nblocks: int | None = None, start: int = 0) -> DataFrame:
-    """Dense 0-based (or ``start``-based) row position by ``order_by`` without a global window.
-
-    Per-block ``row_number`` plus the running count of the earlier blocks; the
-    per-block counts are a table of at most ``nblocks`` rows.
-    """
+def _indexed(df: DataFrame, order_by: Sequence[str], name: str, nblocks: int | None,
+             start: int) -> tuple[DataFrame, int]:
     order = list(order_by)
     b = with_blocks(df, order, nblocks)
-    counts = sorted((r[0], r[1]) for r in b.groupBy("__block").count().collect())
+    counts = sorted((r[0], r[1]) for r in b.groupBy("__block").count().collect())  # <= nblocks rows
     offsets, run = {}, 0
     for blk, cnt in counts:
         offsets[blk] = run
@@ -154,9 +149,20 @@ def global_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_in
     nb = (max(offsets) + 1) if offsets else 1
     off_arr = F.array(*[F.lit(offsets.get(i, 0)).cast("bigint") for i in range(nb)])
     w = Window.partitionBy("__block").orderBy(*[F.col(c) for c in order])
-    return b.select(*[F.col(c) for c in df.columns],
-                    (F.row_number().over(w) - 1 + F.element_at(off_arr, F.col("__block") + 1) + start)
-                    .cast("bigint").alias(name))
+    out = b.select(*[F.col(c) for c in df.columns],
+                   (F.row_number().over(w) - 1 + F.element_at(off_arr, F.col("__block") + 1) + start)
+                   .cast("bigint").alias(name))
+    return out, run
+
+
+def global_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index",
+                     nblocks: int | None = None, start: int = 0) -> DataFrame:
+    """Dense 0-based (or ``start``-based) row position by ``order_by`` without a global window.
+
+    Per-block ``row_number`` plus the running count of the earlier blocks; the
+    per-block counts are a table of at most ``nblocks`` rows.
+    """
+    return _indexed(df, order_by, name, nblocks, start)[0]
 
 
 def top_k_per_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[Column], k: int,
@@ -204,11 +210,9 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], nblocks:
     """
     vals = df.select(F.col(column).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v"))
-    idx = global_row_index(vals, ["__v"], "__i", nblocks)
-    n = idx.agg(F.max("__i")).first()[0]
-    if n is None:
+    idx, n = _indexed(vals, ["__v"], "__i", nblocks, 0)
+    if n == 0:
         return [None for _ in probs]
-    n = n + 1
     pos = set()
     for p in probs:
         h = p * (n - 1)

@@ -49,8 +49,12 @@ def column_classes(df: DataFrame) -> DataFrame:
     return _long(row, items)
 
 
-def missing_report(df: DataFrame) -> DataFrame:
-    """Missing count and percent per column (NaN counts as missing)."""
+def missing_report(df: DataFrame, only_missing: bool = False) -> DataFrame:
+    """Missing count and percent per column (NaN counts as missing).
+
+    ``only_missing`` keeps just the columns that have missing values, as the
+    reference's listing does.
+    """
     t = _types(df)
     num = set(numeric_columns(df))
 
@@ -68,7 +72,8 @@ def missing_report(df: DataFrame) -> DataFrame:
         items.append((c, [("missing", m),
                           ("missing_pct", F.when(F.col("__n") > 0, m * 100.0 / F.col("__n"))),
                           ("column_class", F.lit("numeric" if c in num else "categorical"))]))
-    return _long(row, items)
+    out = _long(row, items)
+    return out.where(F.col("missing") > 0) if only_missing else out
 
 
 def overview(df: DataFrame, columns: Sequence[str] | None = None, head: int = 5) -> tuple[DataFrame, DataFrame]:
