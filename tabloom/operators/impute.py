@@ -1,7 +1,8 @@
 """Missing-value handling (I1-I12) as fit / apply.
 
-``fit_imputer`` computes every statistic of every column in one aggregation
-and returns plain values; ``Imputer.apply`` is one projection of
+``fit_imputer`` computes the statistics of all columns together (means in one
+aggregation; medians and modes with bounded memory on any column, see
+``order.quantiles`` / ``order.modes``) and returns plain values; ``Imputer.apply`` is one projection of
 ``coalesce(col, literal)``.  The same fitted object fills the prediction batch
 (I12), so train and serve never disagree.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import nan_to_null, numeric_columns
-from tabloom.operators.order import backward_fill, forward_fill
+from tabloom.operators.order import backward_fill, forward_fill, modes, quantiles
 
 NUMERIC_METHODS = {"mean", "median", "mode", "constant", "ffill", "bfill", "drop", "zero"}
 CATEGORICAL_METHODS = {"mode", "constant", "ffill", "bfill", "drop", "unknown"}
@@ -87,23 +88,15 @@ def fit_imputer(df: DataFrame, plan: dict[str, str], constants: dict[str, Any] |
     num = set(numeric_columns(df))
     drop_subset = list(drop_missing) + [c for c, m in plan.items() if m == "drop"]
     base = df.na.drop(subset=drop_subset) if drop_subset else df
-    aggs, keys = [], []
+    keys = []
     imp = Imputer(drop_subset=drop_subset, order_by=list(order_by), partition_by=list(partition_by))
     for c, m in plan.items():
-        x = _clean(c, t[c])
         if m in ("mean", "median") and c not in num:
             raise ValueError(f"{m} needs a numeric column: {c}")
-        if m == "mean":
-            aggs.append(F.avg(x).alias(f"a{len(keys)}"))
-            keys.append(c)
-            imp.as_double.add(c)
-        elif m == "median":
-            aggs.append((F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, F.lit(0.5), accuracy))
-                        .alias(f"a{len(keys)}"))
+        if m in ("mean", "median"):
             keys.append(c)
             imp.as_double.add(c)
         elif m == "mode":
-            aggs.append(F.mode(x, deterministic=True).alias(f"a{len(keys)}"))
             keys.append(c)
         elif m == "constant":
             v = constants[c]
@@ -124,16 +117,18 @@ def fit_imputer(df: DataFrame, plan: dict[str, str], constants: dict[str, Any] |
             raise ValueError(f"unknown method {m!r}")
     if (imp.ffill or imp.bfill) and not order_by:
         raise ValueError("ffill/bfill need order_by")
-    if aggs:
-        # means are code-generated hash aggregates, median/mode object
-        # aggregates: run the two kinds as separate aggregations (see
-        # profile.split_agg), each one pass over the data
-        from tabloom.operators.profile import split_agg
-        decl = [a for a, c in zip(aggs, keys) if plan[c] == "mean"]
-        imper = [a for a, c in zip(aggs, keys) if plan[c] != "mean"]
-        row = split_agg(base, decl, imper).first()
-        for i, c in enumerate(keys):
-            imp.values[c] = row[f"a{i}"]
+    means = [c for c in keys if plan[c] == "mean"]
+    medians = [c for c in keys if plan[c] == "median"]
+    mode_cols = [c for c in keys if plan[c] == "mode"]
+    if means:
+        row = base.agg(*[F.avg(_clean(c, t[c])).alias(f"m{i}") for i, c in enumerate(means)]).first()
+        imp.values.update({c: row[f"m{i}"] for i, c in enumerate(means)})
+    if medians:
+        qs = quantiles(base, medians, [0.5], exact, accuracy)
+        imp.values.update({c: qs[c][0] for c in medians})
+    if mode_cols:
+        clean = base.select(*[_clean(c, t[c]).alias(c) for c in mode_cols])
+        imp.values.update(modes(clean, mode_cols))
     return imp
 
 

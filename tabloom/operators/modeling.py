@@ -78,9 +78,8 @@ def time_split_cutoff(df: DataFrame, time_col: str, test_size: float = 0.2, exac
     """M2: epoch-second cut-off so that the last ``test_size`` share by time is test."""
     t = {f.name: f.dataType for f in df.schema.fields}[time_col]
     e = F.unix_micros(parse_datetime(time_col, t).cast("timestamp")).cast("double") / 1e6
-    p = F.lit(1.0 - test_size)
-    agg = F.percentile(e, p) if exact else F.percentile_approx(e, p, 100000)
-    return df.agg(agg).first()[0]
+    from tabloom.operators.order import quantiles
+    return quantiles(df.select(e.alias("__e")), ["__e"], [1.0 - test_size], exact)["__e"][0]
 
 
 def add_time_split(df: DataFrame, time_col: str, test_size: float = 0.2, name: str = "split",

@@ -227,3 +227,68 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], nblocks:
         hi = min(lo + 1, n - 1)
         out.append(got[lo] + (h - lo) * (got[hi] - got[lo]))
     return out
+
+
+# Largest number of distinct values for which the value-count map of Spark's
+# exact ``percentile`` / ``mode`` aggregate (merged in one task) is accepted.
+MAX_EXACT_MAP = 1_000_000
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True,
+              accuracy: int = 100000, max_map: int = MAX_EXACT_MAP) -> dict[str, list]:
+    """Interpolated quantiles of several numeric columns (NaN ignored).
+
+    ``exact=False``: one ``percentile_approx`` aggregation (fixed-size sketches).
+    ``exact=True``: a fixed-size distinct-count sketch decides per column --
+    up to ``max_map`` distinct values the exact ``percentile`` aggregate (its
+    value-count map is bounded by that), above it the rank-based
+    :func:`exact_quantiles` (a distributed sort; no task holds the values).
+    """
+    cols = list(columns)
+    if not cols:
+        return {}
+
+    def x(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    if not exact:
+        row = df.agg(*[F.percentile_approx(x(c), parr, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
+    nd = df.agg(*[F.approx_count_distinct(x(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] <= max_map]
+    out: dict[str, list] = {}
+    if small:
+        row = df.agg(*[F.percentile(x(c), parr).alias(f"q{i}") for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
+    for c in cols:
+        if c not in out:
+            out[c] = exact_quantiles(df, c, probs)
+    return out
+
+
+def modes(df: DataFrame, columns: Sequence[str], max_map: int = MAX_EXACT_MAP) -> dict[str, object]:
+    """Most frequent non-null value of each column; ties -> the smallest value.
+
+    Columns with at most ``max_map`` distinct values (fixed-size sketch) use
+    Spark's ``mode`` aggregate in one pass; larger ones a grouped count
+    (partial counts combined map-side, so a hot value costs one row per
+    partition) followed by ``min_by`` over the counts.
+    """
+    cols = list(columns)
+    if not cols:
+        return {}
+    nd = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] <= max_map]
+    out: dict[str, object] = {}
+    if small:
+        row = df.agg(*[F.mode(F.col(c), deterministic=True).alias(f"m{i}") for i, c in enumerate(small)]).first()
+        out.update({c: row[f"m{i}"] for i, c in enumerate(small)})
+    for c in cols:
+        if c not in out:
+            counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+            out[c] = counts.agg(F.min_by(F.col(c), F.struct(-F.col("__n"), F.col(c)))).first()[0]
+    return out

@@ -1,11 +1,11 @@
 """Profiling, statistics, rankings, histograms and sales summaries.
 
-Design rules: all statistics of all columns are computed together -- one
-code-generated aggregation for counts, sums and moments plus, when needed,
-one object aggregation for percentiles (partial aggregates are combined
-map-side, so the shuffle carries one small row per partition); rankings are
-computed only on already aggregated results; histograms bin with an
-expression and aggregate, so no raw row ever leaves its partition.
+Design rules: counts, sums and moments of all columns are one
+code-generated aggregation (partial aggregates combined map-side, so the
+shuffle carries one small row per partition); quantiles and modes go through
+``order.quantiles`` / ``order.modes``, which keep memory bounded on any column;
+rankings are computed only on already aggregated results; histograms bin
+with an expression and aggregate, so no raw row ever leaves its partition.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tabloom.functions.exprs import (
     WEEKDAY_JA, numeric_columns, sample_kurtosis, sample_skewness, to_number,
 )
 from tabloom.operators.clean import filter_rows_by_search, valid_sales
-from tabloom.operators.order import rank_small
+from tabloom.operators.order import quantiles, rank_small
 
 
 def _types(df: DataFrame) -> dict[str, T.DataType]:
@@ -109,52 +109,30 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
 
 # --- P2 / P3 / P7 / H7 ---------------------------------------------------------
 
-def split_agg(df: DataFrame, declarative: list[Column], imperative: list[Column]) -> DataFrame:
-    """One-row result of two aggregations over ``df``.
-
-    Sums, moments, min/max are code-generated hash aggregates; percentile
-    and mode are object aggregates.  Mixed in one ``agg`` Spark runs all of
-    them in the interpreted object-hash path (about twice as slow here), so
-    the two kinds are computed separately and the two one-row results joined.
-    """
-    if not imperative:
-        return df.agg(*declarative)
-    if not declarative:
-        return df.agg(*imperative)
-    return df.agg(*declarative).crossJoin(df.agg(*imperative))
-
-
-def _pct(c: Column, ps: list[float], exact: bool, accuracy: int) -> Column:
-    if exact:
-        return F.percentile(c, F.array(*[F.lit(p) for p in ps]))
-    return F.percentile_approx(c, F.array(*[F.lit(p) for p in ps]), accuracy)
-
-
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
                   accuracy: int = 100000) -> DataFrame:
     """Count, mean, median, std, var (ddof 1), min, max, range, q1, q3, IQR,
     skewness and excess kurtosis (bias-corrected) of each numeric column.
 
-    One pass for all columns (moments and percentiles as two aggregations,
-    see :func:`split_agg`).  ``exact`` uses Spark's exact
-    interpolated ``percentile`` (memory grows with the number of *distinct*
-    values per column); ``exact=False`` uses ``percentile_approx``.
+    Moments of all columns in one code-generated aggregation; quartiles by
+    :func:`tabloom.operators.order.quantiles` (exact by default, bounded
+    memory on any column; ``exact=False`` uses ``percentile_approx``).
     """
     t = _types(df)
     cols = list(columns) if columns else numeric_columns(df, include_bool=False)
-    aggs, pcts = [], []
+    aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                  F.var_samp(x).alias(f"var{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
                  sample_skewness(x).alias(f"sk{i}"), sample_kurtosis(x).alias(f"ku{i}")]
-        pcts.append(_pct(x, [0.25, 0.5, 0.75], exact, accuracy).alias(f"q{i}"))
     del t
-    row = split_agg(df, aggs, pcts)
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact, accuracy)
+    row = df.agg(*aggs)
     items = []
     for i, c in enumerate(cols):
-        q = F.col(f"q{i}")
+        q = F.array(*[F.lit(v).cast("double") for v in qs[c]])
         items.append((c, [
             ("count", F.col(f"n{i}")), ("mean", F.col(f"mean{i}")), ("median", q[1]),
             ("std", F.col(f"std{i}")), ("var", F.col(f"var{i}")), ("min", F.col(f"min{i}")),
@@ -194,18 +172,19 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     txt = [c for c in cols if c not in num]
     parts = []
     if num:
-        aggs, pcts = [], []
+        aggs = []
         for i, c in enumerate(num):
             x = F.col(c).cast("double")
             x = F.when(~F.isnan(x), x)
             aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-            pcts.append(_pct(x, [0.25, 0.5, 0.75], exact, 100000).alias(f"q{i}"))
-        row = split_agg(df, aggs, pcts)
+        qs = quantiles(df, num, [0.25, 0.5, 0.75], exact)
+        row = df.agg(*aggs)
         parts.append(_long(row, [(c, [
             ("count", F.col(f"n{i}")), ("mean", F.col(f"m{i}")), ("std", F.col(f"s{i}")),
-            ("min", F.col(f"lo{i}")), ("q25", F.col(f"q{i}")[0]), ("q50", F.col(f"q{i}")[1]),
-            ("q75", F.col(f"q{i}")[2]), ("max", F.col(f"hi{i}")),
+            ("min", F.col(f"lo{i}")), ("q25", F.lit(qs[c][0]).cast("double")),
+            ("q50", F.lit(qs[c][1]).cast("double")), ("q75", F.lit(qs[c][2]).cast("double")),
+            ("max", F.col(f"hi{i}")),
             ("unique", F.lit(None).cast("bigint")), ("top", F.lit(None).cast("string")),
             ("freq", F.lit(None).cast("bigint"))]) for i, c in enumerate(num)]))
     if txt:

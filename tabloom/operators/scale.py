@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import nan_to_null, numeric_columns
-from tabloom.operators.order import exact_quantiles
+from tabloom.operators.order import exact_quantiles, quantiles
 
 ALIASES = {"standardize": "standard", "normalize": "minmax", "robust_scale": "robust"}
 BOUNDS_THRESHOLD = 1e-7  # fixed value: edge tolerance of the uniform quantile transform
@@ -124,22 +124,19 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
             slot(c, "min", F.min(x))
             slot(c, "max", F.max(x))
         elif m == "robust":
-            p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            slot(c, "q", F.percentile(x, p) if exact else F.percentile_approx(x, p, accuracy))
+            slot(c, "n", F.count(x))
         elif m == "log":
             slot(c, "min", F.min(x))
         elif m == "quantile":
             slot(c, "n", F.count(x))
-    imperative = {slots[c]["q"] for c in slots if "q" in slots[c]}
-    row = None
-    if aggs:
-        from tabloom.operators.profile import split_agg
-        row = split_agg(df, [a for i, a in enumerate(aggs) if i not in imperative],
-                        [a for i, a in enumerate(aggs) if i in imperative]).first()
+    row = df.agg(*aggs).first() if aggs else None
 
     def get(c, k):
         return row[f"s{slots[c][k]}"]
 
+    robust = [c for c, (m, _e) in methods.items() if m == "robust"]
+    rq = quantiles(df, robust, [0.25, 0.5, 0.75], exact, accuracy) if robust else {}
+
     # quantile landmarks need n first (n_quantiles = min(1000, n)); many
     # probabilities at once are found by rank (a distributed sort) rather than
     # by the percentile aggregate, which merges all distinct values in one task
@@ -162,7 +159,7 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
         elif m == "minmax":
             out.plan[c] = (m, {"min": get(c, "min"), "max": get(c, "max")})
         elif m == "robust":
-            q = get(c, "q") or [None, None, None]
+            q = rq.get(c) or [None, None, None]
             out.plan[c] = (m, {"q1": q[0], "median": q[1], "q3": q[2]})
         elif m == "log":
             mn = get(c, "min")

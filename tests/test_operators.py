@@ -497,3 +497,17 @@ def test_update_delete_where(spark):
     df = spark.createDataFrame([(1, 5), (2, None)], "id int, x int")
     assert rows(S.update_where(df, {"x": 0}, "x > 3")) == [(1, 0), (2, None)]
     assert rows(S.delete_where(df, "x > 3")) == [(2, None)]
+
+
+def test_quantiles_and_modes_large_cardinality_paths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=500).round(4)
+    df = spark.createDataFrame([(float(v), int(i % 7) if i % 11 else 3) for i, v in enumerate(x)], "x double, k int")
+    small = O.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"]
+    big = O.quantiles(df, ["x"], [0.25, 0.5, 0.75], max_map=10)["x"]  # forces the rank-based path
+    assert np.allclose(small, big) and np.allclose(big, np.percentile(x, [25, 50, 75]))
+    m_small = O.modes(df, ["k"])["k"]
+    m_big = O.modes(df, ["k"], max_map=2)["k"]  # forces the grouped two-stage path
+    assert m_small == m_big == pd.Series([int(i % 7) if i % 11 else 3 for i in range(500)]).mode().min()
+    tie = spark.createDataFrame([(3,), (1,), (3,), (1,)], "v int")
+    assert O.modes(tie, ["v"], max_map=1)["v"] == 1
