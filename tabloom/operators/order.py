@@ -231,7 +231,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], nblocks:
 
 # Largest number of distinct values for which the value-count map of Spark's
 # exact ``percentile`` / ``mode`` aggregate (merged in one task) is accepted.
-MAX_EXACT_MAP = 1_000_000
+MAX_EXACT_MAP = 100_000
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True,
