@@ -8,7 +8,7 @@ from tabloom.functions.calendar import japanese_holidays
 from tabloom.functions.exprs import WEEKDAY_JA
 from tabloom.operators import dates as D
 from tabloom.plans import views as V
-from tabloom.plans.registry import query, rounded
+from tabloom.plans.registry import nullable_ints_as_double, query, rounded
 
 _JA = "[" + ", ".join(f"'{w}'" for w in WEEKDAY_JA) + "]"
 
@@ -34,13 +34,15 @@ def weekday_name(spark, sf):
 
 @query("date_parts", """
 SELECT o_orderkey, order_date,
-       CAST(year(try_strptime(order_date, '%Y/%m/%d')) AS INTEGER) AS order_date_year,
-       CAST(month(try_strptime(order_date, '%Y/%m/%d')) AS INTEGER) AS order_date_month,
-       CAST(day(try_strptime(order_date, '%Y/%m/%d')) AS INTEGER) AS order_date_day
+       CAST(year(try_strptime(order_date, '%Y/%m/%d')) AS DOUBLE) AS order_date_year,
+       CAST(month(try_strptime(order_date, '%Y/%m/%d')) AS DOUBLE) AS order_date_month,
+       CAST(day(try_strptime(order_date, '%Y/%m/%d')) AS DOUBLE) AS order_date_day
 FROM order_dates_text""", ("order_dates_text",))
 def date_parts(spark, sf):
     t = V.order_dates_text(spark, sf).select("o_orderkey", "order_date")
-    return D.add_year_month_day(t, "order_date", fmt="%Y/%m/%d")
+    # parts of unparseable dates are missing: integers with gaps, as doubles
+    return nullable_ints_as_double(D.add_year_month_day(t, "order_date", fmt="%Y/%m/%d"),
+                                   ["order_date_year", "order_date_month", "order_date_day"])
 
 
 @query("expand_date_features", """

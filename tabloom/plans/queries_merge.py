@@ -8,7 +8,7 @@ from tabloom.operators import merge as J
 from tabloom.operators import order as O
 from tabloom.operators import timeseries as W
 from tabloom.plans import views as V
-from tabloom.plans.registry import query, rounded
+from tabloom.plans.registry import nullable_ints_as_double, query, rounded
 
 
 def _customers_with_null_key(spark, sf):
@@ -22,22 +22,24 @@ _NULL_CUST = ("SELECT c_custkey, c_name, c_nationkey FROM customer "
 
 
 @query("left_join_nullsafe", f"""
-SELECT k.o_orderkey, k.o_custkey, round(k.o_totalprice, 4) AS o_totalprice, c.c_custkey, c.c_name, c.c_nationkey
+SELECT k.o_orderkey, CAST(k.o_custkey AS DOUBLE) AS o_custkey, round(k.o_totalprice, 4) AS o_totalprice,
+       CAST(c.c_custkey AS DOUBLE) AS c_custkey, c.c_name, CAST(c.c_nationkey AS DOUBLE) AS c_nationkey
 FROM key_nulls k LEFT JOIN ({_NULL_CUST}) c ON k.o_custkey IS NOT DISTINCT FROM c.c_custkey""", ("key_nulls",))
 def left_join_nullsafe(spark, sf):
     o = V.key_nulls(spark, sf).select("o_orderkey", "o_custkey", "o_totalprice")
     out = J.left_join(o, _customers_with_null_key(spark, sf), "o_custkey", "c_custkey",
                       null_keys_match=True, parse_dates=False)
-    return rounded(out)
+    return rounded(nullable_ints_as_double(out, ["o_custkey", "c_custkey", "c_nationkey"]))
 
 
 @query("left_join_plain", f"""
-SELECT k.o_orderkey, k.o_custkey, round(k.o_totalprice, 4) AS o_totalprice, c.c_custkey, c.c_name, c.c_nationkey
+SELECT k.o_orderkey, CAST(k.o_custkey AS DOUBLE) AS o_custkey, round(k.o_totalprice, 4) AS o_totalprice,
+       CAST(c.c_custkey AS DOUBLE) AS c_custkey, c.c_name, CAST(c.c_nationkey AS DOUBLE) AS c_nationkey
 FROM key_nulls k LEFT JOIN ({_NULL_CUST}) c ON k.o_custkey = c.c_custkey""", ("key_nulls",))
 def left_join_plain(spark, sf):
     o = V.key_nulls(spark, sf).select("o_orderkey", "o_custkey", "o_totalprice")
     out = J.left_join(o, _customers_with_null_key(spark, sf), "o_custkey", "c_custkey", parse_dates=False)
-    return rounded(out)
+    return rounded(nullable_ints_as_double(out, ["o_custkey", "c_custkey", "c_nationkey"]))
 
 
 def _shipments(spark, sf):
@@ -50,13 +52,14 @@ def _shipments(spark, sf):
 WITH ship AS (SELECT CAST(l_shipdate AS DATE) AS ship_date, sum(l_quantity) AS qty, count(*) AS n_orders
               FROM lineitem GROUP BY 1)
 SELECT strftime(d.day, '%Y-%m-%d %H:%M:%S') AS date, round(d.sales, 4) AS sales, d.n_orders,
-       strftime(s.ship_date, '%Y-%m-%d %H:%M:%S') AS ship_date, round(s.qty, 4) AS qty, s.n_orders AS n_orders_ship
+       strftime(s.ship_date, '%Y-%m-%d %H:%M:%S') AS ship_date, round(s.qty, 4) AS qty,
+       CAST(s.n_orders AS DOUBLE) AS n_orders_ship
 FROM daily_orders d LEFT JOIN ship s ON CAST(d.day AS TIMESTAMP) = CAST(s.ship_date AS TIMESTAMP)""",
        ("daily_orders",))
 def auto_date_join(spark, sf):
     out = J.auto_date_join({"orders": V.daily_orders(spark, sf).withColumnRenamed("day", "date"),
                             "ship": _shipments(spark, sf)})
-    return rounded(out)
+    return rounded(nullable_ints_as_double(out, ["n_orders_ship"]))
 
 
 @query("merge_on_key_full", """
@@ -77,12 +80,13 @@ def merge_on_key_full(spark, sf):
 @query("merge_horizontal", """
 WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation),
      r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos FROM region)
-SELECT n.n_nationkey, n.n_name, n.n_regionkey, r.r_regionkey, r.r_name, coalesce(n.pos, r.pos) AS row_pos
+SELECT n.n_nationkey, n.n_name, n.n_regionkey, CAST(r.r_regionkey AS DOUBLE) AS r_regionkey, r.r_name,
+       coalesce(n.pos, r.pos) AS row_pos
 FROM n FULL JOIN r ON n.pos = r.pos""")
 def merge_horizontal(spark, sf):
     out = J.merge_horizontal({"nation": V.table(spark, sf, "nation"), "region": V.table(spark, sf, "region")},
                              {"nation": ["n_nationkey"], "region": ["r_regionkey"]})
-    return out.withColumnRenamed("__pos", "row_pos")
+    return nullable_ints_as_double(out.withColumnRenamed("__pos", "row_pos"), ["r_regionkey"])
 
 
 @query("merge_vertical", """

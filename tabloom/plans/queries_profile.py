@@ -5,7 +5,7 @@ from __future__ import annotations
 from tabloom.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT
 from tabloom.operators import profile as P
 from tabloom.plans import views as V
-from tabloom.plans.registry import query, rounded
+from tabloom.plans.registry import nullable_ints_as_double, query, rounded
 from tabloom.sources import io as S
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -42,15 +42,15 @@ _CUST_TXT = ["c_name", "c_mktsegment"]
 SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
        round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50,
        round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max,
-       CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq
+       CAST(NULL AS DOUBLE) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS DOUBLE) AS freq
 FROM customer""" for c in _CUST_NUM] + [f"""
 SELECT '{c}', (SELECT count({c}) FROM customer), NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-       (SELECT count(DISTINCT {c}) FROM customer),
+       CAST((SELECT count(DISTINCT {c}) FROM customer) AS DOUBLE),
        (SELECT {c} FROM customer WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-       (SELECT count(*) FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1)"""
+       CAST((SELECT count(*) FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS DOUBLE)"""
                                         for c in _CUST_TXT]))
 def describe_all(spark, sf):
-    return rounded(P.describe_all(V.table(spark, sf, "customer")))
+    return rounded(nullable_ints_as_double(P.describe_all(V.table(spark, sf, "customer")), ["unique", "freq"]))
 
 
 @query("frequency_ranking", """

@@ -110,3 +110,20 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def c(name: str) -> Column:
     return F.col(name)
+
+
+def nullable_ints_as_double(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Integer output columns that can hold NULL, as doubles.
+
+    pandas (the reference's table type) stores integers with gaps as floats;
+    the DuckDB twins cast the same columns, so both engines hand over the same
+    values whatever way they are compared.  ``columns`` defaults to every
+    integral column.
+    """
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.IntegralType) and (columns is None or f.name in columns):
+            out.append(F.col(f.name).cast("double").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
