@@ -156,3 +156,15 @@ def target_sentinel(df: DataFrame, target: str, sentinel: float = -999999.0) ->
     """I11 (option): missing target -> sentinel, row count kept."""
     t = _types(df)
     return df.withColumn(target, F.coalesce(_clean(target, t[target]).cast("double"), F.lit(sentinel)))
+
+
+def missing_indicators(df: DataFrame, columns: Sequence[str] | None = None, suffix: str = "_is_missing") -> DataFrame:
+    """``<col>_is_missing`` (0/1) for each column, added before imputation.
+
+    Spark's trees do not route missing values on their own (the reference's
+    learner did), so a model fed imputed columns keeps the information that a
+    value was absent through these flags.  NaN counts as missing.
+    """
+    t = _types(df)
+    cols = list(columns) if columns else list(df.columns)
+    return df.withColumns({f"{c}{suffix}": _clean(c, t[c]).isNull().cast("int") for c in cols})

@@ -511,3 +511,18 @@ def test_quantiles_and_modes_large_cardinality_paths(spark):
     assert m_small == m_big == pd.Series([int(i % 7) if i % 11 else 3 for i in range(500)]).mode().min()
     tie = spark.createDataFrame([(3,), (1,), (3,), (1,)], "v int")
     assert O.modes(tie, ["v"], max_map=1)["v"] == 1
+
+
+def test_fitted_statistics_do_not_move_with_the_batch(spark):
+    a = spark.createDataFrame([(1.0,), (3.0,)], "x double")
+    b = spark.createDataFrame([(100.0,), (None,)], "x double")
+    sc = H.fit_scaler(a, {"x": "standard"})
+    imp = I.fit_imputer(a, {"x": "median"})
+    assert [r[0] for r in sc.apply(b).collect()] == [99.0, None]  # (100 - 2) / 1
+    assert [r[0] for r in imp.apply(b).collect()] == [100.0, 2.0]
+
+
+def test_missing_indicators(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), None)], "x double, s string")
+    out = I.missing_indicators(df)
+    assert [tuple(r) for r in out.select("x_is_missing", "s_is_missing").collect()] == [(0, 0), (1, 1)]
