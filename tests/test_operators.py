@@ -518,7 +518,7 @@ def test_fitted_statistics_do_not_move_with_the_batch(spark):
     b = spark.createDataFrame([(100.0,), (None,)], "x double")
     sc = H.fit_scaler(a, {"x": "standard"})
     imp = I.fit_imputer(a, {"x": "median"})
-    assert [r[0] for r in sc.apply(b).collect()] == [99.0, None]  # (100 - 2) / 1
+    assert [r[0] for r in sc.apply(b).collect()] == [98.0, None]  # (100 - 2) / 1
     assert [r[0] for r in imp.apply(b).collect()] == [100.0, 2.0]
 
 
