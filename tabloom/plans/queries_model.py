@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators import modeling as M
+from tabloom.operators import params as PR
 from tabloom.operators import runs as R
 from tabloom.plans import views as V
 from tabloom.plans.registry import query, rnd, rounded
@@ -133,14 +134,20 @@ _SPACE = {"n_estimators": (10, 30), "max_depth": [3, 4, 5], "learning_rate": (0.
 
 @query("gbt_train_predict")
 def gbt_train_predict(spark, sf):
-    """M4-M7 + M16: fit on the train split, save and reload, predict the test split."""
-    data, feats = _prepared(spark, sf)
-    train, test = M.training_input(data.where(F.col("split") == "train")), data.where(F.col("split") == "test")
-    model = M.train_gbt(train, feats, "l_extendedprice", _TRAIN_PARAMS)
+    """M4-M7 + M15 + M16: fit the feature pipeline and the model on the train
+    split, save both, reload them and score the raw test rows (no refit)."""
+    raw = M.add_split(model_table(spark, sf), "l_orderkey", 0.2, _SEED)
+    raw_train, raw_test = raw.where(F.col("split") == "train"), raw.where(F.col("split") == "test")
+    fp = M.fit_feature_pipeline(raw_train.drop("split"), target="l_extendedprice")
+    train = fp.apply(raw_train.drop("split"))
+    feats = [c for c in train.columns if c not in ("l_orderkey", "l_linenumber", "l_extendedprice")]
+    model = M.train_gbt(M.training_input(train), feats, "l_extendedprice", _TRAIN_PARAMS)
     path = scratch_table_path(spark, "gbt")
     M.save_model(model, path, {"features": feats, "target": "l_extendedprice", "params": _TRAIN_PARAMS})
+    PR.save_params(fp, f"{path}/feature_pipeline")
     loaded, meta = M.load_model(path)
-    pred = M.predict(loaded, test.select(*meta["features"], "l_orderkey", "l_linenumber", "l_extendedprice"))
+    fp2 = PR.load_params(spark, f"{path}/feature_pipeline")
+    pred = M.predict(loaded, fp2.apply(raw_test.drop("split")))
     return rounded(pred.select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction"))
 
 

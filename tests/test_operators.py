@@ -526,3 +526,17 @@ def test_missing_indicators(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None)], "x double, s string")
     out = I.missing_indicators(df)
     assert [tuple(r) for r in out.select("x_is_missing", "s_is_missing").collect()] == [(0, 0), (1, 1)]
+
+
+def test_fitted_objects_round_trip(spark, tmp_path):
+    from tabloom.operators import params as PR
+    df = spark.createDataFrame([(1.0, "a", "2024-01-01"), (None, "b", "2024-02-03"), (5.0, None, None)],
+                               "x double, k string, d string")
+    objs = [I.fit_imputer(df, {"x": "median", "k": "mode"}), H.fit_scaler(df, {"x": "robust"}),
+            E.fit_onehot(df, ["k"]), E.fit_label_codes(df, ["k"]), E.fit_frequency(df, ["k"]),
+            M.fit_feature_pipeline(df, target="x")]
+    for i, o in enumerate(objs):
+        path = str(tmp_path / f"p{i}")
+        PR.save_params(o, path)
+        back = PR.load_params(spark, path)
+        assert sorted(map(tuple, back.apply(df).collect()), key=str) == sorted(map(tuple, o.apply(df).collect()), key=str)
