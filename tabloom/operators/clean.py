@@ -318,11 +318,25 @@ def _convert(c: str, dtype: T.DataType, to: str, fmt: str | None) -> Column:
     raise ValueError(f"unknown target type {to!r}")
 
 
-def convert_types(df: DataFrame, plan: dict[str, str], fmt: dict[str, str] | None = None) -> DataFrame:
-    """A3: coerce columns (``{col: 'int'|'float'|'text'|'datetime'|'category'}``); bad -> NULL."""
+def convert_types(df: DataFrame, plan: dict[str, str], fmt: dict[str, str] | None = None,
+                  errors: str = "coerce") -> DataFrame:
+    """A3: coerce columns (``{col: 'int'|'float'|'text'|'datetime'|'category'}``).
+
+    ``errors="coerce"``: bad values become NULL.  ``errors="keep_column"``
+    (the reference's integer conversion): a column with any present value
+    that does not convert is left as it was; the check for all columns is one
+    counting aggregation.
+    """
     t = _types(df)
     fmt = fmt or {}
-    return df.withColumns({c: _convert(c, t[c], to, fmt.get(c)) for c, to in plan.items()})
+    conv = {c: _convert(c, t[c], to, fmt.get(c)) for c, to in plan.items()}
+    if errors == "keep_column":
+        bad = df.agg(*[F.sum((F.col(c).isNotNull() & e.isNull()).cast("bigint")).alias(c)
+                       for c, e in conv.items()]).first()
+        conv = {c: e for c, e in conv.items() if not bad[c]}
+    elif errors != "coerce":
+        raise ValueError(errors)
+    return df.withColumns(conv) if conv else df
 
 
 def conversion_errors(df: DataFrame, plan: dict[str, str], fmt: dict[str, str] | None = None) -> DataFrame:

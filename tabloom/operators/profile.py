@@ -231,8 +231,24 @@ def frequency_ranking(df: DataFrame, column: str, top_n: int = 10, include_missi
                     "n_unique", F.greatest(F.col("n_unique") - F.lit(top_n), F.lit(0)).alias("n_other")))
 
 
+def column_summary(df: DataFrame, column: str) -> DataFrame:
+    """P5 header: total rows, missing count and rate, and the analysis type
+    (``numeric`` / ``categorical``, or ``empty`` when every value is missing)."""
+    kind = "numeric" if column in numeric_columns(df, include_bool=False) else "categorical"
+    t = _types(df)[column]
+    miss = F.col(column).isNull()
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        miss = miss | F.isnan(column)
+    r = df.agg(F.count(F.lit(1)).alias("total"), F.sum(miss.cast("bigint")).alias("missing"))
+    return r.select(F.lit(column).alias("column"), "total", F.coalesce("missing", F.lit(0)).alias("missing"),
+                    F.when(F.col("total") > 0, F.col("missing") * 100.0 / F.col("total")).alias("missing_rate"),
+                    F.when(F.coalesce(F.col("missing"), F.lit(0)) == F.col("total"), "empty")
+                    .otherwise(kind).alias("analysis_type"))
+
+
 def analyze_column(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
-    """P5: numeric statistics or a frequency ranking by column class."""
+    """P5: numeric statistics or a frequency ranking by column class (see
+    :func:`column_summary` for the total / missing / empty header)."""
     if column in numeric_columns(df, include_bool=False):
         return numeric_stats(df, [column])
     return frequency_ranking(df, column, top_n)

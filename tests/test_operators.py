@@ -540,3 +540,19 @@ def test_fitted_objects_round_trip(spark, tmp_path):
         PR.save_params(o, path)
         back = PR.load_params(spark, path)
         assert sorted(map(tuple, back.apply(df).collect()), key=str) == sorted(map(tuple, o.apply(df).collect()), key=str)
+
+
+def test_integer_conversion_keeps_column_on_failure(spark):
+    df = spark.createDataFrame([("1", "1"), ("2.5", "2"), (None, "x")], "a string, b string")
+    out = C.convert_types(df, {"a": "int", "b": "float"}, errors="keep_column")
+    assert [tuple(r) for r in out.collect()] == [("1", "1"), ("2.5", "2"), (None, "x")]
+    ok = C.convert_types(df.where("a = '1'"), {"a": "int"}, errors="keep_column")
+    assert ok.schema["a"].dataType.simpleString() == "bigint"
+
+
+def test_column_summary_empty_and_numeric(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, float("nan"))], "e string, x double")
+    e = P.column_summary(df, "e").first()
+    x = P.column_summary(df, "x").first()
+    assert (e["analysis_type"], e["missing"], e["missing_rate"]) == ("empty", 2, 100.0)
+    assert (x["analysis_type"], x["missing"]) == ("numeric", 1)
