@@ -123,3 +123,15 @@ def scatter_points(spark, sf):
     """(x, y) chart points; the text axis gets sorted codes with jitter."""
     o = V.table(spark, sf, "orders")
     return rounded(P.scatter_data(o, "o_orderpriority", "o_totalprice", seed=42))
+
+
+@query("column_summary", """
+SELECT 'o_custkey' AS "column", count(*) AS total,
+       CAST(sum(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+       round(sum(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END) * 100.0 / count(*), 4) AS missing_rate,
+       CASE WHEN sum(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END) = count(*) THEN 'empty' ELSE 'numeric' END
+         AS analysis_type
+FROM key_nulls""", ("key_nulls",))
+def column_summary(spark, sf):
+    """P5 header: total, missing, missing rate and analysis type of a column."""
+    return rounded(P.column_summary(V.key_nulls(spark, sf), "o_custkey"))
