@@ -93,9 +93,14 @@ def add_holiday_flag(df: DataFrame, column: str, name: str = "holiday", holidays
     """
     spark = df.sparkSession
     t = _types(df)
-    hol = holidays if holidays is not None else holidays_table(spark)
-    hol = hol.select(F.col("date").cast("date").alias("__hdate"),
-                     F.col(hol.columns[1]).alias("__hname")).dropDuplicates(["__hdate"])
+    if holidays is None:
+        # the generated calendar has one row per date by construction
+        hol = holidays_table(spark).select(F.col("date").alias("__hdate"), F.col("holiday_name").alias("__hname"))
+    else:
+        # a user table may repeat a date: keep one row per date so the join
+        # cannot multiply input rows (a small aggregation of the dimension)
+        hol = holidays.select(F.col("date").cast("date").alias("__hdate"),
+                              F.col(holidays.columns[1]).alias("__hname")).dropDuplicates(["__hdate"])
     key = F.to_date(parse_datetime(column, t[column], fmt))
     j = df.withColumn("__day", key).join(F.broadcast(hol), F.col("__day") == F.col("__hdate"), "left")
     out = [F.col(c) for c in df.columns] + [F.col("__hdate").isNotNull().alias(name)]

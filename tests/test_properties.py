@@ -54,3 +54,29 @@ def test_top_k_per_group_matches_sort(spark, groups, k):
     want = sorted((g, i) for g, sub in pdf.sort_values(["v", "id"], ascending=[False, True]).groupby("g")
                   for i in sub["id"].head(k))
     assert got == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["2024-01-01", "2024-01-02", "bad", None]),
+                               st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=40))
+def test_group_sum_attach_matches_pandas(spark, rows):
+    from tabloom.operators import merge as J
+    df = spark.createDataFrame([(i, d, None if v is None else float(v)) for i, (d, v) in enumerate(rows)],
+                               "i long, d string, v double")
+    got = {r["i"]: r["v_daily_sum"] for r in J.group_sum_attach(df, "d", ["v"], fmt="%Y-%m-%d").collect()}
+    pdf = pd.DataFrame(rows, columns=["d", "v"])
+    pdf["ts"] = pd.to_datetime(pdf["d"], format="%Y-%m-%d", errors="coerce")
+    sums = pdf.groupby("ts")["v"].sum()
+    for i, ts in enumerate(pdf["ts"]):
+        want = None if pd.isna(ts) else float(sums[ts])
+        assert got[i] == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(0, 9)), min_size=1, max_size=50))
+def test_drop_duplicates_keep_first_matches_pandas(spark, rows):
+    from tabloom.operators import clean as C
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    got = sorted(tuple(r) for r in C.drop_duplicates(df, ["k"], order_by=["o", "v"]).collect())
+    pdf = pd.DataFrame(rows, columns=["k", "o", "v"]).sort_values(["o", "v"]).drop_duplicates(["k"], keep="first")
+    assert got == sorted(map(tuple, pdf.itertuples(index=False)))
