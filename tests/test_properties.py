@@ -80,3 +80,17 @@ def test_drop_duplicates_keep_first_matches_pandas(spark, rows):
     got = sorted(tuple(r) for r in C.drop_duplicates(df, ["k"], order_by=["o", "v"]).collect())
     pdf = pd.DataFrame(rows, columns=["k", "o", "v"]).sort_values(["o", "v"]).drop_duplicates(["k"], keep="first")
     assert got == sorted(map(tuple, pdf.itertuples(index=False)))
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(0, 9))), min_size=1,
+                     max_size=50), nblocks=st.integers(1, 7))
+def test_partitioned_ffill_matches_pandas(spark, rows, nblocks):
+    df = spark.createDataFrame([(g, i, None if v is None else float(v)) for i, (g, v) in enumerate(rows)],
+                               "g string, i long, v double")
+    got = {r["i"]: r["v"] for r in O.forward_fill(df, ["v"], ["i"], ["g"], nblocks=nblocks).collect()}
+    pdf = pd.DataFrame([(g, i, v) for i, (g, v) in enumerate(rows)], columns=["g", "i", "v"], dtype=object)
+    pdf["v"] = pdf["v"].astype("float64")
+    pdf["f"] = pdf.groupby("g")["v"].ffill()
+    for i, f in zip(pdf["i"], pdf["f"]):
+        assert got[i] == (None if pd.isna(f) else f)
