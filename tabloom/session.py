@@ -73,16 +73,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins.  Only when it is unset (local tests) a
-    private scratch folder is created and registered.
+    private scratch folder is created and registered.  The folder is
+    registered with the context once (each registration would add a new
+    sub-folder).
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = os.path.join(tempfile.mkdtemp(prefix="tabloom-ckpt-"), "ckpt")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
