@@ -32,8 +32,15 @@ def _names(cols: Sequence[str]) -> list[str]:
     return [c for c in cols]
 
 
+# Largest number of blocks: the block of a row is found by a binary search
+# written as literal comparisons, so the expression grows with the boundary
+# count; 4096 blocks keep it at ~8k small nodes.
+MAX_BLOCKS = 4096
+
+
 def default_blocks(df: DataFrame) -> int:
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    """One block per shuffle partition, between 8 and :data:`MAX_BLOCKS`."""
+    return min(MAX_BLOCKS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
 def range_boundaries(df: DataFrame, order_by: Sequence[str], nblocks: int, seed: int = 42,
@@ -81,7 +88,7 @@ def block_expr(df: DataFrame, order_by: Sequence[str], boundaries: list[tuple])
 
 def with_blocks(df: DataFrame, order_by: Sequence[str], nblocks: int | None = None,
                 name: str = "__block") -> DataFrame:
-    nb = nblocks or default_blocks(df)
+    nb = min(MAX_BLOCKS, nblocks or default_blocks(df))
     bounds = range_boundaries(df, order_by, nb)
     return df.withColumn(name, block_expr(df, order_by, bounds))
 
