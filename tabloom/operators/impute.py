@@ -19,10 +19,6 @@ from pyspark.sql import types as T
 from tabloom.functions.exprs import nan_to_null, numeric_columns
 from tabloom.operators.order import backward_fill, forward_fill, modes, quantiles
 
-NUMERIC_METHODS = {"mean", "median", "mode", "constant", "ffill", "bfill", "drop", "zero"}
-CATEGORICAL_METHODS = {"mode", "constant", "ffill", "bfill", "drop", "unknown"}
-
-
 def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 

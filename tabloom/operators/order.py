@@ -28,10 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _names(cols: Sequence[str]) -> list[str]:
-    return [c for c in cols]
-
-
 # Largest number of blocks: the block of a row is found by a binary search
 # written as literal comparisons, so the expression grows with the boundary
 # count; 4096 blocks keep it at ~8k small nodes.

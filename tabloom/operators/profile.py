@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import (
-    WEEKDAY_JA, numeric_columns, sample_kurtosis, sample_skewness, to_number,
+    WEEKDAY_JA, numeric_columns, sample_kurtosis, sample_skewness,
 )
 from tabloom.operators.clean import filter_rows_by_search, valid_sales
 from tabloom.operators.order import quantiles, rank_small
@@ -442,7 +442,3 @@ def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))
     a = after.agg(F.count(F.lit(1)).alias("rows_after"))
     return b.crossJoin(a).withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
-
-
-def numeric_typed(df: DataFrame, column: str) -> Column:
-    return to_number(column, _types(df)[column])
