@@ -135,3 +135,27 @@ FROM key_nulls""", ("key_nulls",))
 def column_summary(spark, sf):
     """P5 header: total, missing, missing rate and analysis type of a column."""
     return rounded(P.column_summary(V.key_nulls(spark, sf), "o_custkey"))
+
+
+@query("stream_scored_events", """
+WITH med AS (SELECT median(value) AS m FROM events_gaps),
+     f AS (SELECT event_id, coalesce(value, m) AS v FROM events_gaps, med)
+SELECT event_id, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 4) AS value FROM f""", ("events_gaps",))
+def stream_scored_events(spark, sf):
+    """Fitted imputer + scaler (fitted on the batch table) applied to the same
+    table read as a stream: no refit on the stream, exactly-once file sink."""
+    import uuid
+
+    from tabloom.operators import scale as H
+    from tabloom.session import scratch_table_path
+    from tabloom.streaming.apply import apply_fitted, write_table_stream
+
+    batch = V.events_gaps(spark, sf).select("event_id", "value")
+    imp = I.fit_imputer(batch, {"value": "median"})
+    sc = H.fit_scaler(imp.apply(batch), {"value": "standard"})
+    stream = V.gaps_of(V.table_stream(spark, sf, "events")).select("event_id", "value")
+    out = scratch_table_path(spark, "stream_scored")
+    q = write_table_stream(apply_fitted(stream, [imp.apply, sc.apply]), out, f"scored_{uuid.uuid4().hex[:8]}",
+                           checkpoint=f"{out}_checkpoint")
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out))

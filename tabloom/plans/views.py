@@ -70,9 +70,19 @@ def li_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def gaps_of(events: DataFrame) -> DataFrame:
+    """The ``events_gaps`` projection of any events frame (batch or stream)."""
+    return events.withColumn("value", F.when(F.pmod("event_id", F.lit(4)) == 0, F.col("value")))
+
+
 def events_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.withColumn("value", F.when(F.pmod("event_id", F.lit(4)) == 0, F.col("value")))
+    return gaps_of(table(spark, sf_dir, "events"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table read as a file stream (the glob names the one file)."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def order_dates_text(spark: SparkSession, sf_dir: str) -> DataFrame:
