@@ -70,3 +70,26 @@ def test_sales_by_weekday_ranks_only_aggregated_rows(spark):
     from tabloom.plans import views as V
     p = plan(P.sales_by_weekday(V.sales(spark, SMALL)))
     assert single_partition_only_over_aggregates(p)
+
+
+def test_moments_are_one_scan(spark):
+    li = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    p = plan(P.numeric_stats(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    assert p.count("FileScan parquet") == 1
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    """One key with a third of the rows: results stay exact and the work is
+    pre-aggregated (group sums, dedup) or salted (top-k) before the shuffle."""
+    from pyspark.sql import functions as F2
+    n = 3000
+    df = spark.range(n).select(
+        F2.when(F2.col("id") % 3 == 0, F2.lit("hot")).otherwise(F2.concat(F2.lit("k"), (F2.col("id") % 97).cast("string"))).alias("k"),
+        F2.col("id"), (F2.col("id") % 10).cast("double").alias("v"))
+    sums = J.group_sum_attach(df.withColumn("d", F2.lit("2024-01-01")), "d", ["v"], grain="day")
+    assert sums.select(F2.sum("v_daily_sum")).first()[0] == float(n) * df.agg(F2.sum("v")).first()[0]
+    first = C.drop_duplicates(df, ["k"], order_by=["id"])
+    assert first.where("k = 'hot'").first()["id"] == 0
+    top = O.top_k_per_group(df, ["k"], [F2.desc("id")], 2)
+    assert sorted(r["id"] for r in top.where("k = 'hot'").collect()) == [2994, 2997]
+    assert "partial_min" in plan(first) and "__salt" in plan(top)
