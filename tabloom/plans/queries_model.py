@@ -137,11 +137,14 @@ def gbt_train_predict(spark, sf):
     """M4-M7 + M15 + M16: fit the feature pipeline and the model on the train
     split, save both, reload them and score the raw test rows (no refit)."""
     raw = M.add_split(model_table(spark, sf), "l_orderkey", 0.2, _SEED)
-    raw_train, raw_test = raw.where(F.col("split") == "train"), raw.where(F.col("split") == "test")
-    fp = M.fit_feature_pipeline(raw_train.drop("split"), target="l_extendedprice")
-    train = fp.apply(raw_train.drop("split"))
+    raw_test = raw.where(F.col("split") == "test")
+    # the training rows are joined once and checkpointed; the pipeline fit and
+    # every boosting round read the checkpoint
+    raw_train = M.training_input(raw.where(F.col("split") == "train").drop("split"))
+    fp = M.fit_feature_pipeline(raw_train, target="l_extendedprice")
+    train = fp.apply(raw_train)
     feats = [c for c in train.columns if c not in ("l_orderkey", "l_linenumber", "l_extendedprice")]
-    model = M.train_gbt(M.training_input(train), feats, "l_extendedprice", _TRAIN_PARAMS)
+    model = M.train_gbt(train, feats, "l_extendedprice", _TRAIN_PARAMS)
     path = scratch_table_path(spark, "gbt")
     M.save_model(model, path, {"features": feats, "target": "l_extendedprice", "params": _TRAIN_PARAMS})
     PR.save_params(fp, f"{path}/feature_pipeline")
