@@ -18,6 +18,7 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tabloom-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # tests only: the cluster normally names the shared checkpoint folder

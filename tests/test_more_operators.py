@@ -167,3 +167,32 @@ def test_nested_cv_small(spark):
     assert len(res.all_scores) == 2 and res.best_params in res.all_params
     trials = M.simple_tuning(df, ["a", "b"], "y", {"n_estimators": (3, 5)}, n_trials=2, key="id", k=2).collect()
     assert [r["rank"] for r in trials] == [1, 2]
+
+
+def test_catalog_table_lifecycle(spark):
+    name = "tabloom_test_sales"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df = spark.createDataFrame([(1, 5.0), (2, None)], "id int, sales double")
+    assert not S.table_exists(spark, name)
+    S.create_table(spark, name, data=df)
+    S.create_table(spark, name, data=df)  # IF NOT EXISTS: unchanged
+    assert S.table_exists(spark, name) and S.table_count(spark.table(name)) == 2
+    S.insert_rows(spark.createDataFrame([(3, 7.5)], "id int, sales double"), name)
+    assert S.table_count(S.read_table(spark, name, ["id"])) == 3
+    listed = {r["name"]: r["rows"] for r in S.list_tables(spark).collect()}
+    assert listed.get(name) == 3
+    schema = {r["column"]: r["dtype"] for r in S.table_schema(spark.table(name)).collect()}
+    assert schema == {"id": "int", "sales": "double"}
+    assert "CREATE TABLE" in S.table_ddl(spark, name).upper()
+    summ = {r["column"]: (r["nulls"], r["n_distinct"]) for r in S.table_summary(spark.table(name)).collect()}
+    assert summ == {"id": (0, 3), "sales": (1, 2)}
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_scale_settings_bounds():
+    from tabloom.session import scale_settings
+    small = scale_settings(10 << 20, 8)
+    big = scale_settings(100 << 40, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert int(big["spark.sql.shuffle.partitions"]) > 400_000
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
