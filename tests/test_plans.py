@@ -93,3 +93,19 @@ def test_hot_key_holding_a_third_of_rows(spark):
     top = O.top_k_per_group(df, ["k"], [F2.desc("id")], 2)
     assert sorted(r["id"] for r in top.where("k = 'hot'").collect()) == [2994, 2997]
     assert "partial_min" in plan(first) and "__salt" in plan(top)
+
+
+def test_null_key_third_of_rows_join(spark):
+    """A third of the left keys are NULL (the hot key of a null-safe join):
+    plain equality keeps them unmatched, null-safe matching pairs them with the
+    NULL-key dimension row, and no left row is lost or duplicated."""
+    from pyspark.sql import functions as F2
+    left = spark.range(3000).select(F2.when(F2.col("id") % 3 == 0, F2.lit(None)).otherwise(F2.col("id") % 50).alias("k"),
+                                    F2.col("id"))
+    right = spark.range(50).select(F2.col("id").alias("k"), F2.lit("dim").alias("v")) \
+        .unionByName(spark.createDataFrame([(None, "null-dim")], "k long, v string"))
+    plain = J.left_join(left, right, "k", parse_dates=False)
+    safe = J.left_join(left, right, "k", parse_dates=False, null_keys_match=True)
+    assert plain.count() == safe.count() == 3000
+    assert plain.where("v IS NULL").count() == 1000
+    assert safe.where("v = 'null-dim'").count() == 1000
