@@ -26,6 +26,11 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.suffix_dedup import digest, remove_repeats
+    return digest(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.token_counts import count_tokens
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), 1024)
@@ -34,6 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wu_manber": op3_wu_manber,
     "op4_hilbert_packing": op4_hilbert_packing,
+    "op8_suffix_array": op8_suffix_array,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
