@@ -15,6 +15,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.ngram_join import jaccard_components
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, 5, 75).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.decontaminate import benchmark_hits, digest
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_combinations": op2_token_combinations,
     "op3_wu_manber": op3_wu_manber,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op8_suffix_array": op8_suffix_array,
