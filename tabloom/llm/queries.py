@@ -15,6 +15,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.toxicity import toxicity
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.ngram_join import jaccard_components
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_toxicity": op1_pu_toxicity,
     "op2_token_combinations": op2_token_combinations,
     "op3_wu_manber": op3_wu_manber,
     "op4_hilbert_packing": op4_hilbert_packing,
