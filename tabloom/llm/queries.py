@@ -39,6 +39,12 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.pitman_yor import corpus_scores
+    out = corpus_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.suffix_dedup import digest, remove_repeats
     return digest(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100))
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_combinations": op2_token_combinations,
     "op3_wu_manber": op3_wu_manber,
     "op4_hilbert_packing": op4_hilbert_packing,
+    "op5_pitman_yor": op5_pitman_yor,
     "op8_suffix_array": op8_suffix_array,
     "op10_token_counts": op10_token_counts,
 }
