@@ -34,6 +34,7 @@ from tabloom.llm.common import parallel
 
 GRAM = 16                    # leading bytes that place a suffix
 CHUNK = 1 << 20              # bytes that the anchor search handles at once
+PART_BYTES = 6 << 20         # text bytes of a batch's part, within which equal strings are settled at once
 BUCKET_SUFFIXES = 100_000    # suffixes that a bucket is planned for
 SAMPLE_BYTES = 8 << 20       # text bytes of the sample that gives the splitters
 _U = np.uint64
@@ -237,6 +238,14 @@ def from_ipc(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each."""
+    n = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), batch.num_rows]
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(s, e - s)
+
+
 def doc_hash(texts: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], _U)
 
@@ -399,7 +408,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
                                            pa.array([p[1] for p in pairs], pa.binary())], schema=row)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, text, PART_BYTES)):
             texts, ids = texts_of(b), ids_of(b)
             hashes = doc_hash(texts)
             for rows, mask, bucket, doc, pos, before, after, seen in batch_suffixes(texts, ids, hashes, plan, width):
