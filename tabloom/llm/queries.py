@@ -45,6 +45,11 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.top_products import top_products
+    return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, 20, 64)
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.suffix_dedup import digest, remove_repeats
     return digest(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100))
@@ -61,7 +66,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wu_manber": op3_wu_manber,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_pitman_yor": op5_pitman_yor,
+    "op6_norm_buckets": op6_norm_buckets,
     "op8_suffix_array": op8_suffix_array,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_norm_buckets": """
+        WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                     AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+}
