@@ -50,11 +50,21 @@ def op6_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 20, 20, 64)
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.warc import derive, page_responses, summary
+    return summary(derive(page_responses(table(spark, sf_dir, "pages"), ("page_id",)), ("page_id",)))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.suffix_dedup import digest, remove_repeats
     return digest(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100))
 
 
+def op9_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.extract import extract_text
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.token_counts import count_tokens
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), 1024)
@@ -67,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_pitman_yor": op5_pitman_yor,
     "op6_norm_buckets": op6_norm_buckets,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_suffix_array": op8_suffix_array,
+    "op9_block_tree": op9_block_tree,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
