@@ -1,15 +1,18 @@
-"""Byte-level BPE through a pre-token cache.
+"""Byte-level BPE through a cache of words and pre-tokens.
 
 The vocabulary's pre-tokenizer cuts a text into pieces that are encoded
-independently, and most pieces recur.  A worker therefore cuts the text with
-one regular expression and looks the pieces up; only pieces it has not met go
-through the tokenizers library.  Characters outside a plain range, where two
-regular-expression engines might class a code point differently, and special
-strings inside a text take the library's own path for the whole text.
+independently, and a piece never crosses a single space between two other
+characters.  A worker therefore splits the text at such spaces and looks the
+words up; a new word is cut into pieces by one regular expression, and only a
+new piece goes through the tokenizers library.  Texts with characters outside
+a plain range, where two regular-expression engines might class a code point
+differently, or with a special string take the library's own path as a whole.
 """
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 # fixed values: the byte-level pre-tokenizer's pattern and its special string
@@ -20,32 +23,92 @@ _cut = regex.compile(PATTERN, regex.V0).findall
 # Latin, Greek and Cyrillic letters and common punctuation are classed alike everywhere
 _odd = regex.compile("[^\\x00-\\x1b\\x20-\\x7e\\u00a0-\\u024f\\u0391-\\u03a1\\u03a3-\\u03ce\\u0400-\\u0481\\u2010-\\u2027\\u2030-\\u205e\\u20ac]").search
 
+_split = re.compile(r"(?<=\S) (?=\S)").split
+
+
+def rank_encoder(path: str):
+    """Encoder of text without special strings from the same vocabulary as ranks; faster on short pieces."""
+    import base64
+
+    import tiktoken
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class _Loose(Exception):
+    """A space beside other white space: the text needs the careful split."""
+
 
 class Pieces(dict):
-    """Cache from a pre-token to ``value(ids)``; misses are encoded and kept, up to ``limit`` entries."""
+    """Cache from a word (that follows a space, or begins with its line feed) to ``value(ids)``.
+
+    ``join`` puts the values of a word's pieces together.  Up to ``limit``
+    values are kept besides the given ``first`` (piece -> value); frequent
+    words are met early, so those that come when it is full are only encoded.
+    ``ranks`` names the file of the same vocabulary as ranks, for new pieces.
+    """
 
-    def __init__(self, path: str, value, first: dict | None = None, limit: int = 200_000):
+    def __init__(self, path: str, value, join, first: dict | None = None, limit: int = 300_000, ranks: str | None = None):
         from tokenizers import Tokenizer
-        super().__init__(first or {})
-        self.first, self.limit, self.value = first or {}, limit + len(first or {}), value
+        super().__init__({p[1:]: v for p, v in (first or {}).items() if p[0] == " "})
+        self.bare = {p: v for p, v in (first or {}).items() if p[0] != " "}
+        self.value, self.join, self.limit = value, join, limit + len(first or {})
         self.library = Tokenizer.from_file(path)
+        self.ranks = rank_encoder(ranks) if ranks else None
+
+    def __missing__(self, word: str):
+        if word[:1] == "\n" and len(word) > 1 and not word[1].isspace():
+            pieces = _cut(word)         # a line's first word follows no space
+        elif not word or word[0].isspace() or word[-1].isspace():
+            raise _Loose
+        else:
+            pieces = _cut(" " + word)
+        v = self.one(pieces[0]) if len(pieces) == 1 else self.join([self.piece(p) for p in pieces])
+        if len(self) < self.limit:
+            self[word] = v
+        return v
 
-    def __missing__(self, piece: str):
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.first)
-        v = self[piece] = self.value(self.library.encode(piece, add_special_tokens=False).ids)
+    def piece(self, p: str):
+        if p[0] == " " and len(p) > 1:
+            return self[p[1:]] if not p[1].isspace() else self.one(p)
+        v = self.bare.get(p)
+        if v is None:
+            v = self.one(p)
+            if len(self.bare) < self.limit:
+                self.bare[p] = v
         return v
 
-    def of(self, text: str) -> list | None:
-        """The values of the text's pieces, or None if the text needs :meth:`whole`."""
+    def one(self, p: str):
+        """The value of a single piece."""
+        return self.value(self.ranks(p)) if self.ranks else self.encode(p)
+
+    def encode(self, p: str):
+        """The value of any text by the tokenizers library."""
+        return self.value(self.library.encode(p, add_special_tokens=False).ids)
+
+    def of(self, text: str):
+        """The joined value of a whole text."""
         if SPECIAL in text or _odd(text):
-            return None
-        return list(map(self.__getitem__, _cut(text)))
+            return self.encode(text)
+        words = text.replace("\n", " \n").split(" ")
+        if not words[0] or words[0][-1].isspace():
+            return self.careful(text)
+        try:
+            rest = list(map(self.__getitem__, words[1:]))
+        except _Loose:
+            return self.careful(text)
+        return self.join([*map(self.piece, _cut(words[0])), *rest])
 
-    def whole(self, text: str):
-        """The value of the whole text by the library."""
-        return self.value(self.library.encode(text, add_special_tokens=False).ids)
+    def careful(self, text: str):
+        """The same with a split only at spaces that stand alone."""
+        out = []
+        for i, word in enumerate(_split(text)):
+            if i and not any(map(str.isspace, word)):
+                out.append(self[word])
+            else:
+                out += map(self.piece, _cut(" " + word if i else word))
+        return self.join(out)
 
 
 def pieces_of(text: str) -> list[str]:

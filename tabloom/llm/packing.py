@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -48,20 +49,17 @@ def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
     return hilbert_index(grid, BITS)
 
 
-def tokenized(docs: DataFrame, path: str, text: str) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, ranks: str | None, text: str) -> DataFrame:
     """Per row: its columns (without the text), ``ids`` (two bytes each, with the end id), ``n`` and ``key``."""
     kept = [c for c in docs.columns if c != text]
     df = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("t"))
     row_type = df.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, lambda ids: np.array(ids, "<u2").tobytes())
+        pieces = Pieces(path, lambda ids: struct.pack(f"<{len(ids)}H", *ids), b"".join, ranks=ranks)
         end = np.array([END], "<u2").tobytes()
         for b in batches:
-            blobs = []
-            for t in b.column("t").to_pylist():
-                own = pieces.of(t or "")
-                blobs.append((b"".join(own) if own is not None else pieces.whole(t)) + end)
+            blobs = [pieces.of(t or "") + end for t in b.column("t").to_pylist()]
             ids = [np.frombuffer(x, "<u2") for x in blobs]
             yield pa.RecordBatch.from_pydict({
                 "row": b.column("row"), "ids": pa.array(blobs, pa.binary()),
@@ -93,7 +91,7 @@ def stream_starts(tokens: DataFrame) -> DataFrame:
     return local.join(F.broadcast(before), "part").select("uid", (F.col("before") + F.col("at")).alias("at"))
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text", ranks: str | None = None) -> DataFrame:
     """Pack all documents into sequences of ``size`` ids; one row per piece of a document.
 
     Documents follow one another along the Hilbert curve of their projected
@@ -103,6 +101,9 @@ def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text") -> Da
     ``ids`` (binary, little-endian unsigned 32-bit), ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset``.
 
+    ``path`` is the vocabulary's file for the tokenizers library; ``ranks``, if
+    given, the same vocabulary as ranks, which encodes new words faster.
+
     Null texts pack as empty ones (the end id alone); repeated rows are packed
     each; an empty table gives no rows; documents' columns with the names of
     the new ones are dropped.
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text") -> Da
     new = ("start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     docs = docs.select(*[c for c in docs.columns if c not in new])
     # rows get an id that is fixed by being written; the ids are written once and not computed again
-    tokens = materialize(tokenized(docs, path, text).withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    tokens = materialize(tokenized(docs, path, ranks, text).withColumn("uid", F.monotonically_increasing_id()), "tokens")
     row_type = tokens.schema["row"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from tabloom.llm.bpe import Pieces, pieces_of
 SAMPLE_DOCS = 2_000       # documents whose pieces choose the broadcast table (it affects speed only)
 TABLE_ENTRIES = 32_768    # entries of the broadcast table
 PIECE_BYTES = 32          # longest piece it holds: at most TABLE_ENTRIES * (PIECE_BYTES + 2) bytes
-CACHE_ENTRIES = 200_000   # pieces that a worker remembers besides
+CACHE_ENTRIES = 500_000   # words that a worker remembers besides
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample_docs: int = SAMPLE_DOCS,
@@ -34,8 +34,8 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample_docs
             seen += b.num_rows
             if seen >= sample_docs:
                 break
-        pieces = Pieces(path, len)
-        rows = [(p, pieces[p]) for p, c in n.most_common(entries) if c > 1 and pieces[p] < 256]
+        pieces = Pieces(path, len, sum)
+        rows = [(p, v) for p, c in n.most_common(entries) if c > 1 and (v := pieces.encode(p)) < 256]
         if rows:
             blob = b"".join(bytes([v]) + p.encode() + b"\0" for p, v in rows)
             yield pa.RecordBatch.from_pydict({"blob": pa.array([blob], pa.binary())})
@@ -60,8 +60,8 @@ def _records(blob: bytes) -> Iterator[bytes]:
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "text") -> DataFrame:
     """``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (``n_tokens > limit``) beside the columns other than the text.
 
-    One narrow pass: pieces of the broadcast table are summed at once, others
-    are encoded once per worker and remembered.  Nothing is shuffled.  Null
+    One narrow pass: words and pieces of the broadcast table are summed at
+    once, others are encoded by the worker and remembered.  Nothing is shuffled.  Null
     texts count as empty (0 bytes, 0 tokens); repeated rows are counted each;
     columns named like the new ones are replaced.
     """
@@ -71,14 +71,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     row_type = df.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, len, unpack(table), CACHE_ENTRIES)
+        pieces = Pieces(path, len, sum, unpack(table), CACHE_ENTRIES)
         for b in batches:
             sizes, counts = [], []
             for t in b.column("t").to_pylist():
                 t = t or ""
                 sizes.append(len(t.encode()))
-                own = pieces.of(t)
-                counts.append(sum(own) if own is not None else pieces.whole(t))
+                counts.append(pieces.of(t))
             yield pa.RecordBatch.from_pydict({"row": b.column("row"), "n_bytes": pa.array(sizes, pa.int64()),
                                               "n_tokens": pa.array(counts, pa.int64())})
 
