@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabloom.llm.common import materialize, parallel
 from tabloom.llm.components import components
-from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, to_ipc, unpack
+from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, slices, to_ipc, unpack
 
 UNIT_BYTES = 4 << 20       # text bytes of a unit
 ID_BITS = 40               # bits of a shingle's hash that are counted (collisions only change its class)
@@ -108,9 +109,7 @@ def to_units(docs: DataFrame, k: int, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.cumsum([len(t) if t else 0 for t in b.column(text).cast(pa.binary()).to_pylist()])
-            for _, own in groups(size // UNIT_BYTES):
-                part = b.slice(int(own[0]), len(own))
+            for part in slices(b, text, UNIT_BYTES):
                 texts = [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
                 n, node = set_ids(*shingle_sets(texts, k), len(texts))
                 part = pa.RecordBatch.from_arrays([*[part.column(c) for c in cols], pa.array(n), pa.array(node)],
@@ -337,7 +336,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str
     are replaced.
     """
     kept = [c for c in docs.columns if c not in (text, "n_shingles", "component_id")]
-    units = to_units(docs.select(*kept, text), k, text)
+    _, grouped = grouped_members(docs.select(*kept, text), kept, k, percent, text)
+    least = grouped.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    out = grouped.join(least, "node", "left")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("n").alias("n_shingles"),
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    Components are those of :func:`jaccard_components`.  Documents without a
+    shingle all stay; of rows that repeat the smallest id one stays, and a
+    document without an id stays only where its component has none with one.
+    """
+    units, grouped = grouped_members(docs, [], k, percent, text)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "unit", "at"))
+    chosen = (grouped.where("n > 0").groupBy("node").agg(first.alias("f")).select("f.unit", "f.at")
+              .unionByName(grouped.where("n = 0").select("unit", "at")))
+
+    def pick(key, unit, places):
+        t = from_ipc(unit.column("blob")[0].as_py()) if unit.num_rows else None
+        return t.select(columns).take(places.column("at").sort()) if t is not None else empty
+
+    columns, empty = docs.columns, to_arrow_schema(docs.schema).empty_table()
+    return units.groupBy("unit").cogroup(chosen.groupBy("unit")).applyInArrow(pick, docs.schema)
+
+
+def grouped_members(docs: DataFrame, kept: list[str], k: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """The units, and every document with the label of its component as ``node``."""
+    units = to_units(docs, k, text)
     members = materialize(members_of(units, kept, docs), "members")
     chosen = members.where("n > 0").groupBy("node").agg(F.min("unit").alias("unit"))
     total = members.agg(F.sum("n")).first()[0] or 0
@@ -353,24 +381,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str
     more = materialize(linked(residual_pairs(keys, sets, labels, percent), sets, percent), "links")
     if more.limit(1).count():
         labels = components(edges.union(more))
-    grouped = members.drop("unit").join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
-    least = grouped.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(least, "node", "left")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    grouped = members.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+    return units, grouped
 
 
 def members_of(units: DataFrame, kept: list[str], docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, n, node, unit)`` of every document."""
-    row_type = docs.select(F.struct(*kept).alias("row")).schema["row"].dataType.simpleString()
+    """``(row, doc_id, n, node, unit, at)`` of every document; ``row`` has the kept columns."""
+    names = kept or ["doc_id"]
+    row_type = docs.select(F.struct(*names).alias("row")).schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob, unit in zip(b.column("blob").to_pylist(), b.column("unit").to_pylist()):
                 t = from_ipc(blob).combine_chunks().to_batches()[0]
-                row = pa.StructArray.from_arrays([t.column(c) for c in kept], kept)
+                row = pa.StructArray.from_arrays([t.column(c) for c in names], names)
                 yield pa.RecordBatch.from_arrays(
-                    [row, t.column("n__"), t.column("node__"), pa.array([unit] * t.num_rows, pa.int64())],
-                    ["row", "n", "node", "unit"])
-    out = units.mapInArrow(run, f"row {row_type}, n long, node long, unit long")
+                    [row, t.column("n__"), t.column("node__"), pa.array([unit] * t.num_rows, pa.int64()), pa.array(range(t.num_rows), pa.int64())],
+                    ["row", "n", "node", "unit", "at"])
+    out = units.mapInArrow(run, f"row {row_type}, n long, node long, unit long, at long")
     return out.withColumn("doc_id", F.col("row.doc_id"))

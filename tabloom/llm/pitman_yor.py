@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import materialize, parallel
-from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, slices, to_ipc, unpack
+from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 
 UNIT_BYTES = 4 << 20           # text bytes of a unit of documents
 BUCKET_TOKENS = 3_000_000      # tokens that a bucket is planned for
@@ -45,6 +45,11 @@ START, END = 1, 2              # ids of the start context and of the end token
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, word id and context id of every token; each document ends with END."""
+    parts = [(doc + s, word, context) for s, e in runs_of(texts) for doc, word, context in [_tokens_of(texts[s:e])]]
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+
+def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = [t.lower().split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     doc = np.repeat(np.arange(len(texts)), n + 1)

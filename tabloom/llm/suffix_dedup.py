@@ -306,6 +306,13 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         start = stop
 
 
+def runs_of(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts of about ``size`` bytes together."""
+    n = np.cumsum([len(t) for t in texts]) // size
+    cuts = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), len(texts)]
+    return zip(cuts[:-1], cuts[1:])
+
+
 def batch_suffixes(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, plan: Plan, width: int):
     """Per chunk: the suffixes of a batch of documents that it can't settle itself, and the ranges that it can."""
     out, seen = [], []
@@ -485,6 +492,28 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
     return ranges.unionByName(whole).groupBy("bucket").applyInArrow(finish, schema)
 
 
+def without_repeats(docs: DataFrame, width: int = 100, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The documents with what :func:`remove_repeats` keeps as their text, all rows and columns else as they were.
+
+    Bytes of a character that a removed run cuts off go with it; null texts
+    stay null; a column ``n_chars`` follows the new text.
+    """
+    cols = docs.columns
+    result = remove_repeats(docs, width, text)
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(b.column("gone").to_pylist(), b.column("kept").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "text": pa.array(new, pa.string())})
+
+    df = result.select(F.struct(*[c for c in cols if c != text], F.lit(0).alias("_")).alias("row"),
+                       F.when(F.col(text).isNotNull(), F.lit(1)).alias("gone"), "kept")
+    row_type = df.schema["row"].dataType.simpleString()
+    out = df.mapInArrow(restore, f"row {row_type}, text string")
+    value = {text: F.col("text"), n_chars: F.length("text").cast(docs.schema[n_chars].dataType) if n_chars in cols else None}
+    return out.select(*[value[c].alias(c) if c in value else F.col("row").getField(c).alias(c) for c in cols])
+
+
 def digest(result: DataFrame) -> DataFrame:
     """Contract columns of the registered query."""
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
