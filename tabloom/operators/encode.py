@@ -1,12 +1,10 @@
 """Categorical encoding (E1-E7) as fit / apply.
 
-The fit step aggregates per category (a grouped count with map-side partial
-aggregation).  When the number of categories is at most ``max_literal`` the
-fitted table is pulled to the driver -- a size checked with a bounded
-``limit`` -- and applied as a literal map expression, so applying needs no
-join at all.  Above that bound the fitted table stays distributed, is written
-to the shared checkpoint folder once, and is applied with a join that AQE can
-broadcast or skew-split at run time.
+A fit is one grouped count over all its columns (unpivoted, with map-side
+partial aggregation), written once to the shared checkpoint folder.  The
+fitted table of a column is applied with a join, which AQE broadcasts where it
+is small and splits where a value is hot; schema and result do not depend on
+the number of categories.
 """
 
 from __future__ import annotations
@@ -14,16 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators.order import global_row_index
+from tabloom.operators.order import sorted_counts, value_counts
 from tabloom.session import cut_lineage
 
-MAX_LITERAL = 10000
-
-
 class TooManyCategories(ValueError):
     pass
 
@@ -34,28 +29,15 @@ def _key(c: str) -> Column:
 
 @dataclass
 class Lookup:
-    """A fitted value table for one column: literal map or distributed table."""
+    """A fitted value table for one column: ``(__key string, __val)``."""
     column: str
-    pairs: dict[Any, Any] | None = None      # literal form
-    table: DataFrame | None = None           # distributed form: (__key, __val)
+    table: DataFrame
     default: Any = None
 
-    def expr(self) -> Column:
-        assert self.pairs is not None
-        flat = []
-        for k, v in self.pairs.items():
-            flat += [F.lit(k), F.lit(v)]
-        m = F.create_map(*flat) if flat else F.create_map().cast("map<string,string>")
-        val = F.try_element_at(m, _key(self.column))
-        return val if self.default is None else F.coalesce(val, F.lit(self.default))
-
 
-def _fit_lookup(column: str, table: DataFrame, max_literal: int, default=None) -> Lookup:
-    """``table`` has columns (__key string, __val)."""
-    rows = table.limit(max_literal + 1).collect()
-    if len(rows) <= max_literal:
-        return Lookup(column, pairs={r["__key"]: r["__val"] for r in rows}, default=default)
-    return Lookup(column, table=cut_lineage(table), default=default)
+def code_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The code table of a short, already sorted category list."""
+    return df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(keys)], "__key string, __val long")
 
 
 def _apply_lookups(df: DataFrame, lookups: dict[str, Lookup], names: dict[str, str],
@@ -64,13 +46,10 @@ def _apply_lookups(df: DataFrame, lookups: dict[str, Lookup], names: dict[str, s
     joined = df
     vals: dict[str, Column] = {}
     for i, (c, lk) in enumerate(lookups.items()):
-        if lk.pairs is not None:
-            vals[c] = lk.expr()
-        else:
-            t = lk.table.select(F.col("__key").alias(f"__k{i}"), F.col("__val").alias(f"__v{i}"))
-            joined = joined.join(t, _key(c) == F.col(f"__k{i}"), "left")
-            v = F.col(f"__v{i}")
-            vals[c] = v if lk.default is None else F.coalesce(v, F.lit(lk.default))
+        t = lk.table.select(F.col("__key").alias(f"__k{i}"), F.col("__val").alias(f"__v{i}"))
+        joined = joined.join(t, _key(c) == F.col(f"__k{i}"), "left")
+        v = F.col(f"__v{i}")
+        vals[c] = v if lk.default is None else F.coalesce(v, F.lit(lk.default))
     out = []
     for c in df.columns:
         if c in drop:
@@ -108,51 +87,50 @@ def small_category_sets(df: DataFrame, columns: Sequence[str], limit: int) -> di
     """Sorted distinct non-null text values of each column that has at most
     ``limit`` of them; ``None`` for columns with more.
 
-    Two jobs for any number of columns: an approximate distinct count (a
-    fixed-size sketch per column) picks the candidates, then one aggregation
-    collects their value sets.  A candidate's set is bounded by twice the
-    limit (the sketch errs by a few percent), so nothing unbounded is
-    collected; the exact size is checked on the collected set.
+    One grouped count for any number of columns, written once; exact sizes
+    decide, and only the values of columns within the limit are collected.
     """
-    cols = list(columns)
+    cols = list(dict.fromkeys(columns))
     if not cols:
         return {}
-    approx = df.agg(*[F.approx_count_distinct(_key(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    cand = [c for i, c in enumerate(cols) if approx[f"d{i}"] <= 2 * limit]
-    out: dict[str, list[str] | None] = {c: None for c in cols}
-    if cand:
-        row = df.agg(*[F.collect_set(_key(c)).alias(f"s{i}") for i, c in enumerate(cand)]).first()
-        for i, c in enumerate(cand):
-            vals = row[f"s{i}"]
-            out[c] = sorted(vals) if len(vals) <= limit else None
-    return out
+    counts = cut_lineage(value_counts(df, cols, "string").select("column", "value"))
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+    few = [c for c in cols if sizes.get(c, 0) <= limit]
+    out: dict[str, list[str] | None] = {c: [] if c in few else None for c in cols}
+    for r in counts.where(F.col("column").isin(few)).collect():
+        out[r["column"]].append(r["value"])
+    return {c: sorted(v) if v is not None else None for c, v in out.items()}
 
 
 def fit_label_codes(df: DataFrame, columns: Sequence[str], missing: str = "last",
-                    max_literal: int = MAX_LITERAL, max_categories: int | None = None) -> LabelCodes:
+                    max_categories: int | None = None) -> LabelCodes:
     """E2 (``missing="last"``: missing gets code k) / E3 (``missing="null"``).
 
-    Codes are 0..k-1 in sorted order of the text value.  ``max_categories``
-    (E3 uses 50) refuses columns with more distinct values.  Columns with up
-    to ``max_literal`` values are applied as literal maps; larger ones get a
-    distributed code table (dense ranks by the block scheme, no global window).
+    Codes are 0..k-1 in sorted order of the text value, as bigint whatever the
+    number of categories: the row numbers of the columns' value counts in range
+    partitions, found for all columns at once.  ``max_categories`` (E3 uses 50)
+    refuses columns with more distinct values.
     """
     out = LabelCodes(missing=missing)
-    sets = small_category_sets(df, columns, max_literal)
-    for c in columns:
-        keys = sets[c]
-        if keys is not None:
-            if max_categories is not None and len(keys) > max_categories:
-                raise TooManyCategories(f"{c}: more than {max_categories} categories")
-            out.lookups[c] = Lookup(c, pairs={k: i for i, k in enumerate(keys)})
-            out.sizes[c] = len(keys)
-        else:
-            if max_categories is not None and max_categories <= max_literal:
-                raise TooManyCategories(f"{c}: more than {max_categories} categories")
-            vals = df.select(_key(c).alias("__key")).where(F.col("__key").isNotNull()).distinct()
-            tbl = cut_lineage(global_row_index(vals, ["__key"], "__val"))
-            out.lookups[c] = Lookup(c, table=tbl)
-            out.sizes[c] = tbl.count()
+    cols = list(dict.fromkeys(columns))
+    if not cols:
+        return out
+    counts, parts = sorted_counts(value_counts(df, cols, "string"))
+    before = []
+    for c in cols:
+        out.sizes[c] = 0
+        for r in (r for r in parts if r["column"] == c):
+            before.append((c, r["__block"], out.sizes[c]))
+            out.sizes[c] += r["rows"]
+        if max_categories is not None and out.sizes[c] > max_categories:
+            raise TooManyCategories(f"{c}: more than {max_categories} categories")
+    # one row per partition and column: a proven bound
+    first = F.broadcast(df.sparkSession.createDataFrame(before, "column string, __block int, __before long"))
+    w = Window.partitionBy("column", "__block").orderBy("value")
+    codes = cut_lineage(counts.join(first, ["column", "__block"]).select(
+        "column", F.col("value").alias("__key"), (F.row_number().over(w) - 1 + F.col("__before")).cast("bigint").alias("__val")))
+    for c in cols:
+        out.lookups[c] = Lookup(c, codes.where(F.col("column") == c).select("__key", "__val"))
     return out
 
 
@@ -165,7 +143,7 @@ def category_codes(df: DataFrame, max_distinct: int = 50) -> DataFrame:
     drop = [c for c in text if sets[c] is None]
     codes = LabelCodes(missing="null")
     for c in keep:
-        codes.lookups[c] = Lookup(c, pairs={k: i for i, k in enumerate(sets[c])})
+        codes.lookups[c] = Lookup(c, code_table(df, sets[c]))
         codes.sizes[c] = len(sets[c])
     return codes.apply(df.drop(*drop))
 
@@ -187,13 +165,13 @@ class OneHot:
 
 
 def fit_onehot(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
-               max_categories: int = 1000) -> OneHot:
+               max_categories: int | None = None) -> OneHot:
     """Dummies ``<col>_<value>`` in sorted order; first dropped; source dropped.
 
-    The category list is bounded (``max_categories``); more is an error, since
-    every category becomes a column.
+    Every category becomes a column, so the list itself is the result's schema;
+    a caller who wants a bound sets ``max_categories``, and more is an error.
     """
-    sets = small_category_sets(df, columns, max_categories)
+    sets = small_category_sets(df, columns, max_categories if max_categories is not None else 1 << 62)
     for c in columns:
         if sets[c] is None:
             raise TooManyCategories(f"{c}: more than {max_categories} categories for one-hot")
@@ -211,27 +189,31 @@ class MapEncoder:
         return _apply_lookups(df, self.lookups, {c: f"{c}{self.suffix}" for c in self.lookups})
 
 
-def fit_frequency(df: DataFrame, columns: Sequence[str], max_literal: int = MAX_LITERAL) -> MapEncoder:
-    """``<col>_freq`` = share of the value among the non-null rows."""
+def fit_frequency(df: DataFrame, columns: Sequence[str]) -> MapEncoder:
+    """``<col>_freq`` = share of the value among the non-null rows; one count for all columns."""
     enc = MapEncoder(suffix="_freq")
-    for c in columns:
-        counts = (df.select(_key(c).alias("__key")).where(F.col("__key").isNotNull())
-                  .groupBy("__key").agg(F.count(F.lit(1)).alias("__n")))
-        total = counts.agg(F.sum("__n").alias("__t"))  # one row
-        tbl = counts.crossJoin(F.broadcast(total)).select("__key", (F.col("__n") / F.col("__t")).alias("__val"))
-        enc.lookups[c] = _fit_lookup(c, tbl, max_literal)
+    cols = list(dict.fromkeys(columns))
+    if not cols:
+        return enc
+    counts = cut_lineage(value_counts(df, cols, "string"))
+    total = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    for c in cols:
+        enc.lookups[c] = Lookup(c, counts.where(F.col("column") == c).select(
+            F.col("value").alias("__key"), (F.col("n") / F.lit(total.get(c, 1))).alias("__val")))
     return enc
 
 
-def fit_target_mean(df: DataFrame, columns: Sequence[str], target: str,
-                    max_literal: int = MAX_LITERAL) -> MapEncoder:
-    """E5: ``<col>_target`` = mean of the target per category (in-sample)."""
+def fit_target_mean(df: DataFrame, columns: Sequence[str], target: str) -> MapEncoder:
+    """E5: ``<col>_target`` = mean of the target per category (in-sample); one aggregation for all columns."""
     enc = MapEncoder(suffix="_target")
-    y = F.col(target).cast("double")
-    for c in columns:
-        tbl = (df.select(_key(c).alias("__key"), y.alias("__y")).where(F.col("__key").isNotNull())
-               .groupBy("__key").agg(F.avg("__y").alias("__val")))
-        enc.lookups[c] = _fit_lookup(c, tbl, max_literal)
+    cols = list(dict.fromkeys(columns))
+    if not cols:
+        return enc
+    keyed = df.select(F.col(target).cast("double").alias("__y"), *[_key(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = cut_lineage(keyed.unpivot(["__y"], [f"c{i}" for i in range(len(cols))], "__c", "__key").where(F.col("__key").isNotNull())
+                        .groupBy("__c", "__key").agg(F.avg("__y").alias("__val")))
+    for i, c in enumerate(cols):
+        enc.lookups[c] = Lookup(c, means.where(F.col("__c") == f"c{i}").select("__key", "__val"))
     return enc
 
 
@@ -253,27 +235,46 @@ def target_mean_out_of_fold(df: DataFrame, column: str, target: str, fold_col: s
 
 # --- E6 plan / E7 profile -----------------------------------------------------
 
-def encode(df: DataFrame, plan: dict[str, dict | str]) -> DataFrame:
+@dataclass
+class EncodingPlan:
+    """E6, fitted: the encoders of a plan, to apply to the training table or to a new batch."""
+    encoders: list = field(default_factory=list)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for e in self.encoders:
+            df = e.apply(df)
+        return df
+
+
+def fit_encoding(df: DataFrame, plan: dict[str, dict | str]) -> EncodingPlan:
     """``{col: {"method": onehot|label|frequency|target, "target_col": ...}}``.
 
-    Non-categorical (numeric) columns are refused, as in the reference.
+    Columns of one method (and target) are fitted together.  Non-categorical
+    (numeric) columns are refused, as in the reference.
     """
     num = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))}
+    groups: dict[tuple, list[str]] = {}
     for c, spec in plan.items():
         if c in num:
             raise ValueError(f"{c} is not categorical")
         m = spec if isinstance(spec, str) else spec.get("method", "onehot")
-        if m == "onehot":
-            df = fit_onehot(df, [c]).apply(df)
-        elif m == "label":
-            df = fit_label_codes(df, [c]).apply(df)
-        elif m == "frequency":
-            df = fit_frequency(df, [c]).apply(df)
-        elif m == "target":
-            df = fit_target_mean(df, [c], spec["target_col"]).apply(df)
-        else:
-            raise ValueError(m)
-    return df
+        groups.setdefault((m, spec["target_col"] if m == "target" else None), []).append(c)
+    # frequency and target read the column that label and one-hot replace, so they are applied first
+    out = EncodingPlan()
+    for m in ("frequency", "target", "label", "onehot"):
+        for (method, target), cols in groups.items():
+            if method == m:
+                out.encoders.append(fit_frequency(df, cols) if m == "frequency" else fit_target_mean(df, cols, target) if m == "target"
+                                    else fit_label_codes(df, cols) if m == "label" else fit_onehot(df, cols))
+    unknown = [m for m, _ in groups if m not in ("frequency", "target", "label", "onehot")]
+    if unknown:
+        raise ValueError(unknown[0])
+    return out
+
+
+def encode(df: DataFrame, plan: dict[str, dict | str]) -> DataFrame:
+    """E6 in one call: fit the plan and apply it to the same table."""
+    return fit_encoding(df, plan).apply(df)
 
 
 def category_profile(df: DataFrame, column: str, top_n: int = 5) -> DataFrame:

@@ -56,16 +56,13 @@ def left_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str | N
         right = right.withColumn(right_on, parse_datetime(right_on, rt[right_on]))
     same = left_on == right_on
     keys = {left_on} if same else set()
+    # the keys are joined under names of their own: a key may also be an overlapping column
+    left, right = left.withColumn("__lkey", F.col(left_on)), right.withColumn("__rkey", F.col(right_on))
     l2, r2 = _rename_overlaps(left, right, keys, suffixes)
     if same:
-        r2 = r2.withColumnRenamed(right_on, "__rkey")
-        rk = "__rkey"
-    else:
-        rk = right_on
-    cond = l2[left_on].eqNullSafe(r2[rk]) if null_keys_match else (l2[left_on] == r2[rk])
-    j = l2.join(r2, cond, "left")
-    cols = [F.col(c) for c in l2.columns] + [F.col(c) for c in r2.columns if c != "__rkey"]
-    return j.select(*cols)
+        r2 = r2.drop(right_on)
+    cond = F.col("__lkey").eqNullSafe(F.col("__rkey")) if null_keys_match else (F.col("__lkey") == F.col("__rkey"))
+    return l2.join(r2, cond, "left").drop("__lkey", "__rkey")
 
 
 def _date_column(df: DataFrame) -> str | None:
@@ -75,25 +72,32 @@ def _date_column(df: DataFrame) -> str | None:
     return None
 
 
-def auto_date_join(tables: dict[str, DataFrame]) -> DataFrame:
-    """Fold the tables with left joins on their date columns.
+def auto_date_join(tables: dict[str, DataFrame], order_by: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Fold any number of tables with left joins on their date columns.
 
     Right key: first column whose name contains date/time.  Left key:
     ``date``, else ``Date_and_Time``, else the first such column.  Overlapping
-    names get ``_<table>``.  If a table has no date column the fold falls back
-    to the positional merge (J4).
+    names get ``_<table>``.  If a table (or the fold so far) has no date column,
+    it is placed beside the others by position (J4): rows count by
+    ``order_by[table]``, or by all their columns where that names none.
     """
+    order_by = order_by or {}
     names = list(tables)
     acc = tables[names[0]]
+    acc_order = list(order_by.get(names[0], acc.columns))
     for n in names[1:]:
         r = tables[n]
         rk = _date_column(r)
         lk = "date" if "date" in acc.columns else ("Date_and_Time" if "Date_and_Time" in acc.columns
                                                    else _date_column(acc))
-        if rk is None or lk is None:
-            raise ValueError(f"table {n!r} has no date column; use merge_horizontal")
-        acc = left_join(acc, r, lk, rk, suffixes=("", f"_{n}"))
-    return acc
+        if rk is not None and lk is not None:
+            acc = left_join(acc, r, lk, rk, suffixes=("", f"_{n}"))
+            continue
+        name = {c: f"{c}_{n}" if c in acc.columns else c for c in r.columns}
+        r = r.select(*[F.col(c).alias(name[c]) for c in r.columns])
+        acc = merge_horizontal({"__left": acc, n: r}, {"__left": acc_order, n: [name[c] for c in order_by.get(n, tables[n].columns)]})
+        acc, acc_order = acc.withColumnRenamed("__pos", f"__pos_{n}"), [f"__pos_{n}"]
+    return acc.drop(*[c for c in acc.columns if c.startswith("__pos_")])
 
 
 def merge_on_key(tables: dict[str, DataFrame], key: str) -> DataFrame:
@@ -162,6 +166,25 @@ def choose_merge_strategy(infos: Sequence[dict]) -> str:
     return "manual"
 
 
+def merge_auto(tables: dict[str, DataFrame], order_by: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """J6 joined to its merge: vertical for equal column sets, horizontal for equal row counts.
+
+    One table comes back as it is; where the choice is ``manual``, a ValueError
+    says so.  Vertical merges take the first table's column order; horizontal
+    ones place rows by ``order_by``, or by all columns.
+    """
+    strategy = choose_merge_strategy(table_infos(tables))
+    frames = list(tables.values())
+    if strategy == "none":
+        return frames[0]
+    if strategy == "vertical":
+        return merge_vertical([t.select(*frames[0].columns) for t in frames])
+    if strategy == "horizontal":
+        order = {n: list((order_by or {}).get(n, t.columns)) for n, t in tables.items()}
+        return merge_horizontal(tables, order).drop("__pos")
+    raise ValueError("the tables share neither columns nor a row count; choose a merge")
+
+
 def table_infos(tables: dict[str, DataFrame]) -> list[dict]:
     """Column lists and row counts of several tables (counts in one job)."""
     counts = reduce(lambda a, b: a.unionByName(b), [

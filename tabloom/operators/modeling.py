@@ -25,46 +25,34 @@ from pyspark.sql import types as T
 
 from tabloom.functions.exprs import date_columns, inf_to_null, nan_to_null
 from tabloom.operators.dates import parse_datetime
-from tabloom.operators.encode import LabelCodes, Lookup, small_category_sets
+from tabloom.operators.encode import LabelCodes, Lookup, code_table, small_category_sets
 from tabloom.session import cut_lineage
 
-# The two irrational multipliers of the key-based uniform draw.
-GOLDEN = 0.6180339887498949
-PLASTIC = 0.7548776662466927
-
-
 # --- M1-M3: splits and folds -----------------------------------------------------
 
-def uniform_from_key(key: str | Sequence[str], seed: int = 42) -> Column:
+def uniform_from_key(key: str | Sequence[str], seed: int = 42, purpose: str = "split") -> Column:
     """A repeatable U[0, 1) value per row derived from its key.
 
-    One integral key: the fractional part of ``key * golden + seed * plastic``
-    (a low-discrepancy sequence, so splits are exactly proportional and any
-    SQL engine can repeat it).  Other keys: ``xxhash64`` of the key columns.
-    Either way the value depends on the row only, never on partitioning, so
-    a recomputed task after an executor loss draws the same value.
+    The first 13 hexadecimal digits of ``md5(key # purpose # seed)`` over 2^52:
+    independent for every purpose and seed, fine enough for any key, and
+    repeatable in any SQL engine.  The value depends on the row only, never on
+    partitioning, so a recomputed task draws the same value.
     """
     cols = [key] if isinstance(key, str) else list(key)
-    if len(cols) == 1:
-        x = F.col(cols[0]).cast("double") * F.lit(GOLDEN) + F.lit(seed * PLASTIC)
-        return x - F.floor(x)
-    h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    text = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(purpose), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _is_integral(df: DataFrame, key) -> bool:
-    if not isinstance(key, str):
-        return False
-    t = {f.name: f.dataType for f in df.schema.fields}[key]
-    return isinstance(t, T.IntegralType)
+def uniform_sql(key: str, seed: int = 42, purpose: str = "split") -> str:
+    """The same draw as DuckDB SQL, for one key column."""
+    return (f"(CAST('0x' || substr(md5(concat_ws('#', coalesce(CAST({key} AS VARCHAR), ''), '{purpose}', '{seed}')), 1, 13) AS BIGINT)"
+            f" / {float(1 << 52)!r})")
 
 
 def add_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42,
               name: str = "split") -> DataFrame:
     """M1: ``split`` = 'test' for a ``test_size`` share of keys, else 'train'."""
-    if not _is_integral(df, key) and isinstance(key, str):
-        key = [key]
-    u = uniform_from_key(key, seed)
+    u = uniform_from_key(key, seed, "split")
     return df.withColumn(name, F.when(u < F.lit(test_size), "test").otherwise("train"))
 
 
@@ -91,21 +79,23 @@ def add_time_split(df: DataFrame, time_col: str, test_size: float = 0.2, name: s
     return df.withColumn(name, F.when(e > F.lit(cut), "test").otherwise("train"))
 
 
-def add_folds(df: DataFrame, key, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    """M3: fold number 0..k-1 from the key's uniform draw."""
-    if not _is_integral(df, key) and isinstance(key, str):
-        key = [key]
-    return df.withColumn(name, F.least(F.floor(uniform_from_key(key, seed) * k).cast("int"), F.lit(k - 1)))
+def add_folds(df: DataFrame, key, k: int = 5, seed: int = 42, name: str = "fold", purpose: str = "fold") -> DataFrame:
+    """M3: fold number 0..k-1 from the key's uniform draw for ``purpose`` (independent of the split's)."""
+    return df.withColumn(name, F.least(F.floor(uniform_from_key(key, seed, purpose) * k).cast("int"), F.lit(k - 1)))
 
 
 # --- M7 / M8: metrics ----------------------------------------------------------
 
 def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction",
                        group_by: Sequence[str] = ()) -> DataFrame:
-    """M7: n, r2 (1 - SSres/SStot), mae, mse, rmse in one aggregation (per group)."""
-    y = F.col(label).cast("double")
-    e = y - F.col(prediction).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("__ssr"), (F.var_pop(y) * F.count(y)).alias("__sst"),
+    """M7: n, r2 (1 - SSres/SStot), mae, mse, rmse in one aggregation (per group).
+
+    Only rows that have both values (neither missing nor NaN) are scored; ``n`` counts them.
+    """
+    y0, p0 = nan_to_null(F.col(label).cast("double")), nan_to_null(F.col(prediction).cast("double"))
+    y = F.when(p0.isNotNull(), y0)
+    e = y - p0
+    aggs = [F.count(e).alias("n"), F.sum(e * e).alias("__ssr"), (F.var_pop(y) * F.count(y)).alias("__sst"),
             F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse")]
     g = df.groupBy(*group_by).agg(*aggs) if group_by else df.agg(*aggs)
     return g.select(*group_by, "n", (1 - F.try_divide(F.col("__ssr"), F.col("__sst"))).alias("r2"),
@@ -330,7 +320,7 @@ def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[st
     ``"best_mean"`` the most frequent winner.  A final model is fitted on all
     data.
     """
-    data = training_input(add_folds(add_folds(df, key, outer, seed, "__outer"), key, inner, seed + 1, "__inner"))
+    data = training_input(add_folds(add_folds(df, key, outer, seed, "__outer", "outer fold"), key, inner, seed, "__inner", "inner fold"))
     cands = sample_params(space, n_trials, seed)
     better = (lambda a, b: a > b) if scoring == "r2" else (lambda a, b: a < b)
     scores, winners = [], []
@@ -415,7 +405,7 @@ def fit_feature_pipeline(df: DataFrame, target: str | None = None, max_categorie
     if coded:
         codes = LabelCodes(missing="null")
         for c in coded:
-            codes.lookups[c] = Lookup(c, pairs={k: i for i, k in enumerate(sets[c])})
+            codes.lookups[c] = Lookup(c, code_table(df, sets[c]))
             codes.sizes[c] = len(sets[c])
     return FeaturePipeline(dcols, codes, dropped, target)
 

@@ -2,21 +2,15 @@
 
 A window with ``orderBy`` but no ``partitionBy`` makes Spark move every row to
 one task.  The operators here that depend on a *global* order (forward /
-backward fill, row index for positional merges, dense codes) use a block
-scheme instead:
-
-1. Sample the ordering key once and pick ``nblocks - 1`` boundary tuples on
-   the driver (a bounded sample, never the data).
-2. ``block`` = position of the row's key among the boundaries, as a binary
-   search of literal comparisons (deterministic, so a recomputed task after an
-   executor loss gets the same block).
-3. Per-block windows (``partitionBy(block, ...)``) do the work in parallel.
-4. A per-block carry / count table (one row per block and group) links the
-   blocks.
-
-Ties on the ordering key are broken by the caller's ``order_by`` (which should
-end in a unique key); boundaries are composite, so even one very frequent
-leading value is split across blocks.
+backward fill, row index for positional merges, dense codes, quantiles) use
+range partitions instead: ``repartitionByRange`` sorts the rows into
+partitions, the partition number is written with them to the shared checkpoint
+folder (so it cannot change between two uses), windows work inside the
+partitions, and a table of one row per partition (and group) links them.
+
+Ties on the ordering key are broken by the caller's ``order_by``, which should
+end in a unique key; then even one very frequent leading value is split over
+partitions.
 """
 
 from __future__ import annotations
@@ -27,66 +21,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-# Largest number of blocks: the block of a row is found by a binary search
-# written as literal comparisons, so the expression grows with the boundary
-# count; 4096 blocks keep it at ~8k small nodes.
-MAX_BLOCKS = 4096
-
-
-def default_blocks(df: DataFrame) -> int:
-    """One block per shuffle partition, between 8 and :data:`MAX_BLOCKS`."""
-    return min(MAX_BLOCKS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-
-
-def range_boundaries(df: DataFrame, order_by: Sequence[str], nblocks: int, seed: int = 42,
-                     per_block: int = 64) -> list[tuple]:
-    """Up to ``nblocks - 1`` sorted boundary tuples of ``order_by`` from a bounded sample."""
-    if nblocks <= 1:
-        return []
-    target = nblocks * per_block
-    n = df.count()
-    if n == 0:
-        return []
-    frac = min(1.0, target / n * 1.2)
-    keys = df.select(*order_by)
-    sample = (keys.sample(fraction=frac, seed=seed) if frac < 1.0 else keys).limit(target * 2).collect()
-    rows = sorted((tuple(r) for r in sample), key=lambda t: tuple((v is not None, v) for v in t))
-    if not rows:
-        return []
-    picks = []
-    for i in range(1, nblocks):
-        b = rows[min(len(rows) - 1, i * len(rows) // nblocks)]
-        if not picks or b != picks[-1]:
-            picks.append(b)
-    return picks
-
-
-def block_expr(df: DataFrame, order_by: Sequence[str], boundaries: list[tuple]) -> Column:
-    """Block number 0..len(boundaries) of each row (binary search over literals)."""
-    if not boundaries:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
-
-    def lit_struct(b):
-        return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(order_by, b))])
-
-    def node(lo: int, hi: int) -> Column:
-        # answer lies in [lo, hi]; block = number of boundaries <= key
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # boundary index mid-1 separates blocks mid-1 and mid
-        return F.when(key >= lit_struct(boundaries[mid - 1]), node(mid, hi)).otherwise(node(lo, mid - 1))
-
-    return node(0, len(boundaries))
+from tabloom.functions.exprs import nan_to_null
+from tabloom.session import cut_lineage
 
 
 def with_blocks(df: DataFrame, order_by: Sequence[str], nblocks: int | None = None,
                 name: str = "__block") -> DataFrame:
-    nb = min(MAX_BLOCKS, nblocks or default_blocks(df))
-    bounds = range_boundaries(df, order_by, nb)
-    return df.withColumn(name, block_expr(df, order_by, bounds))
+    """The rows range-partitioned by ``order_by`` with their partition's number, written once."""
+    n = nblocks or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in order_by]).withColumn(name, F.spark_partition_id()))
+
+
+def _present(df: DataFrame, c: str) -> Column:
+    """The column with NaN as NULL."""
+    return nan_to_null(F.col(c)) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)
 
 
 def _fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str],
@@ -101,23 +49,27 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partit
     else:
         w_in = w_in.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     okey = F.struct(*ords)
-    # carry table: last (first) non-null value of every column in each block
+    # carry table: last (first) present value of every column in each block
     pick = F.max_by if forward else F.min_by
     carry = b.groupBy("__block", *part).agg(*[
-        pick(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__v_{i}") for i, c in enumerate(columns)])
+        pick(_present(b, c), F.when(_present(b, c).isNotNull(), okey)).alias(f"__v_{i}") for i, c in enumerate(columns)])
     w_c = Window.partitionBy(*part).orderBy("__block") if part else Window.orderBy("__block")
     w_c = (w_c.rowsBetween(Window.unboundedPreceding, -1) if forward
            else w_c.rowsBetween(1, Window.unboundedFollowing))
     agg = F.last if forward else F.first
-    carry = carry.select("__block", *part, *[
+    carry = carry.select(F.col("__block").alias("__cb"), *[F.col(c).alias(f"__p_{i}") for i, c in enumerate(part)], *[
         agg(F.col(f"__v_{i}"), ignorenulls=True).over(w_c).alias(f"__c_{i}") for i in range(len(columns))])
     if not part:
-        # at most nblocks rows: a proven bound, broadcast it
+        # one row per partition: a proven bound, broadcast it
         carry = F.broadcast(carry)
     inner = b.select(*[F.col(c) for c in df.columns], "__block", *[
-        (F.last if forward else F.first)(F.col(c), ignorenulls=True).over(w_in).alias(f"__f_{i}")
+        (F.last if forward else F.first)(_present(b, c), ignorenulls=True).over(w_in).alias(f"__f_{i}")
         for i, c in enumerate(columns)])
-    j = inner.join(carry, ["__block", *part], "left")
+    # a missing partition key is a group of its own
+    same = F.col("__block") == F.col("__cb")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"__p_{i}"))
+    j = inner.join(carry, same, "left")
     out = []
     for c in df.columns:
         if c in columns:
@@ -130,13 +82,13 @@ def _fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partit
 
 def forward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                  partition_by: Sequence[str] = (), nblocks: int | None = None) -> DataFrame:
-    """I5 ffill: each NULL takes the last non-NULL value before it in ``order_by``."""
+    """I5 ffill: each NULL (or NaN) takes the last value before it in ``order_by``."""
     return _fill(df, columns, order_by, partition_by, nblocks, forward=True)
 
 
 def backward_fill(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
                   partition_by: Sequence[str] = (), nblocks: int | None = None) -> DataFrame:
-    """I5 bfill: each NULL takes the next non-NULL value after it in ``order_by``."""
+    """I5 bfill: each NULL (or NaN) takes the next value after it in ``order_by``."""
     return _fill(df, columns, order_by, partition_by, nblocks, forward=False)
 
 
@@ -144,26 +96,24 @@ def _indexed(df: DataFrame, order_by: Sequence[str], name: str, nblocks: int | N
              start: int) -> tuple[DataFrame, int]:
     order = list(order_by)
     b = with_blocks(df, order, nblocks)
-    counts = sorted((r[0], r[1]) for r in b.groupBy("__block").count().collect())  # <= nblocks rows
-    offsets, run = {}, 0
+    counts = sorted((r[0], r[1]) for r in b.groupBy("__block").count().collect())  # one row per partition
+    before, run = [], start
     for blk, cnt in counts:
-        offsets[blk] = run
+        before.append((blk, run))
         run += cnt
-    nb = (max(offsets) + 1) if offsets else 1
-    off_arr = F.array(*[F.lit(offsets.get(i, 0)).cast("bigint") for i in range(nb)])
+    first = df.sparkSession.createDataFrame(before, "__block int, __before long")
     w = Window.partitionBy("__block").orderBy(*[F.col(c) for c in order])
-    out = b.select(*[F.col(c) for c in df.columns],
-                   (F.row_number().over(w) - 1 + F.element_at(off_arr, F.col("__block") + 1) + start)
-                   .cast("bigint").alias(name))
-    return out, run
+    out = (b.join(F.broadcast(first), "__block")
+           .select(*[F.col(c) for c in df.columns], (F.row_number().over(w) - 1 + F.col("__before")).cast("bigint").alias(name)))
+    return out, run - start
 
 
 def global_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index",
                      nblocks: int | None = None, start: int = 0) -> DataFrame:
     """Dense 0-based (or ``start``-based) row position by ``order_by`` without a global window.
 
-    Per-block ``row_number`` plus the running count of the earlier blocks; the
-    per-block counts are a table of at most ``nblocks`` rows.
+    ``row_number`` inside range partitions plus the running count of the earlier
+    ones, a table of one row per partition.
     """
     return _indexed(df, order_by, name, nblocks, start)[0]
 
@@ -203,95 +153,100 @@ def rank_small(df: DataFrame, order_by: Sequence[Column], name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)).cast("bigint"))
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], nblocks: int | None = None) -> list:
-    """Exact interpolated quantiles (numpy 'linear' rule) by rank, for many probabilities.
+# --- value counts: the one core behind quantiles, modes, categories and codes ------------
+
+def value_counts(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
+    """``(column, value, n)`` of the columns' present values, cast to ``as_type``.
 
-    The values are numbered in sorted order with the block scheme (a
-    distributed sort, no single task holds all values); only the rows at the
-    <= 2 * len(probs) needed positions are fetched.  Spark's ``percentile``
-    aggregate instead merges a map of every distinct value in one task.
+    One pass for all columns: unpivot, then a grouped count whose partial
+    counts are combined before the shuffle, so a hot value is one row per task.
     """
-    vals = df.select(F.col(column).cast("double").alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v"))
-    idx, n = _indexed(vals, ["__v"], "__i", nblocks, 0)
-    if n == 0:
-        return [None for _ in probs]
-    pos = set()
-    for p in probs:
-        h = p * (n - 1)
-        lo = int(h // 1)
-        pos.add(lo)
-        pos.add(min(lo + 1, n - 1))
-    got = dict(idx.where(F.col("__i").isin(sorted(pos))).select("__i", "__v").collect())
-    out = []
-    for p in probs:
-        h = p * (n - 1)
-        lo = int(h // 1)
-        hi = min(lo + 1, n - 1)
-        out.append(got[lo] + (h - lo) * (got[hi] - got[lo]))
-    return out
+    cols = [F.col(c).cast(as_type).alias(f"c{i}") for i, c in enumerate(columns)]
+    long = df.select(*cols).unpivot([], [f"c{i}" for i in range(len(columns))], "__c", "value")
+    present = F.col("value").isNotNull() & ~F.isnan("value") if as_type in ("double", "float") else F.col("value").isNotNull()
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("__c", 2, 9).cast("int") + 1)
+    return long.where(present).select(name.alias("column"), "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sorted_counts(counts: DataFrame, nblocks: int | None = None) -> tuple[DataFrame, list]:
+    """Value counts in range partitions of (column, value), and a summary of the partitions.
+
+    The summary has ``(column, __block, rows, n)`` in order.  A partition holds
+    a run of consecutive columns, so it has at most one row per partition and
+    one per column.
+    """
+    b = with_blocks(counts, ["column", "value"], nblocks)
+    parts = b.groupBy("column", "__block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    return b, sorted(parts, key=lambda r: (r["column"], r["__block"]))
 
 
-# Largest number of distinct values for which the value-count map of Spark's
-# exact ``percentile`` / ``mode`` aggregate (merged in one task) is accepted.
-MAX_EXACT_MAP = 100_000
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], nblocks: int | None = None) -> list:
+    """Exact interpolated quantiles (numpy 'linear' rule) of one column."""
+    return quantiles(df, [column], {column: list(probs)}, nblocks=nblocks)[column]
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True,
-              accuracy: int = 100000, max_map: int = MAX_EXACT_MAP) -> dict[str, list]:
-    """Interpolated quantiles of several numeric columns (NaN ignored).
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] | dict[str, Sequence[float]],
+              exact: bool = True, accuracy: int = 100000, nblocks: int | None = None) -> dict[str, list]:
+    """Interpolated quantiles of several numeric columns (NaN ignored), in one fit for all of them.
 
-    ``exact=False``: one ``percentile_approx`` aggregation (fixed-size sketches).
-    ``exact=True``: a fixed-size distinct-count sketch decides per column --
-    up to ``max_map`` distinct values the exact ``percentile`` aggregate (its
-    value-count map is bounded by that), above it the rank-based
-    :func:`exact_quantiles` (a distributed sort; no task holds the values).
+    ``probs`` is one list, or one for each column.  ``exact=False``: one
+    ``percentile_approx`` aggregation (fixed-size sketches).  ``exact=True``:
+    distributed value counts in range partitions; only the partitions that hold
+    a needed rank are looked into, and two values per probability are fetched.
     """
-    cols = list(columns)
+    cols = list(dict.fromkeys(columns))
     if not cols:
         return {}
-
-    def x(c):
-        v = F.col(c).cast("double")
-        return F.when(~F.isnan(v), v)
-
-    parr = F.array(*[F.lit(float(p)) for p in probs])
+    wanted = {c: list(probs[c]) if isinstance(probs, dict) else list(probs) for c in cols}
     if not exact:
-        row = df.agg(*[F.percentile_approx(x(c), parr, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
-    nd = df.agg(*[F.approx_count_distinct(x(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] <= max_map]
+        def x(c):
+            v = F.col(c).cast("double")
+            return F.when(~F.isnan(v), v)
+        row = df.agg(*[F.percentile_approx(x(c), F.array(*[F.lit(float(p)) for p in wanted[c]]), accuracy).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[c])) for i, c in enumerate(cols)}
+    counts, parts = sorted_counts(value_counts(df, cols, "double"), nblocks)
+    total = {c: sum(r["n"] for r in parts if r["column"] == c) for c in cols}
+    ranks = {c: sorted({r for p in wanted[c] for h in [p * (total[c] - 1)]
+                        for r in (int(h // 1), min(int(h // 1) + 1, total[c] - 1))}) if total[c] else [] for c in cols}
+    needed = []
+    for c in cols:
+        before = 0
+        for r in (r for r in parts if r["column"] == c):
+            needed += [(c, r["__block"], before, k) for k in ranks[c] if before <= k < before + r["n"]]
+            before += r["n"]
+    spark = df.sparkSession
+    # two ranks per probability: a proven bound
+    ask = F.broadcast(spark.createDataFrame(needed, "column string, __block int, before long, rank long"))
+    w = Window.partitionBy("column", "__block").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.join(ask.select("column", "__block").distinct(), ["column", "__block"], "left_semi").withColumn("upto", F.sum("n").over(w))
+    got = {(r["column"], r["rank"]): r["value"] for r in run.join(ask, ["column", "__block"]).where(
+        (F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("n"))).collect()}
     out: dict[str, list] = {}
-    if small:
-        row = df.agg(*[F.percentile(x(c), parr).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
     for c in cols:
-        if c not in out:
-            out[c] = exact_quantiles(df, c, probs)
+        out[c] = []
+        for p in wanted[c]:
+            if not total[c]:
+                out[c].append(None)
+                continue
+            h = p * (total[c] - 1)
+            lo = int(h // 1)
+            a, b = got[(c, lo)], got[(c, min(lo + 1, total[c] - 1))]
+            out[c].append(a if a == b else a + (h - lo) * (b - a))
     return out
 
 
-def modes(df: DataFrame, columns: Sequence[str], max_map: int = MAX_EXACT_MAP) -> dict[str, object]:
-    """Most frequent non-null value of each column; ties -> the smallest value.
+def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """Most frequent present value of each column; ties -> the smallest value.
 
-    Columns with at most ``max_map`` distinct values (fixed-size sketch) use
-    Spark's ``mode`` aggregate in one pass; larger ones a grouped count
-    (partial counts combined map-side, so a hot value costs one row per
-    partition) followed by ``min_by`` over the counts.
+    One grouped count per column type, then the best count of each column; no
+    task holds the values of a column.
     """
-    cols = list(columns)
-    if not cols:
-        return {}
-    nd = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] <= max_map]
-    out: dict[str, object] = {}
-    if small:
-        row = df.agg(*[F.mode(F.col(c), deterministic=True).alias(f"m{i}") for i, c in enumerate(small)]).first()
-        out.update({c: row[f"m{i}"] for i, c in enumerate(small)})
-    for c in cols:
-        if c not in out:
-            counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-            out[c] = counts.agg(F.min_by(F.col(c), F.struct(-F.col("__n"), F.col(c)))).first()[0]
+    out: dict[str, object] = {c: None for c in columns}
+    by_type: dict[str, list[str]] = {}
+    for c in dict.fromkeys(columns):
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for t, cols in by_type.items():
+        best = value_counts(df, cols, t).groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
+        out.update({r["column"]: r["value"] for r in best.collect()})       # one row per column
     return out

@@ -1,19 +1,21 @@
 """Saving and loading fitted objects (imputer, scaler, encoders, feature pipeline).
 
-A fitted object holds plain values (statistics, category lists, literal code
-maps), so it is written as one small JSON document next to the model and read
-back by the scoring job: the prediction batch is transformed with the
-training statistics, never refitted.  Code tables too large for literals are
-already written to the shared checkpoint folder; their path is stored.
+A fitted object holds plain values (statistics, category lists), written as one
+small JSON document next to the model, and fitted tables (codes, frequencies,
+means), written as parquet beside that document.  Nothing refers to the
+checkpoint folder, so the saved object outlives it.  The scoring job reads it
+back: the prediction batch is transformed with the training statistics, never
+refitted.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, fields, is_dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from tabloom.operators.encode import LabelCodes, Lookup, MapEncoder, OneHot
 from tabloom.operators.impute import Imputer
@@ -24,24 +26,18 @@ _KINDS = {"Imputer": Imputer, "Scaler": Scaler, "OneHot": OneHot, "LabelCodes":
           "MapEncoder": MapEncoder, "FeaturePipeline": FeaturePipeline}
 
 
-def _lookup_to_json(lk: Lookup) -> dict:
-    if lk.pairs is not None:
-        return {"column": lk.column, "pairs": lk.pairs, "default": lk.default}
-    # a distributed code table: keep it as parquet in the shared checkpoint folder
-    from tabloom.session import scratch_table_path
-    path = scratch_table_path(lk.table.sparkSession, f"lookup-{lk.column}")
-    lk.table.write.parquet(path)
-    return {"column": lk.column, "table_path": path, "default": lk.default}
+def _lookup_to_json(lk: Lookup, tables: str) -> dict:
+    name = uuid.uuid4().hex
+    lk.table.write.parquet(f"{tables}/{name}")
+    return {"column": lk.column, "table": name, "default": lk.default}
 
 
-def _lookup_from_json(spark: SparkSession, d: dict) -> Lookup:
-    if "pairs" in d:
-        return Lookup(d["column"], pairs=d["pairs"], default=d["default"])
-    return Lookup(d["column"], table=spark.read.parquet(d["table_path"]), default=d["default"])
+def _lookup_from_json(spark: SparkSession, d: dict, tables: str) -> Lookup:
+    return Lookup(d["column"], spark.read.parquet(f"{tables}/{d['table']}"), d["default"])
 
 
-def to_json(obj: Any) -> str:
-    """Serialise a fitted object to JSON text."""
+def to_json(obj: Any, tables: str) -> str:
+    """Serialise a fitted object to JSON text; its fitted tables go to the folder ``tables``."""
     kind = type(obj).__name__
     if kind not in _KINDS:
         raise TypeError(f"not a fitted object: {kind}")
@@ -51,16 +47,16 @@ def to_json(obj: Any) -> str:
         if isinstance(v, set):
             v = sorted(v)
         elif f.name == "lookups":
-            v = {c: _lookup_to_json(lk) for c, lk in v.items()}
+            v = {c: _lookup_to_json(lk, tables) for c, lk in v.items()}
         elif isinstance(v, LabelCodes):
-            v = json.loads(to_json(v))
+            v = json.loads(to_json(v, tables))
         elif is_dataclass(v):
             v = asdict(v)
         body[f.name] = v
     return json.dumps({"kind": kind, "body": body}, default=str, sort_keys=True)
 
 
-def from_json(spark: SparkSession, text: str) -> Any:
+def from_json(spark: SparkSession, text: str, tables: str) -> Any:
     """Rebuild a fitted object written by :func:`to_json`."""
     doc = json.loads(text)
     cls = _KINDS[doc["kind"]]
@@ -70,23 +66,17 @@ def from_json(spark: SparkSession, text: str) -> Any:
     if cls is Scaler:
         body["plan"] = {c: (m, p) for c, (m, p) in body["plan"].items()}
     if "lookups" in body:
-        body["lookups"] = {c: _lookup_from_json(spark, d) for c, d in body["lookups"].items()}
+        body["lookups"] = {c: _lookup_from_json(spark, d, tables) for c, d in body["lookups"].items()}
     if cls is FeaturePipeline and body.get("codes"):
-        body["codes"] = from_json(spark, json.dumps(body["codes"]))
+        body["codes"] = from_json(spark, json.dumps(body["codes"]), tables)
     return cls(**body)
 
 
 def save_params(obj: Any, path: str) -> None:
-    """Write a fitted object as a one-row JSON table at ``path``."""
+    """Write a fitted object at ``path``: a one-row JSON table, and its fitted tables under ``tables``."""
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(to_json(obj),)], "params string").coalesce(1).write.mode("overwrite").json(path)
+    spark.createDataFrame([(to_json(obj, f"{path}/tables"),)], "params string").coalesce(1).write.mode("overwrite").json(f"{path}/json")
 
 
 def load_params(spark: SparkSession, path: str) -> Any:
-    return from_json(spark, spark.read.json(path).first()["params"])
-
-
-def params_table(obj: Any) -> DataFrame:
-    """A fitted object as a one-row table (for a runs table or a catalog)."""
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(type(obj).__name__, to_json(obj))], "kind string, params string")
+    return from_json(spark, spark.read.json(f"{path}/json").first()["params"], f"{path}/tables")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import (
+    nan_to_null,
     WEEKDAY_JA, numeric_columns, sample_kurtosis, sample_skewness,
 )
 from tabloom.operators.clean import filter_rows_by_search, valid_sales
@@ -33,6 +34,18 @@ def _long(row: DataFrame, items: list[tuple[str, list[tuple[str, Column]]]]) ->
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def _is_missing(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    x = F.col(c)
+    return x.isNull() | F.isnan(x) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x.isNull()
+
+
+def _finite(c) -> Column:
+    """The value as a double; missing where it is NULL, NaN or infinite."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 # --- P1 / P8 / I1 ------------------------------------------------------------
 
 def column_classes(df: DataFrame) -> DataFrame:
@@ -40,7 +53,7 @@ def column_classes(df: DataFrame) -> DataFrame:
     num = set(numeric_columns(df))
     t = _types(df)
     row = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.sum(F.col(c).isNull().cast("bigint")).alias(f"__m{i}") for i, c in enumerate(df.columns)])
+                 *[F.sum(_is_missing(df, c).cast("bigint")).alias(f"__m{i}") for i, c in enumerate(df.columns)])
     items = [(c, [("dtype", F.lit(t[c].simpleString())),
                   ("column_class", F.lit("numeric" if c in num else "categorical")),
                   ("missing", F.coalesce(F.col(f"__m{i}"), F.lit(0))),
@@ -87,7 +100,7 @@ def overview(df: DataFrame, columns: Sequence[str] | None = None, head: int = 5)
     sub = df.select(*cols)
     num = set(numeric_columns(sub))
     row = sub.agg(F.count(F.lit(1)).alias("n_rows"),
-                  *[F.max(F.col(c).isNull().cast("int")).alias(f"__m{i}") for i, c in enumerate(cols)])
+                  *[F.max(_is_missing(sub, c).cast("int")).alias(f"__m{i}") for i, c in enumerate(cols)])
     summary = row.select(
         "n_rows", F.lit(len(cols)).alias("n_columns"),
         F.lit(sum(1 for c in cols if c in num)).alias("n_numeric"),
@@ -262,13 +275,13 @@ def search_then_analyze(df: DataFrame, search_col: str, word: str, column: str)
 def chart_data(df: DataFrame, column: str, max_distinct: int = 20, bins: int = 30, top: int = 20) -> DataFrame:
     """Data of the per-column chart.
 
-    <= 20 distinct values: counts per value; numeric with more: a 30-bin
-    histogram; text with more: the top 20 values.  The distinct check is one
-    bounded aggregation.
+    <= 20 distinct values (missing ones not counted): counts per value; numeric
+    with more: a 30-bin histogram; text with more: the top 20 values.  The
+    check is exact: distinct values, of which at most 21 are looked at.
     """
-    n = df.select(F.approx_count_distinct(column)).first()[0]
+    n = df.where(~_is_missing(df, column)).select(column).distinct().limit(max_distinct + 1).count()
     if n <= max_distinct:
-        return (df.groupBy(F.col(column).cast("string").alias("value"))
+        return (df.where(~_is_missing(df, column)).groupBy(F.col(column).cast("string").alias("value"))
                 .agg(F.count(F.lit(1)).alias("count")).where(F.col("value").isNotNull()))
     if column in numeric_columns(df, include_bool=False):
         return histogram(df, column, bins)
@@ -283,7 +296,7 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def _range(df: DataFrame, column: str) -> DataFrame:
-    x = F.col(column).cast("double")
+    x = _finite(column)
     r = df.agg(F.min(x).alias("__lo0"), F.max(x).alias("__hi0"))
     return r.select(
         F.when(F.col("__lo0") == F.col("__hi0"), F.col("__lo0") - 0.5).otherwise(F.col("__lo0")).alias("__lo"),
@@ -294,11 +307,11 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """P10: equal-width bins over [min, max], last bin closed (numpy rules).
 
     Output: bin, lower, upper, count for all ``bins`` bins (empty bins 0).
+    Missing, NaN and infinite values are left out.
     """
     spark = df.sparkSession
     rng = _range(df, column)  # one row
-    x = F.col(column).cast("double")
-    binned = (df.select(x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    binned = (df.select(_finite(column).alias("__x")).where(F.col("__x").isNotNull())
               .crossJoin(F.broadcast(rng))
               .select(_bin(F.col("__x"), F.col("__lo"), F.col("__hi"), bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
@@ -312,9 +325,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """Non-empty cells of the 2-D grid after dropping missing pairs."""
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    pairs = df.select(xs.alias("__x"), ys.alias("__y")).where(
-        F.col("__x").isNotNull() & F.col("__y").isNotNull() & ~F.isnan("__x") & ~F.isnan("__y"))
+    pairs = df.select(_finite(x).alias("__x"), _finite(y).alias("__y")).where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
     rng = pairs.agg(F.min("__x").alias("a0"), F.max("__x").alias("b0"),
                     F.min("__y").alias("c0"), F.max("__y").alias("d0")).select(
         F.when(F.col("a0") == F.col("b0"), F.col("a0") - 0.5).otherwise(F.col("a0")).alias("__xlo"),
@@ -423,15 +434,15 @@ def sales_by_hour(df: DataFrame, time: str = "time", sales: str = "sales", custo
 # --- P17 / P18 / P19 ---------------------------------------------------------
 
 def target_profile(df: DataFrame, target: str) -> DataFrame:
-    """Mean, std, min, max and missing count of the target."""
-    x = F.col(target).cast("double")
+    """Mean, std, min, max and missing count of the target (NaN is missing)."""
+    x = nan_to_null(F.col(target).cast("double"))
     return df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
                   F.max(x).alias("max"), F.sum(x.isNull().cast("bigint")).alias("missing"))
 
 
 def prediction_summary(df: DataFrame, column: str = "prediction", ddof: int = 1) -> DataFrame:
     """Count, mean, min, max, std (ddof 1 sample, ddof 0 population)."""
-    x = F.col(column).cast("double")
+    x = nan_to_null(F.col(column).cast("double"))
     std = F.stddev_samp(x) if ddof == 1 else F.stddev_pop(x)
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.min(x).alias("min"),
                   F.max(x).alias("max"), std.alias("std"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import nan_to_null, numeric_columns
-from tabloom.operators.order import exact_quantiles, quantiles
+from tabloom.operators.order import quantiles
 
 ALIASES = {"standardize": "standard", "normalize": "minmax", "robust_scale": "robust"}
 BOUNDS_THRESHOLD = 1e-7  # fixed value: edge tolerance of the uniform quantile transform
@@ -137,9 +137,7 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
     robust = [c for c, (m, _e) in methods.items() if m == "robust"]
     rq = quantiles(df, robust, [0.25, 0.5, 0.75], exact, accuracy) if robust else {}
 
-    # quantile landmarks need n first (n_quantiles = min(1000, n)); many
-    # probabilities at once are found by rank (a distributed sort) rather than
-    # by the percentile aggregate, which merges all distinct values in one task
+    # quantile landmarks need n first (n_quantiles = min(1000, n)); those of all columns are found together
     q_refs, qrow = {}, {}
     for c, (m, extra) in methods.items():
         if m == "quantile":
@@ -147,10 +145,8 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
             k = max(1, min(n_quantiles, n))
             refs = [float(r) for r in np.linspace(0, 1, k)] if k > 1 else [0.0]
             q_refs[c] = refs
-            if not exact:
-                qrow[c] = df.agg(F.percentile_approx(_x(c), F.array(*[F.lit(r) for r in refs]), accuracy)).first()[0]
-            else:
-                qrow[c] = exact_quantiles(df, c, refs) if n else None
+    for c, q in quantiles(df, list(q_refs), q_refs, exact, accuracy).items():
+        qrow[c] = q if get(c, "n") else None
 
     out = Scaler()
     for c, (m, extra) in methods.items():

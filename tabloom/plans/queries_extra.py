@@ -99,12 +99,11 @@ def map_column_join(spark, sf):
     return C.map_column_join(c, "c_nationkey", mapping, "nation_name")
 
 
-_GOLD = (f"((CAST(l_orderkey AS DOUBLE) * {M.GOLDEN!r} + {42 * M.PLASTIC!r}) - "
-         f"floor(CAST(l_orderkey AS DOUBLE) * {M.GOLDEN!r} + {42 * M.PLASTIC!r}))")
+_U_ORDER = M.uniform_sql("l_orderkey", 42)
 
 
 @query("fitted_fill_new_batch", f"""
-WITH s AS (SELECT *, CASE WHEN {_GOLD} < 0.2 THEN 'test' ELSE 'train' END AS split FROM li_missing)
+WITH s AS (SELECT *, CASE WHEN {_U_ORDER} < 0.2 THEN 'test' ELSE 'train' END AS split FROM li_missing)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        round(coalesce(l_quantity, (SELECT median(l_quantity) FROM s WHERE split = 'train')), 4) AS l_quantity,
        round(coalesce(l_tax, (SELECT median(l_tax) FROM s WHERE split = 'train')), 4) AS l_tax

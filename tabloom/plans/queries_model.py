@@ -17,8 +17,8 @@ from tabloom.plans.registry import query, rnd, rounded
 from tabloom.session import scratch_table_path
 
 _SEED = 42
-_U = (f"((CAST(l_orderkey AS DOUBLE) * {M.GOLDEN!r} + {_SEED * M.PLASTIC!r}) - "
-      f"floor(CAST(l_orderkey AS DOUBLE) * {M.GOLDEN!r} + {_SEED * M.PLASTIC!r}))")
+_U = M.uniform_sql("l_orderkey", _SEED)
+_U_FOLD = M.uniform_sql("l_orderkey", _SEED, "fold")
 
 
 @query("split_counts", f"""
@@ -30,7 +30,7 @@ def split_counts(spark, sf):
 
 
 @query("fold_counts", f"""
-SELECT CAST(least(floor({_U} * 5), 4) AS INTEGER) AS fold, count(*) AS n_rows FROM lineitem GROUP BY 1""")
+SELECT CAST(least(floor({_U_FOLD} * 5), 4) AS INTEGER) AS fold, count(*) AS n_rows FROM lineitem GROUP BY 1""")
 def fold_counts(spark, sf):
     li = M.add_folds(V.table(spark, sf, "lineitem"), "l_orderkey", 5, _SEED)
     return li.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))

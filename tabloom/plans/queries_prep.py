@@ -9,7 +9,7 @@ from tabloom.operators import impute as I
 from tabloom.operators import order as O
 from tabloom.operators import profile as P
 from tabloom.operators import scale as H
-from tabloom.operators.modeling import GOLDEN, PLASTIC, add_folds
+from tabloom.operators.modeling import add_folds, uniform_sql
 from tabloom.plans import views as V
 from tabloom.plans.registry import query, rounded
 
@@ -264,8 +264,7 @@ def target_encode(spark, sf):
     return rounded(E.fit_target_mean(c, ["c_mktsegment"], "c_acctbal").apply(c).drop("c_acctbal"))
 
 
-_U_CUST = (f"((CAST(c_custkey AS DOUBLE) * {GOLDEN!r} + {42 * PLASTIC!r}) - "
-           f"floor(CAST(c_custkey AS DOUBLE) * {GOLDEN!r} + {42 * PLASTIC!r}))")
+_U_CUST = uniform_sql("c_custkey", 42, "fold")
 
 
 @query("target_encode_oof", f"""

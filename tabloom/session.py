@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -72,8 +73,10 @@ def scale_settings(input_bytes: int, cores: int, target_partition_bytes: int = 2
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local tests) a
-    private scratch folder is created and registered.  The folder is
+    The cluster's setting always wins.  Only a session whose driver and
+    executors are one process (``local`` masters) may go without it; it gets a
+    private scratch folder.  Anywhere else an unset folder is an error, since
+    executors would write to disks that the others cannot read.  The folder is
     registered with the context once (each registration would add a new
     sub-folder).
     """
@@ -83,6 +86,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = os.path.join(tempfile.mkdtemp(prefix="tabloom-ckpt-"), "ckpt")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

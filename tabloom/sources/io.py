@@ -14,7 +14,7 @@ from datetime import datetime
 from functools import reduce
 from typing import Any, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,16 +26,19 @@ log = logging.getLogger(__name__)
 # --- S1 / S2 / S3: CSV ingestion and typing ------------------------------------
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
-             header: bool = True, headers: Sequence[str] | None = None) -> DataFrame:
+             header: bool = True, headers: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
     """S1 + S2: read CSV text columns; blanks become NULL.
 
     Without a header the columns are named ``"0", "1", ...`` unless
     ``headers`` supplies the names, whose count must match the columns.
     Everything is read as text; :func:`infer_column_types` types it in one
-    pass.
+    pass.  Cells may hold doubled quotes and, with ``multiline``, line breaks;
+    a file is then one task's, so large files without line breaks in cells are
+    better read with ``multiline=False``.
     """
     df = (spark.read.option("sep", delimiter).option("encoding", encoding)
           .option("header", header).option("inferSchema", False)
+          .option("quote", '"').option("escape", '"').option("multiLine", multiline)
           .option("nullValue", "").option("emptyValue", None).csv(path))
     if headers is not None:
         if len(headers) != len(df.columns):
@@ -58,7 +61,7 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 
 
 def infer_column_types(df: DataFrame) -> DataFrame:
-    """S3: INTEGER if every non-null value is an integer, else REAL if every one
+    """S3: INTEGER if every non-null value is an integer that a bigint holds, else REAL if every one
     is a number, else TEXT; an all-null column is TEXT.  One aggregation.
 
     Blank text counts as missing.  A numeric-text guard keeps Spark's lenient
@@ -69,7 +72,7 @@ def infer_column_types(df: DataFrame) -> DataFrame:
         s = F.col(c).cast("string")
         s = F.when(F.trim(s) != "", s)
         aggs += [F.count(s).alias(f"n{i}"),
-                 F.sum((s.isNotNull() & ~s.rlike(INTEGER_TEXT)).cast("bigint")).alias(f"ni{i}"),
+                 F.sum((s.isNotNull() & ~(s.rlike(INTEGER_TEXT) & F.trim(s).try_cast("bigint").isNotNull())).cast("bigint")).alias(f"ni{i}"),
                  F.sum((s.isNotNull() & ~s.rlike(NUMERIC_TEXT)).cast("bigint")).alias(f"nr{i}")]
     row = df.agg(*aggs)
     items = []
@@ -120,11 +123,12 @@ def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = N
 def list_tables(spark: SparkSession, with_counts: bool = True, database: str | None = None) -> DataFrame:
     """Table names (temporary/system tables hidden) with row counts in one job."""
     tables = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+    full = {t: f"`{database}`.`{t}`" if database else f"`{t}`" for t in tables}
     if not tables:
         return spark.createDataFrame([], "name string, rows bigint")
     if not with_counts:
         return spark.createDataFrame([(t,) for t in tables], "name string")
-    parts = [spark.table(t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("name"), "rows")
+    parts = [spark.table(full[t]).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("name"), "rows")
              for t in tables]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -157,17 +161,14 @@ def dtype_name(t: T.DataType) -> str:
     return t.simpleString()
 
 
-def table_summary(df: DataFrame, approx_above: int | None = None) -> DataFrame:
+def table_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column type, NULL count and distinct count, plus row/column counts.
 
     One aggregation for all columns (the reference ran two queries per
-    column).  ``approx_above``: switch to ``approx_count_distinct`` when the
-    table has more rows than this (exact distinct counts keep a set per
-    column).
+    column).  ``exact=False`` counts distinct values approximately, with a sketch
+    of fixed size per column.
     """
-    cd = F.count_distinct
-    if approx_above is not None and df.count() > approx_above:
-        cd = F.approx_count_distinct
+    cd = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
         aggs += [F.sum(F.col(c).isNull().cast("bigint")).alias(f"z{i}"), cd(F.col(c)).alias(f"d{i}")]
@@ -212,8 +213,7 @@ def save_table(df: DataFrame, name: str | None = None, overwrite: bool = False,
 def export_csv(tables: dict[str, DataFrame], out_dir: str, known: Sequence[str] | None = None) -> DataFrame:
     """One headed UTF-8 CSV directory per table; unknown names are skipped.
 
-    Returns (table, rows, status) -- the row totals are counted in the same
-    pass as the write would need, one job per table.
+    Returns (table, rows, status); the rows are counted by the writing job itself.
     """
     spark = next(iter(tables.values())).sparkSession if tables else None
     rows = []
@@ -222,8 +222,10 @@ def export_csv(tables: dict[str, DataFrame], out_dir: str, known: Sequence[str]
             log.warning("unknown table %s skipped", name)
             rows.append((name, 0, "skipped"))
             continue
-        df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{out_dir}/{name}")
-        rows.append((name, spark.read.option("header", True).csv(f"{out_dir}/{name}").count(), "written"))
+        seen = Observation()
+        (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True)
+         .option("encoding", "UTF-8").option("escape", '"').csv(f"{out_dir}/{name}"))
+        rows.append((name, seen.get["n"], "written"))
     return spark.createDataFrame(rows, "table string, rows bigint, status string")
 
 

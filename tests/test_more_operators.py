@@ -94,13 +94,27 @@ def test_merge_on_key_overlap_suffix_and_missing_key(spark):
         J.merge_on_key({"a": a, "c": spark.createDataFrame([(1,)], "q int")}, "k")
 
 
-def test_auto_date_join_keys_and_fallback_error(spark):
+def test_auto_date_join_keys_three_tables_and_fallback(spark):
     sales = spark.createDataFrame([("2024-01-01 10:00:00", 5.0)], "date string, sales double")
     weather = spark.createDataFrame([("2024-01-01 10:00:00", 3.5)], "Date_and_Time string, temp double")
     out = J.auto_date_join({"sales": sales, "weather": weather})
     assert rows(out, "sales", "temp") == [(5.0, 3.5)]
+    more = spark.createDataFrame([("2024-01-01 10:00:00", 7.5, 1.0)], "Date_and_Time string, temp double, date_x double")
+    three = J.auto_date_join({"sales": sales, "weather": weather, "more": more})
+    assert rows(three, "sales", "temp", "temp_more") == [(5.0, 3.5, 7.5)] and "Date_and_Time_more" in three.columns
+    plain = spark.createDataFrame([(2, 9.0), (1, 8.0)], "x int, sales double")
+    out = J.auto_date_join({"sales": sales, "plain": plain, "weather": weather})
+    assert sorted(rows(out, "sales", "x", "sales_plain", "temp"), key=str) == sorted([(5.0, 1, 8.0, 3.5), (None, 2, 9.0, None)], key=str)
+    assert out.columns == ["date", "sales", "x", "sales_plain", "Date_and_Time", "temp"]
+
+
+def test_merge_auto(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([("y", 2)], "v string, k int")
+    assert sorted(rows(J.merge_auto({"a": a, "b": b}))) == [(1, "x"), (2, "y")]
+    c = spark.createDataFrame([(5.0,)], "w double")
+    assert rows(J.merge_auto({"a": a, "c": c})) == [(1, "x", 5.0)] and rows(J.merge_auto({"a": a})) == [(1, "x")]
     with pytest.raises(ValueError):
-        J.auto_date_join({"sales": sales, "plain": spark.createDataFrame([(1,)], "x int")})
+        J.merge_auto({"a": a, "c": c.union(c)})
 
 
 def test_table_infos_and_strategy(spark):

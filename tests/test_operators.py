@@ -309,12 +309,13 @@ def test_label_codes_unseen_and_missing(spark):
     assert rows(e3.apply(new)) == [(0,), (1,), (None,), (None,)]
 
 
-def test_label_codes_distributed_path(spark):
-    df = spark.range(300).select(F.format_string("v%03d", "id").alias("k"))
-    codes = E.fit_label_codes(df, ["k"], max_literal=50)
-    assert codes.lookups["k"].table is not None
-    got = sorted(rows(codes.apply(df, suffix="_code"), "k", "k_code"))
-    assert got == [(f"v{i:03d}", i) for i in range(300)]
+def test_label_codes_do_not_depend_on_size(spark):
+    """Codes and their type are the same for three categories and for many."""
+    for n in (3, 20_000):
+        df = spark.range(n).select(F.format_string("v%05d", "id").alias("k"))
+        out = E.fit_label_codes(df, ["k"]).apply(df, suffix="_code")
+        assert dict(out.dtypes)["k_code"] == "bigint"
+        assert sorted(rows(out, "k", "k_code")) == [(f"v{i:05d}", i) for i in range(n)]
 
 
 def test_frequency_and_target_encoding(spark):
@@ -504,13 +505,12 @@ def test_quantiles_and_modes_large_cardinality_paths(spark):
     x = rng.normal(size=500).round(4)
     df = spark.createDataFrame([(float(v), int(i % 7) if i % 11 else 3) for i, v in enumerate(x)], "x double, k int")
     small = O.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"]
-    big = O.quantiles(df, ["x"], [0.25, 0.5, 0.75], max_map=10)["x"]  # forces the rank-based path
-    assert np.allclose(small, big) and np.allclose(big, np.percentile(x, [25, 50, 75]))
-    m_small = O.modes(df, ["k"])["k"]
-    m_big = O.modes(df, ["k"], max_map=2)["k"]  # forces the grouped two-stage path
-    assert m_small == m_big == pd.Series([int(i % 7) if i % 11 else 3 for i in range(500)]).mode().min()
+    both = O.quantiles(df, ["k", "x"], {"k": [0.5], "x": [0.25, 0.5, 0.75]}, nblocks=7)
+    assert np.allclose(small, both["x"]) and np.allclose(small, np.percentile(x, [25, 50, 75]))
+    assert both["k"] == [np.median([int(i % 7) if i % 11 else 3 for i in range(500)])]
+    assert O.modes(df, ["k"])["k"] == pd.Series([int(i % 7) if i % 11 else 3 for i in range(500)]).mode().min()
     tie = spark.createDataFrame([(3,), (1,), (3,), (1,)], "v int")
-    assert O.modes(tie, ["v"], max_map=1)["v"] == 1
+    assert O.modes(tie, ["v"])["v"] == 1
 
 
 def test_fitted_statistics_do_not_move_with_the_batch(spark):
