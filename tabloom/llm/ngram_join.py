@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabloom.llm.common import materialize, parallel
 from tabloom.llm.components import components
-from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, slices, to_ipc, unpack
+from tabloom.llm.suffix_dedup import Rolling, doc_bucket, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 
 UNIT_BYTES = 4 << 20       # text bytes of a unit
 ID_BITS = 40               # bits of a shingle's hash that are counted (collisions only change its class)
@@ -41,6 +41,11 @@ _U = np.uint64
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle hash) of the documents' distinct shingles, sorted by document and hash."""
+    parts = [(doc + s, h) for s, e in runs_of(texts) for doc, h in [_shingle_sets(texts[s:e], k)]]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     words = [t.lower().split() for t in texts]
     raw = np.frombuffer(b" ".join(b" ".join(w) for w in words if w), np.uint8)
     if not len(raw):
@@ -269,7 +274,11 @@ def can_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
 
 
 def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Screened pairs that share an index key and lie in different components."""
+    """Screened pairs that share an index key and lie in different components.
+
+    A pair recurs under every key that it shares; the lists of pairs are merged
+    as arrays, so that each pair becomes one row.
+    """
     placed = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     placed = materialize(placed, "placed")
     several = (placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"))
@@ -279,6 +288,7 @@ def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent:
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
             .join(sets.select("node", "n", "bits"), "node"))
+    merged = 2 * parallel(keys)
     deal = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(8 * parallel(keys)))
 
     def meet(key, t):
@@ -314,10 +324,18 @@ def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent:
                 differ = np.bitwise_count(folded[np.searchsorted(used, x[part])] ^ folded[np.searchsorted(used, y[part])]).sum(1).astype(np.int64)
                 both = n_of[x[part]] + n_of[y[part]]
                 keep[part] = (100 + percent) * (both - differ) >= 2 * percent * both
-        return pa.table({"a": pa.array(name[x[keep]], pa.int64()), "b": pa.array(name[y[keep]], pa.int64())})
+        a, b = name[x[keep]], name[y[keep]]
+        out = [(k, pack(a=a[g].astype("<i8"), b=b[g].astype("<i8"))) for k, g in groups(doc_bucket(a, merged))]
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "blob": pa.array([r[1] for r in out], pa.binary())})
+
+    def once(key, t):
+        got = [unpack(x.as_py(), "<i8", "<i8") for x in t.column("blob")]
+        pair = np.unique(np.stack([np.concatenate([g[k] for g in got]) for k in (0, 1)], 1), axis=0)
+        return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
 
     rows = rows.select(deal.alias("deal"), "key", "lo", "hi", "own", "node", "label", "n", "bits")
-    return rows.groupBy("deal").applyInArrow(meet, "a long, b long").distinct()
+    return (rows.groupBy("deal").applyInArrow(meet, "bucket long, blob binary")
+            .groupBy("bucket").applyInArrow(once, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
