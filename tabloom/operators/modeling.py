@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import warnings
 from dataclasses import dataclass, field
 from typing import Any, Sequence
 
@@ -144,8 +145,12 @@ _PARAM_MAP = {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth
 def gbt_params(params: dict[str, Any]) -> dict[str, Any]:
     """Map reference-style parameter names to ``GBTRegressor`` params.
 
-    num_leaves / reg_alpha / reg_lambda have no Spark equivalent and are ignored.
+    num_leaves / reg_alpha / reg_lambda have no Spark equivalent; they are left
+    out with a warning, so a search over them does not go unnoticed.
     """
+    unknown = sorted(set(params) - set(_PARAM_MAP) - {"colsample"})
+    if unknown:
+        warnings.warn(f"parameters without an equivalent are ignored: {unknown}", stacklevel=2)
     out = {}
     for k, v in params.items():
         if k in _PARAM_MAP:

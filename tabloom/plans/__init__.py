@@ -2,7 +2,7 @@
 
 
 MODULES = ("queries_sales", "queries_clean", "queries_dates", "queries_prep", "queries_profile",
-           "queries_merge", "queries_model", "queries_extra")
+           "queries_merge", "queries_model", "queries_extra", "queries_keys")
 
 
 def load_all():

@@ -121,7 +121,8 @@ def feature_pipeline(spark, sf):
 
 def _prepared(spark, sf):
     t = model_table(spark, sf)
-    fp = M.fit_feature_pipeline(t, target="l_extendedprice")
+    train = M.add_split(t, "l_orderkey", 0.2, _SEED).where(F.col("split") == "train").drop("split")
+    fp = M.fit_feature_pipeline(train, target="l_extendedprice")      # the test rows are not looked at
     data = M.add_split(fp.apply(t), "l_orderkey", 0.2, _SEED)
     feats = [c for c in data.columns if c not in ("l_orderkey", "l_linenumber", "l_extendedprice", "split")]
     return data, feats
@@ -197,8 +198,7 @@ def simple_tuning(spark, sf):
 def nested_cv_tuning(spark, sf):
     """M10 + R6: nested CV; the summary is written as JSON and read back with best/worst scores."""
     data, feats = _prepared(spark, sf)
-    res = M.nested_cv(data, feats, "l_extendedprice", _SPACE, key="l_orderkey", outer=3, inner=2, n_trials=2,
-                      refit=False)
+    res = M.nested_cv(data, feats, "l_extendedprice", _SPACE, key="l_orderkey", outer=3, inner=2, n_trials=2)
     path = scratch_table_path(spark, "tuning_summary")
     res.summary(spark).coalesce(1).write.mode("overwrite").json(path)
     out = R.read_tuning_summaries(spark, path)

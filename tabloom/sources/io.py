@@ -188,12 +188,6 @@ def update_where(df: DataFrame, assignments: dict[str, Any | Column], condition:
                            for c, v in assignments.items()})
 
 
-def delete_where(df: DataFrame, condition: str | Column) -> DataFrame:
-    """DELETE ... WHERE: a row whose condition is UNKNOWN is kept."""
-    cond = F.expr(condition) if isinstance(condition, str) else condition
-    return df.filter(~null_safe_true(cond))
-
-
 def save_table(df: DataFrame, name: str | None = None, overwrite: bool = False, prefix: str = "merged",
                path: str | None = None) -> str:
     """Write a table; refuse if it exists unless ``overwrite``.
@@ -224,7 +218,8 @@ def export_csv(tables: dict[str, DataFrame], out_dir: str, known: Sequence[str]
             continue
         seen = Observation()
         (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True)
-         .option("encoding", "UTF-8").option("escape", '"').csv(f"{out_dir}/{name}"))
+         .option("encoding", "UTF-8").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(f"{out_dir}/{name}"))
         rows.append((name, seen.get["n"], "written"))
     return spark.createDataFrame(rows, "table string, rows bigint, status string")
 

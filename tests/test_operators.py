@@ -497,7 +497,7 @@ def test_csv_blank_to_null_and_type_inference(spark, tmp_path):
 def test_update_delete_where(spark):
     df = spark.createDataFrame([(1, 5), (2, None)], "id int, x int")
     assert rows(S.update_where(df, {"x": 0}, "x > 3")) == [(1, 0), (2, None)]
-    assert rows(S.delete_where(df, "x > 3")) == [(2, None)]
+    assert rows(C.delete_rows_where(df, "x > 3")) == [(2, None)]
 
 
 def test_quantiles_and_modes_large_cardinality_paths(spark):
