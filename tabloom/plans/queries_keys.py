@@ -10,7 +10,7 @@ from tabloom.operators import modeling as M
 from tabloom.operators import order as O
 from tabloom.operators import profile as P
 from tabloom.plans import views as V
-from tabloom.plans.registry import query
+from tabloom.plans.registry import query, rnd
 from tabloom.session import scratch_table_path
 from tabloom.sources import io as S
 
@@ -134,4 +134,4 @@ def encoding_plan_new_batch(spark, sf):
     o = M.add_split(V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", 0.2, 42)
     plan = E.fit_encoding(o.where("split = 'train'"), {"o_orderstatus": "label", "o_orderpriority": "frequency"})
     out = plan.apply(o.where("split = 'test'").drop("split"))
-    return out.withColumn("o_orderpriority_freq", F.round(F.col("o_orderpriority_freq") * F.lit(1.000000000001), 6))
+    return out.withColumn("o_orderpriority_freq", rnd("o_orderpriority_freq", 6))

@@ -31,9 +31,6 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     return deco
 
 
-NUDGE = 1.000000000001  # fixed value: relative nudge applied before rounding
-
-
 def _split_top_comma(args: str) -> tuple[str, str | None]:
     depth, quote = 0, False
     last = None
@@ -51,14 +48,15 @@ def _split_top_comma(args: str) -> tuple[str, str | None]:
 
 
 def positive_zero(sql: str) -> str:
-    """Rewrite every ``round(x, d)`` of a DuckDB twin as ``(round((x) * NUDGE, d) + 0.0)``.
-
-    * Rounding ``x * (1 + 1e-12)`` instead of ``x`` moves the decision point
-      away from exact decimal ties (averages of 2-decimal values often land
-      exactly on ``...5``), where the last-bit differences between two
-      engines' sums would otherwise round in opposite directions.  The Spark
-      side (:func:`rnd`) applies the same nudge.
-    * Adding 0.0 turns DuckDB's -0.0 into 0.0, as Spark returns.
+    """Rewrite every ``round(x, d)`` of a DuckDB twin as rounding of an exact decimal.
+
+    Two engines add doubles in different orders, so the last bits of a sum or
+    average differ, and a value that is a decimal tie (``...5``, common for
+    averages of 2-decimal values) would round in opposite directions.  Both
+    sides therefore take the value to 8 decimals first, which removes those
+    bits and changes nothing else, and round the decimal half up.  Values that
+    no such decimal holds are left as they are.  Adding 0.0 turns DuckDB's -0.0
+    into 0.0, as Spark returns.
     """
     out, i = [], 0
     while True:
@@ -76,17 +74,14 @@ def positive_zero(sql: str) -> str:
         out.append(sql[i:start])
         x, d = _split_top_comma(sql[i + m.end():j - 1])
         x = positive_zero(x)
-        if d is None:
-            out.append(f"(round(({x}) * {NUDGE!r}) + 0.0)")
-        else:
-            out.append(f"(round(({x}) * {NUDGE!r}, {d.strip()}) + 0.0)")
+        out.append(f"(coalesce(CAST(round(TRY_CAST(({x}) AS DECIMAL(38, 8)), {(d or '0').strip()}) AS DOUBLE), CAST(({x}) AS DOUBLE)) + 0.0)")
         i = j
 
 
 def rnd(c, digits: int = 4) -> Column:
-    """Spark side of the twins' rounding: ``round(c * NUDGE, digits)``."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c * F.lit(NUDGE), digits)
+    """Spark side of the twins' rounding: the value to 8 decimals, then half up to ``digits``."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.coalesce(F.round(c.try_cast("decimal(38,8)"), digits).cast("double"), c)
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
