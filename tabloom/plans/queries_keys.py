@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tabloom.operators import clean as C
 from tabloom.operators import encode as E
+from tabloom.operators import impute as I
 from tabloom.operators import merge as J
 from tabloom.operators import modeling as M
 from tabloom.operators import order as O
 from tabloom.operators import profile as P
 from tabloom.plans import views as V
 from tabloom.plans.registry import query, rnd
-from tabloom.session import scratch_table_path
+from tabloom.session import cut_lineage, scratch_table_path
 from tabloom.sources import io as S
 
 _BIG = "CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT)"
@@ -135,3 +139,96 @@ def encoding_plan_new_batch(spark, sf):
     plan = E.fit_encoding(o.where("split = 'train'"), {"o_orderstatus": "label", "o_orderpriority": "frequency"})
     out = plan.apply(o.where("split = 'test'").drop("split"))
     return out.withColumn("o_orderpriority_freq", rnd("o_orderpriority_freq", 6))
+
+
+@query("keep_and_drop_columns", "SELECT o_orderkey, o_orderstatus, 'o_none' AS missing FROM orders")
+def keep_and_drop_columns(spark, sf):
+    """Columns dropped (an unknown one is skipped), kept, and the names that are missing."""
+    o = C.drop_columns(V.table(spark, sf, "orders"), ["o_totalprice", "o_none"])
+    missing = C.validate_columns(o, ["o_orderkey", "o_none"])
+    return C.keep_columns(o, ["o_orderkey", "o_orderstatus"]).withColumn("missing", F.lit(",".join(missing)))
+
+
+@query("infinite_to_missing", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 < 3 THEN CAST(l_quantity AS DOUBLE) END AS x FROM lineitem""")
+def infinite_to_missing(spark, sf):
+    """infinite values of either sign and NaN become missing."""
+    m = F.col("l_orderkey") % 5
+    x = F.when(m < 3, F.col("l_quantity").cast("double")).otherwise(
+        F.when(m == 3, F.when(F.col("l_linenumber") % 2 == 0, float("inf")).otherwise(float("-inf"))).otherwise(float("nan")))
+    return C.inf_to_missing(V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x")))
+
+
+@query("nan_counts", """
+SELECT 'x' AS "column", CAST(sum(CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+       round(avg(CASE WHEN l_orderkey % 5 > 0 THEN l_linenumber END), 4) AS mean FROM lineitem""")
+def nan_counts(spark, sf):
+    """NaN counts as missing and does not reach the mean."""
+    x = F.when(F.col("l_orderkey") % 5 == 0, float("nan")).otherwise(F.col("l_linenumber").cast("double"))
+    d = V.table(spark, sf, "lineitem").select(x.alias("x"))
+    return P.column_classes(d).select("column", "missing").crossJoin(P.target_profile(d, "x").select(rnd("mean", 4).alias("mean")))
+
+
+@query("histogram_with_gaps", """
+WITH d AS (SELECT CAST(l_linenumber AS DOUBLE) AS x FROM lineitem WHERE l_orderkey % 5 > 1),
+     r AS (SELECT min(x) AS lo, max(x) AS hi FROM d)
+SELECT CAST(least(floor((x - lo) / ((hi - lo) / 6)), 5) AS INTEGER) AS bin, count(*) AS "count" FROM d, r GROUP BY 1""")
+def histogram_with_gaps(spark, sf):
+    """P10: NaN and infinite values stay out of the edges and the bins."""
+    m = F.col("l_orderkey") % 5
+    x = F.when(m == 0, float("nan")).when(m == 1, float("inf")).otherwise(F.col("l_linenumber").cast("double"))
+    h = P.histogram(V.table(spark, sf, "lineitem").select(x.alias("x")), "x", 6)
+    return h.where(F.col("count") > 0).select("bin", "count")
+
+
+@query("numeric_text_features", """
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS as_text, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS DOUBLE) / 4 END AS x FROM orders""")
+def numeric_text_features(spark, sf):
+    """Numbers as text, and text features back as numbers (blanks and words are missing)."""
+    o = C.stringify(V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("as_text"),
+                                                         (F.col("o_custkey") / 4).alias("q")), ["as_text", "q"])
+    n = F.col("as_text").cast("long") % 3
+    d = o.withColumn("x", F.when(n > 0, F.col("q")).otherwise(F.when(F.col("as_text").cast("long") % 2 == 0, " ").otherwise("many")))
+    return C.to_numeric_features(d, ["x"]).select("o_orderkey", "as_text", "x")
+
+
+@query("update_where_condition", """
+SELECT o_orderkey, CASE WHEN o_totalprice > 150000 AND o_orderstatus = 'O' THEN 'big' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def update_where_condition(spark, sf):
+    """Rows where the condition holds are updated, others stay."""
+    o = S.update_where(V.table(spark, sf, "orders"), {"o_orderpriority": "big"}, "o_totalprice > 150000 AND o_orderstatus = 'O'")
+    return o.select("o_orderkey", "o_orderpriority")
+
+
+@query("constant_fill", "SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_orderstatus ELSE 'none' END AS s FROM orders")
+def constant_fill(spark, sf):
+    """A column with gaps is filled with a constant."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 4 > 0, F.col("o_orderstatus")).alias("s"))
+    return I.fit_imputer(o, {"s": "constant"}, constants={"s": "none"}).apply(o)
+
+
+@query("catalog_round_trip", """
+SELECT c_nationkey, count(*) AS n, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) * 2 AS n_rows, 3 AS n_columns
+FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1""")
+def catalog_round_trip(spark, sf):
+    """A table created from data, appended to, listed, counted, read back by columns, and dropped."""
+    half = V.table(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_nationkey", "c_acctbal")
+    name = f"tabloom_{uuid.uuid4().hex}"
+    S.create_table(spark, name, half)
+    S.insert_rows(half, name)
+    listed = {r["name"]: r["rows"] for r in S.list_tables(spark).where(F.col("name") == name).collect()}
+    back = cut_lineage(S.read_table(spark, name, ["c_custkey", "c_nationkey"]).dropDuplicates(["c_custkey"])
+                       .groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")))
+    n_rows, n_columns = S.table_count(spark.table(name)), S.table_schema(spark.table(name)).count()
+    if not S.table_exists(spark, name) or listed != {name: n_rows}:
+        raise RuntimeError(f"the catalog lists {listed}, the table has {n_rows} rows")
+    spark.sql(f"DROP TABLE {name}")
+    return back.select("c_nationkey", "n", F.lit(n_rows).cast("long").alias("n_rows"), F.lit(n_columns).alias("n_columns"))
+
+
+@query("merge_auto_vertical", "SELECT o_orderkey, o_custkey FROM orders")
+def merge_auto_vertical(spark, sf):
+    """J6 joined to its merge: equal column sets in another order are appended."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    even, odd = o.where("o_custkey % 2 = 0"), o.where("o_custkey % 2 = 1").select("o_custkey", "o_orderkey")
+    return J.merge_auto({"even": even, "odd": odd})
