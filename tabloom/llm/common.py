@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,3 +49,15 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     col = batch.column(name)
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
+
+
+def release() -> None:
+    """Give memory that freed arrays held back to the system.
+
+    A worker serves one stage after another; without this it keeps the most
+    that any of them took beside the executor's heap.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

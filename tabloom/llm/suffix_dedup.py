@@ -30,12 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import parallel
+from tabloom.llm.common import parallel, release
 
 GRAM = 16                    # leading bytes that place a suffix
 CHUNK = 1 << 20              # bytes that the anchor search handles at once
 PART_BYTES = 6 << 20         # text bytes of a batch's part, within which equal strings are settled at once
 BUCKET_SUFFIXES = 100_000    # suffixes that a bucket is planned for
+LEVEL = 4                    # zstd level of what holds text
 SAMPLE_BYTES = 8 << 20       # text bytes of the sample that gives the splitters
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)   # odd, so it has an inverse modulo 2**64
@@ -216,10 +217,10 @@ def _characters(rows: np.ndarray) -> np.ndarray:
     return wide.view(">u8").astype(_U)
 
 
-def pack(**columns: np.ndarray) -> bytes:
+def pack(level: int = 1, /, **columns: np.ndarray) -> bytes:
     """Arrays as one zstd-compressed blob."""
     batch = pa.RecordBatch.from_pydict({"v": pa.array([v.tobytes() for v in columns.values()], pa.large_binary())})
-    return to_ipc(batch)
+    return to_ipc(batch, level)
 
 
 def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -227,9 +228,9 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return [np.frombuffer(col[i].as_py(), t) for i, t in enumerate(types)]
 
 
-def to_ipc(batch: pa.RecordBatch) -> bytes:
+def to_ipc(batch: pa.RecordBatch, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -247,7 +248,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBat
 
 
 def doc_hash(texts: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], _U)
+    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in texts], np.uint32)
 
 
 def doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
@@ -366,7 +367,7 @@ def batch_suffixes(texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, plan
 def removed_ranges(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, n: int, base: int):
     """Rows (bucket, blob) of removed byte ranges by document bucket."""
     for b, own in groups(doc_bucket(ids, n)):
-        yield base + b, pack(i=ids[own].astype("<i8"), h=hashes[own].astype("<u8"), s=start[own].astype("<i8"), e=end[own].astype("<i8"))
+        yield base + b, pack(i=ids[own].astype("<i8"), h=hashes[own].astype("<u4"), s=start[own].astype("<i8"), e=end[own].astype("<i8"))
 
 
 def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,8 +391,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
 
     Null and empty texts, and texts under ``width`` bytes, keep everything.  A
     null doc_id counts as smaller than any other.  Rows with one doc_id and
-    different texts are different documents in an order of their own (by a hash
-    of the text); of rows that are repeated with id and text, one counts as
+    different texts are different documents in an order of their own (by a 32-bit
+    hash of the text); of rows that are repeated with id and text, one counts as
     the first and the others as later copies.
     """
     kept = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
@@ -416,18 +417,20 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, text, PART_BYTES)):
+            release()
             texts, ids = texts_of(b), ids_of(b)
             hashes = doc_hash(texts)
             for rows, mask, bucket, doc, pos, before, after, seen in batch_suffixes(texts, ids, hashes, plan, width):
                 yield rows_of(removed_ranges(ids[seen[0]], hashes[seen[0]], seen[1], seen[2], n_docs, plan.buckets))
-                yield rows_of((k, pack(i=ids[doc[g]].astype("<i8"), h=hashes[doc[g]].astype("<u8"), p=pos[g].astype("<i8"),
+                yield rows_of((k, pack(LEVEL, i=ids[doc[g]].astype("<i8"), h=hashes[doc[g]].astype("<u4"), p=pos[g].astype("<i8"),
                                        b=before[g].astype(np.uint8), a=after[g].astype(np.uint8), t=rows[g][mask[g]]))
                               for k, g in groups(bucket))
 
     def sort_bucket(key, t):
+        release()
         if key[0].as_py() >= plan.buckets:
             return t
-        cols = [unpack(x.as_py(), "<i8", "<u8", "<i8", "u1", "u1", "u1") for x in t.column("blob")]
+        cols = [unpack(x.as_py(), "<i8", "<u4", "<i8", "u1", "u1", "u1") for x in t.column("blob")]
         ids, hashes, pos, before, after, raw = (np.concatenate([c[k] for c in cols]) for k in range(6))
         before, after = before.astype(np.int64), after.astype(np.int64)
         rows = np.zeros((len(ids), 2 * width - GRAM), np.uint8)
@@ -448,12 +451,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield rows_of((plan.buckets + k, to_ipc(b.take(pa.array(g)))) for k, g in groups(doc_bucket(ids_of(b), n_docs)))
+            yield rows_of((plan.buckets + k, to_ipc(b.take(pa.array(g)), LEVEL)) for k, g in groups(doc_bucket(ids_of(b), n_docs)))
 
     def finish(key, t):
         gone: dict[tuple[int, int], list] = {}
         for x in t.filter(pc.equal(t.column("kind"), 1)).column("blob"):
-            for i, h, s, e in zip(*(c.tolist() for c in unpack(x.as_py(), "<i8", "<u8", "<i8", "<i8"))):
+            for i, h, s, e in zip(*(c.tolist() for c in unpack(x.as_py(), "<i8", "<u4", "<i8", "<i8"))):
                 gone.setdefault((i, h), []).append((s, e))
         out = []
         repeated: set[tuple[int, int]] = set()
