@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.bpe import Pieces
-from tabloom.llm.common import materialize, parallel
+from tabloom.llm.common import materialize, parallel, release
 from tabloom.llm.hilbert import hilbert_index
+from tabloom.llm.suffix_dedup import groups
 
 DIMS, BITS = 3, 16      # projected dimensions, bits of each on the curve's grid
 END = 1                 # id after each document
+RUN_IDS = 1 << 20       # ids whose vectors are summed at once
+WORDS = 200_000         # words that a worker remembers
 
 
 def _directions(ids: np.ndarray) -> np.ndarray:
@@ -38,13 +41,15 @@ def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
     if not docs:
         return np.zeros(0, np.int64)
     n = np.array([len(d) for d in docs], np.int64)
-    flat = np.concatenate(docs) if n.sum() else np.zeros(0, np.uint16)
-    ends = np.cumsum(n)
     signs = _directions(np.arange(1 << 16))
     coords = np.empty((len(docs), DIMS))
-    for d in range(DIMS):
-        run = np.concatenate([[0], np.cumsum(signs[flat, d], dtype=np.int64)])
-        coords[:, d] = (run[ends] - run[ends - n]) / np.sqrt(np.maximum(n, 1))
+    for _, own in groups(np.cumsum(n) // RUN_IDS):
+        flat, size = np.concatenate([docs[i] for i in own]), n[own]
+        ends = np.cumsum(size)
+        for d in range(DIMS):
+            run = np.cumsum(signs[flat, d], dtype=np.int64)
+            before = np.where(ends > size, run[np.maximum(ends - size - 1, 0)], 0)
+            coords[own, d] = (np.where(size > 0, run[np.maximum(ends - 1, 0)], 0) - before) / np.sqrt(np.maximum(size, 1))
     grid = ((np.tanh(coords / 8) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
     return hilbert_index(grid, BITS)
 
@@ -56,7 +61,7 @@ def tokenized(docs: DataFrame, path: str, ranks: str | None, text: str) -> DataF
     row_type = df.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, lambda ids: struct.pack(f"<{len(ids)}H", *ids), b"".join, ranks=ranks)
+        pieces = Pieces(path, lambda ids: struct.pack(f"<{len(ids)}H", *ids), b"".join, limit=WORDS, ranks=ranks)
         end = np.array([END], "<u2").tobytes()
         for b in batches:
             blobs = [pieces.of(t or "") + end for t in b.column("t").to_pylist()]
@@ -64,6 +69,7 @@ def tokenized(docs: DataFrame, path: str, ranks: str | None, text: str) -> DataF
             yield pa.RecordBatch.from_pydict({
                 "row": b.column("row"), "ids": pa.array(blobs, pa.binary()),
                 "n": pa.array([len(x) for x in ids], pa.int64()), "key": pa.array(curve_keys(ids), pa.int64())})
+            release()
     return df.mapInArrow(run, f"row {row_type}, ids binary, n long, key long")
 
 
@@ -91,14 +97,14 @@ def stream_starts(tokens: DataFrame) -> DataFrame:
     return local.join(F.broadcast(before), "part").select("uid", (F.col("before") + F.col("at")).alias("at"))
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text", ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text", ranks: str | None = None, with_ids: bool = True) -> DataFrame:
     """Pack all documents into sequences of ``size`` ids; one row per piece of a document.
 
     Documents follow one another along the Hilbert curve of their projected
     hashed vectors (ties by row), so a sequence holds similar documents; the
     stream is cut every ``size`` ids, and only the very last sequence can be
     shorter.  Columns: the documents' other columns, ``start``, ``length``,
-    ``ids`` (binary, little-endian unsigned 32-bit), ``ids_crc32``,
+    ``ids`` (binary, little-endian unsigned 32-bit; if ``with_ids``), ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset``.
 
     ``path`` is the vocabulary's file for the tokenizers library; ``ranks``, if
@@ -108,7 +114,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text", ranks
     each; an empty table gives no rows; documents' columns with the names of
     the new ones are dropped.
     """
-    new = ("start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    new = tuple(c for c in ("start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset") if with_ids or c != "ids")
     docs = docs.select(*[c for c in docs.columns if c not in new])
     # rows get an id that is fixed by being written; the ids are written once and not computed again
     tokens = materialize(tokenized(docs, path, ranks, text).withColumn("uid", F.monotonically_increasing_id()), "tokens")
@@ -125,16 +131,18 @@ def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text", ranks
                     offset = (at + start) % size
                     length = min(n - start, size - offset)
                     own = wide[4 * start:4 * (start + length)]
-                    for c, v in zip(out, (i, start, length, own, zlib.crc32(own), n, (at + start) // size, offset)):
-                        out[c].append(v)
+                    values = {"pick": i, "start": start, "length": length, "ids": own, "ids_crc32": zlib.crc32(own), "doc_tokens": n,
+                              "sequence_id": (at + start) // size, "offset": offset}
+                    for c in out:
+                        out[c].append(values[c])
                     start += length
             pick = pa.array(out.pop("pick"), pa.int64())
             yield pa.RecordBatch.from_pydict({"row": b.column("row").take(pick)} | {
                 c: pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in out.items()})
 
     joined = tokens.select("row", "ids", "uid").join(stream_starts(tokens), "uid").select("row", "ids", "at")
-    out = joined.mapInArrow(pieces, f"row {row_type}, start long, length long, ids binary, ids_crc32 long, "
-                                    "doc_tokens long, sequence_id long, offset long")
+    fields = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in new)
+    out = joined.mapInArrow(pieces, f"row {row_type}, {fields}")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != text], *new)
 
 

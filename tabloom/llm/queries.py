@@ -37,7 +37,7 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.packing import digest, pack
     return digest(pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(),
-                       ranks=vocabulary("byte_bpe_50k.tiktoken")))
+                       ranks=vocabulary("byte_bpe_50k.tiktoken"), with_ids=False))
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
