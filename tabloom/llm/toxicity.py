@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import utf8
+from tabloom.llm.common import release, utf8
 
 BITS = 20                # hashed features: 2**BITS
 HEADS = (4, 5, 6)        # lengths of word beginnings, in bytes
@@ -33,7 +33,7 @@ STEPS = 160
 RATE = 0.1
 SHRINK = 0.003           # proximal step of each weight towards zero
 LEAST_POSITIVES = 4      # positives that must have a feature
-CACHE = 300_000          # words whose features a worker keeps
+CACHE = 150_000          # words whose features a worker keeps
 
 # bytes of words: ASCII letters (lower-cased), digits, and all of non-ASCII characters
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
@@ -75,6 +75,8 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
     col = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     is_p = np.arange(len(rows)) < len(positive)
+    features.clear()
+    place = None
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -114,18 +116,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 17
               .limit(POSITIVES)
               .unionByName(some.where(F.col("u") >= 1 - 0.95 * UNLABELLED / n).select("doc_id", F.lit(0).alias("p")).limit(UNLABELLED)))
     sample = (docs.select("doc_id", F.col(text).alias("text")).where("text is not null")
-              .join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "p"]))
+              .join(F.broadcast(picked), "doc_id"))
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(MEMBERS))
     prior = toxic / n
 
     def member(key, t):
+        release()
+        # a document counts once in each sample, however often its row is repeated
+        _, once = np.unique(np.stack([t.column("doc_id").to_numpy(), t.column("p").to_numpy()], 1), axis=0, return_index=True)
+        t = t.take(pa.array(once))
         p = t.column("p").to_numpy()
         texts = [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
         f, w, b = fit([x for x, y in zip(texts, p) if y], [x for x, y in zip(texts, p) if not y], prior)
         return pa.table({"f": pa.array([f.tolist()], pa.list_(pa.int64())), "w": pa.array([w.tolist()], pa.list_(pa.float64())),
                          "b": pa.array([b], pa.float64())})
 
-    rows = (sample.select(shard.alias("shard"), "p", "text").groupBy("shard")
+    rows = (sample.select(shard.alias("shard"), "doc_id", "p", "text").groupBy("shard")
             .applyInArrow(member, "f array<long>, w array<double>, b double").collect())
     return [(np.array(r.f, np.int64), np.array(r.w), r.b) for r in rows], prior
 
@@ -159,6 +165,7 @@ def score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text"
                 z = bias + (weights[list(own)].sum(axis=0) if own else 0.0)
                 out.append(float((1 / (1 + np.exp(-np.clip(z, -50, 50)))).mean()))
             yield pa.RecordBatch.from_pydict({"row": b.column("row"), "score": pa.array(out, pa.float64())})
+            release()
 
     scored = df.mapInArrow(run, f"row {row_type}, score double")
     return scored.select(*[F.col("row").getField(c).alias(c) for c in kept], "score",
