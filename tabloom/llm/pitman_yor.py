@@ -29,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialize, parallel
+from tabloom.llm.common import materialize, parallel, release
 from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 
 UNIT_BYTES = 4 << 20           # text bytes of a unit of documents
-BUCKET_TOKENS = 3_000_000      # tokens that a bucket is planned for
+BUCKET_TOKENS = 2_000_000      # tokens that a bucket is planned for
 SAMPLE_DOCS = 4_000            # documents whose contexts say which are split (it affects the layout only)
 SWEEPS, BURN_IN = 4, 1         # Gibbs sweeps, and how many of them are not averaged
 STRENGTH = (0.5, 5.0, 1.0)     # concentration of contexts, parents and the root
+BASE_UNIT, SCORE_UNIT = 1e-10, 1e-7   # to which a bucket's sums for a document are rounded
 SINGLE_STEPS = 32              # customers of a word that are seated singly; later ones in growing groups
 _U = np.uint64
 ID_BITS = 48
@@ -105,6 +106,11 @@ def unsqueeze(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(unplanes(raw, "<i8"))
 
 
+def fixed(logs: np.ndarray, unit: float) -> np.ndarray:
+    """Negative sums of logarithms as planes of whole multiples of ``unit``."""
+    return planes(np.rint(-logs / unit).astype("<i8"))
+
+
 def layout_of(docs: DataFrame, text: str, total: int, buckets: int) -> Layout:
     """Splits contexts that hold more than half a bucket of a bounded sample of documents."""
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +160,10 @@ def word_counts(docs: DataFrame, text: str, layout: Layout, ranges: int, trained
                         for r, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r[0] for r in rows], pa.int64()),
                                                   "blob": pa.array([r[1] for r in rows], pa.binary())})
+            release()
 
     def count(key, t):
+        release()
         got = [unpack(x.as_py(), "u1", "u1", "u1", "u1") for x in t.column("blob")]
         words = [unsqueeze(g[0]) for g in got]
         value, at = np.unique(np.concatenate(words), return_inverse=True)
@@ -298,8 +306,10 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
                                                   "unit": pa.array([serial] * len(out), pa.int64()),
                                                   "blob": pa.array([o[1] for o in out], pa.binary())})
                 serial += 1
+            release()
 
     def sample(key, t):
+        release()
         bucket = key[0].as_py()
         if bucket >= layout.buckets:
             return t.select(["unit", "blob"]).append_column("kind", pa.array([1] * t.num_rows, pa.int64()))
@@ -315,6 +325,7 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
         if not parts:
             return pa.table({"unit": pa.array([], pa.int64()), "blob": pa.array([], pa.binary()), "kind": pa.array([], pa.int64())})
         context, word, trained_count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        parts = [p[3:] for p in parts]
         order = np.lexsort((word, context))
         head = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
         type_of = np.empty(len(order), np.int64)
@@ -331,13 +342,14 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
         score = np.log10(model.predict(np.random.default_rng(bucket)))
         base = np.log10((overall + 1) / (n + v + 1))
         out, start = [], 0
-        for unit, (_, _, _, spread, doc, times) in zip(unit_ids, parts):
+        for unit, (spread, doc, times) in zip(unit_ids, parts):
             own = np.repeat(type_of[start:start + len(spread)], spread)
             start += len(spread)
             ids_of = np.unique(doc)
             at = np.searchsorted(ids_of, doc)
             sums = [np.bincount(at, times * x[own]) for x in (overall > 0, base, score)]
-            out.append((unit, pack(d=planes(ids_of.astype("<u4")), k=planes(sums[0].astype("<u4")), b=sums[1], s=sums[2])))
+            out.append((unit, pack(d=squeeze(ids_of.astype(np.int64)), k=planes(sums[0].astype("<u4")), b=fixed(sums[1], BASE_UNIT),
+                                   s=fixed(sums[2], SCORE_UNIT))))
         return pa.table({"unit": pa.array([o[0] for o in out], pa.int64()), "blob": pa.array([o[1] for o in out], pa.binary()),
                          "kind": pa.array([0] * len(out), pa.int64())})
 
@@ -348,11 +360,11 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
         sums = np.zeros((3, rows.num_rows))
         for b, k in zip(blobs, kind):
             if k == 0:
-                d, known, base, score = unpack(b, "u1", "u1", "f8", "f8")
-                d = unplanes(d, "<u4")
+                d, known, base, score = unpack(b, "u1", "u1", "u1", "u1")
+                d = unsqueeze(d)
                 sums[0, d] += unplanes(known, "<u4")
-                sums[1, d] += base
-                sums[2, d] += score
+                sums[1, d] -= unplanes(base, "<i8") * BASE_UNIT
+                sums[2, d] -= unplanes(score, "<i8") * SCORE_UNIT
         return pa.table({"row": rows.column("row"), "n_tokens": rows.column("n"), "n_known": pa.array(sums[0].astype(np.int64)),
                          "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
@@ -382,7 +394,7 @@ def read_unit_blob(blob: bytes):
     """Contexts, words and training counts of the pairs, entries of each, and the entries' documents and counts."""
     c, m, w, e, d, t, n = unpack(blob, "u1", "u1", "u1", "u1", "u1", "u1", "<i8")
     context = np.repeat(unsqueeze(c), unplanes(m, "<u4"))
-    spread, doc, times = unplanes(e, "<u4"), unplanes(d, "<u4").astype(np.int64), unplanes(t, "<u4").astype(np.float64)
+    spread, doc, times = unplanes(e, "<u4"), unplanes(d, "<u4"), unplanes(t, "<u4").astype(np.float32)
     pair = np.repeat(np.arange(len(spread)), spread)
     return (context, unplanes(w, "<i8"), np.bincount(pair, times * (doc < n[0]), minlength=len(spread)), spread, doc, times)
 
