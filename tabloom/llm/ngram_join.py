@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabloom.llm.common import materialize, parallel
+from tabloom.llm.common import materialize, parallel, release
 from tabloom.llm.components import components
 from tabloom.llm.suffix_dedup import Rolling, doc_bucket, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 
-UNIT_BYTES = 4 << 20       # text bytes of a unit
+UNIT_BYTES = 2 << 20       # text bytes of a unit
 ID_BITS = 40               # bits of a shingle's hash that are counted (collisions only change its class)
 CLASS_FROM = (2, 4, 16, 64)   # smallest number of sets of classes 1, 2, ...; the last class is the frequent one
 FREQUENT = len(CLASS_FROM)
@@ -120,6 +120,7 @@ def to_units(docs: DataFrame, k: int, text: str) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([*[part.column(c) for c in cols], pa.array(n), pa.array(node)],
                                                   [*cols, "n__", "node__"])
                 yield pa.RecordBatch.from_pydict({"blob": pa.array([to_ipc(part)], pa.binary())})
+            release()
     return materialize(docs.mapInArrow(run, "blob binary").withColumn("unit", F.monotonically_increasing_id()), "units")
 
 
@@ -154,8 +155,10 @@ def shingle_classes(units: DataFrame, k: int, text: str, ranges: int) -> DataFra
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([r[0] for r in rows], pa.int64()), "unit": pa.array([unit] * len(rows), pa.int64()),
                     "blob": pa.array([r[1] for r in rows], pa.binary())})
+                release()
 
     def classify(key, t):
+        release()
         got = [unpack(x.as_py(), "u1", "u1") for x in t.column("blob")]
         ids = [np.cumsum(unplanes(g[0], "<u8")) for g in got]
         flat = np.concatenate(ids)
@@ -189,6 +192,7 @@ def index_rows(units: DataFrame, chosen: DataFrame, classes: DataFrame, k: int,
     ``chosen``: (unit, node) of the one unit that speaks for each set.
     """
     def run(key, unit, side):
+        release()
         node, doc, h = unit_shingles(unit.column("blob")[0].as_py(), k, text)
         side = side.sort_by("part")
         own = pc_not_null(side, "node").column("node").to_numpy()
