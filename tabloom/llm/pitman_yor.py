@@ -15,8 +15,11 @@ parents share the root, which seats every training token over a uniform base.
   probabilities after the burn-in.
 * Each bucket adds up its tokens' scores by document; sums meet per batch.
 
-A context with a large share of all tokens is dealt by its words as well; its
-parts know the context's exact count, and estimate its tables from their own.
+A context with a large share of all tokens has its restaurant in one bucket
+like any other, but its tokens are dealt by their words as well: its parts first
+add up the counts of its words for the bucket, which draws the seating, and then
+score their tokens with the probabilities that the bucket sends back.  So
+neither the shares nor the session's partitions change a score.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialize, parallel, release
+from tabloom.llm.common import materialize, release
 from tabloom.llm.suffix_dedup import Rolling, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 
 UNIT_BYTES = 4 << 20           # text bytes of a unit of documents
 BUCKET_TOKENS = 2_000_000      # tokens that a bucket is planned for
+LEAST_BUCKETS = 32             # buckets of a small corpus (they are part of the model: contexts of a bucket share a parent)
 SAMPLE_DOCS = 4_000            # documents whose contexts say which are split (it affects the layout only)
 SWEEPS, BURN_IN = 4, 1         # Gibbs sweeps, and how many of them are not averaged
 STRENGTH = (0.5, 5.0, 1.0)     # concentration of contexts, parents and the root
@@ -69,23 +73,29 @@ def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Layout:
-    """Buckets of contexts; ``split`` maps a context with a large share to its number of parts."""
+    """Buckets of contexts; ``split`` maps a context with a large share to its number of parts.
+
+    Parts lie in groups of their own, ``buckets`` to ``2 * buckets - 1``.
+    """
 
     def __init__(self, buckets: int, split: dict[int, int]):
         self.buckets = buckets
         self.contexts = np.array(sorted(split), np.int64)
         self.parts = np.array([split[c] for c in sorted(split)], np.int64)
 
+    def home(self, context: np.ndarray) -> np.ndarray:
+        """Bucket of a context's restaurant."""
+        return (mix(context.view(_U) * _U(0x9E3779B97F4A7C15)) % _U(self.buckets)).astype(np.int64)
+
     def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        h = mix(context.view(_U) * _U(0x9E3779B97F4A7C15))
+        """Group of a token: its context's bucket, or the group of a split context's part."""
+        out = self.home(context)
         if len(self.contexts):
             k = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
             part = mix(word.view(_U) * _U(0xD6E8FEB86659FD93)) % self.parts[k].astype(_U)
-            h = np.where(self.contexts[k] == context, mix(h + part), h)
-        return (h % _U(self.buckets)).astype(np.int64)
-
-    def is_split(self, context: np.ndarray) -> np.ndarray:
-        return np.isin(context, self.contexts)
+            h = mix(mix(context.view(_U) * _U(0x9E3779B97F4A7C15)) + part) % _U(self.buckets)
+            out = np.where(self.contexts[k] == context, h.astype(np.int64) + self.buckets, out)
+        return out
 
 
 def planes(v: np.ndarray) -> np.ndarray:
@@ -129,12 +139,23 @@ def layout_of(docs: DataFrame, text: str, total: int, buckets: int) -> Layout:
     return Layout(buckets, {r.c: int(np.ceil(2 * buckets * r.share)) for r in got})
 
 
+def types_of(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each (context, word), in their order, and the type of every entry."""
+    order = np.lexsort((word, context))
+    head = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(head) - 1
+    return order[head], of
+
+
 def word_counts(docs: DataFrame, text: str, layout: Layout, ranges: int, trained) -> DataFrame:
     """Counts of all words over the training documents.
 
-    Rows: ``(bucket, blob)`` with the words that a bucket meets; bucket -1 with
-    sums in ``n`` (tokens), ``v`` (distinct words), ``n1`` and ``n2`` (words
-    counted once and twice); bucket -2 with the count ``n`` of split context ``v``.
+    Rows: ``(bucket, blob)`` with the words that a bucket meets (``v`` 0) or
+    with the counts of a part of split contexts (``v`` is the part's group);
+    bucket -1 with sums in ``n`` (tokens), ``v`` (distinct words), ``n1`` and
+    ``n2`` (words counted once and twice); bucket -2 with the count ``n`` of
+    split context ``v``.
     """
     shift = _U(ID_BITS - (ranges - 1).bit_length())
     split = layout.contexts
@@ -144,7 +165,7 @@ def word_counts(docs: DataFrame, text: str, layout: Layout, ranges: int, trained
             for part in slices(b, "t", UNIT_BYTES):
                 train = part.column("train").to_numpy(zero_copy_only=False)
                 doc, word, context = tokens_of([x or b"" for x in part.column("t").cast(pa.binary()).to_pylist()])
-                bucket = layout.of(context, word)
+                bucket = layout.home(context)
                 value, at = np.unique(word, return_inverse=True)
                 count = np.bincount(at, train[doc], minlength=len(value)).astype("<u4")
                 order = np.lexsort((bucket, at))
@@ -158,12 +179,32 @@ def word_counts(docs: DataFrame, text: str, layout: Layout, ranges: int, trained
                 rows = [(r, pack(w=squeeze(value[s:e]), c=planes(count[s:e]), k=planes(where[s:e]),
                                  b=planes(pair[1][first[s]:first[e]].astype("<u4"))))
                         for r, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
+                if len(split):
+                    group = layout.of(context, word)
+                    own = np.flatnonzero(group >= layout.buckets)
+                    for g, at_group in groups(group[own]):
+                        i = own[at_group]
+                        rows.append((ranges + g, pack_types(context[i], word[i], train[doc[i]].astype(np.int64))))
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r[0] for r in rows], pa.int64()),
                                                   "blob": pa.array([r[1] for r in rows], pa.binary())})
             release()
 
+    def count_types(group, t):
+        parts = [read_types(x.as_py()) for x in t.column("blob")]
+        context, word, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        home = layout.home(context)
+        rows = [(h, pack_types(context[own], word[own], times[own]), 0, group, 0, 0)
+                for h in np.unique(home) for own in [home == h]]
+        return table_of(rows)
+
+    def table_of(rows):
+        return pa.table({c: pa.array([r[i] for r in rows], pa.binary() if c == "blob" else pa.int64())
+                         for i, c in enumerate(("bucket", "blob", "n", "v", "n1", "n2"))})
+
     def count(key, t):
         release()
+        if key[0].as_py() >= ranges:
+            return count_types(key[0].as_py() - ranges, t)
         got = [unpack(x.as_py(), "u1", "u1", "u1", "u1") for x in t.column("blob")]
         words = [unsqueeze(g[0]) for g in got]
         value, at = np.unique(np.concatenate(words), return_inverse=True)
@@ -178,8 +219,7 @@ def word_counts(docs: DataFrame, text: str, layout: Layout, ranges: int, trained
         hot = np.flatnonzero(np.isin(value, split) | (value == END))
         rows += [(-2, None, int(total[i]), int(value[i]), 0, 0) for i in hot]
         rows += [(k, pack(w=squeeze(value[used[g]]), c=planes(total[used[g]].astype("<u8"))), 0, 0, 0, 0) for k, g in groups(bucket)]
-        return pa.table({c: pa.array([r[i] for r in rows], pa.binary() if c == "blob" else pa.int64())
-                         for i, c in enumerate(("bucket", "blob", "n", "v", "n1", "n2"))})
+        return table_of(rows)
 
     df = docs.select(F.col(text).alias("t"), trained.alias("train"))
     return (df.mapInArrow(vocabulary, "range long, blob binary").groupBy("range")
@@ -218,14 +258,18 @@ def seat(customers: np.ndarray, weight: np.ndarray, d: float, rng) -> np.ndarray
 
 
 class Restaurants:
-    """The restaurants of a bucket: its (context, word) types, their counts, and the model's totals."""
+    """The restaurants of a bucket: its (context, word) types, their counts, and the model's totals.
+
+    A bucket has whole restaurants; ``split`` is the exact count of a type's
+    context where that was dealt in parts, and -1 elsewhere.
+    """
 
     def __init__(self, context, word, count, overall, split, totals):
         self.c = count.astype(np.float64)
         self.ctx = np.unique(context, return_inverse=True)[1]
-        own = np.bincount(self.ctx, self.c)
-        self.in_context = np.where(split >= 0, split, own[self.ctx]) if len(own) else split
-        self.scale = np.divide(self.in_context, own[self.ctx], out=np.ones(len(self.c)), where=own[self.ctx] > 0)
+        self.in_context = np.bincount(self.ctx, self.c)[self.ctx] if len(self.c) else self.c
+        if ((split >= 0) & (split != self.in_context)).any():
+            raise RuntimeError("the parts of a split context don't add up to its count")
         self.w = np.unique(word, return_inverse=True)[1]
         n, v, n1, n2 = totals
         d0, s0 = discount(n1, n2), STRENGTH[2]
@@ -242,14 +286,14 @@ class Restaurants:
         parent = self.root
         total = np.zeros(len(self.c))
         for k in range(sweeps):
-            in_ctx = (np.bincount(self.ctx, tables)[self.ctx] if len(self.c) else tables) * self.scale
+            in_ctx = np.bincount(self.ctx, tables)[self.ctx] if len(self.c) else tables
             tables = seat(self.c, (s1 + d1 * in_ctx) * parent[self.w], d1, rng)
             sent = np.bincount(self.w, tables, minlength=len(self.root))
             d2 = discount((sent == 1).sum(), (sent == 2).sum())
             up = seat(sent, (s2 + d2 * (sent > 0).sum()) * self.root, d2, rng)
             parent = (sent - d2 * up + (s2 + d2 * up.sum()) * self.root) / (s2 + sent.sum())
             if k >= burn_in:
-                in_ctx = (np.bincount(self.ctx, tables)[self.ctx] if len(self.c) else tables) * self.scale
+                in_ctx = np.bincount(self.ctx, tables)[self.ctx] if len(self.c) else tables
                 total += (self.c - d1 * tables + (s1 + d1 * in_ctx) * parent[self.w]) / (s1 + self.in_context)
         return total / (sweeps - burn_in)
 
@@ -269,10 +313,13 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c != text and c not in new]
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        # rows are read more than once, and those of a shuffle may come in another order each time
+        docs, trained = materialize(docs.withColumn("train_tokens", trained), "documents"), F.col("train_tokens")
     trained = F.coalesce(trained, F.lit(False))
     size, rows = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     estimate = int((size or 0) / 6 + rows)
-    buckets = max(parallel(docs), -(-estimate // BUCKET_TOKENS))
+    buckets = max(LEAST_BUCKETS, -(-estimate // BUCKET_TOKENS))
     layout = layout_of(docs, text, rows, buckets)
     counts = materialize(word_counts(docs, text, layout, max(16, 1 << int(estimate // 2_000_000).bit_length()), trained), "words")
     n, v, n1, n2 = (x or 0 for x in counts.where("bucket = -1").agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first())
@@ -281,7 +328,8 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
     split_ids = np.array(sorted(split), np.int64)
     split_count = np.array([split[c] for c in sorted(split)], np.float64)
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch], parts: bool = False) -> Iterator[pa.RecordBatch]:
+        """Units' tokens by bucket, and their rows; or, with ``parts``, their tokens by group of split contexts."""
         serial = TaskContext.get().partitionId() << 32
         for b in batches:
             for part in slices(b, "t", UNIT_BYTES):
@@ -289,16 +337,18 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
                 part = part.take(pa.array(np.argsort(~train, kind="stable")))     # training documents first
                 doc, word, context = tokens_of([x or b"" for x in part.column("t").cast(pa.binary()).to_pylist()])
                 bucket = layout.of(context, word)
-                order = np.lexsort((doc, word, context, bucket))
-                doc, word, context, bucket = doc[order], word[order], context[order], bucket[order]
                 n_tokens = np.bincount(doc, minlength=part.num_rows)
+                order = np.flatnonzero((bucket >= layout.buckets) == parts)
+                order = order[np.lexsort((doc[order], word[order], context[order], bucket[order]))]
+                doc, word, context, bucket = doc[order], word[order], context[order], bucket[order]
                 change = np.stack([bucket[1:] != bucket[:-1], context[1:] != context[:-1], word[1:] != word[:-1], doc[1:] != doc[:-1]])
-                at = np.flatnonzero(np.concatenate([[True], change.any(axis=0)]))
+                at = np.flatnonzero(np.concatenate([[True], change.any(axis=0)])) if len(doc) else np.zeros(0, np.int64)
                 times = np.diff(np.append(at, len(doc)))
                 doc, word, context, bucket = doc[at], word[at], context[at], bucket[at]
-                out = [(layout.buckets + serial % layout.buckets,
-                        to_ipc(pa.RecordBatch.from_arrays([part.column("row"), pa.array(n_tokens.astype(np.int64))], ["row", "n"])))]
-                cuts = np.searchsorted(bucket, np.arange(layout.buckets + 1))
+                out = [] if parts else [
+                    (2 * layout.buckets + serial % layout.buckets,
+                     to_ipc(pa.RecordBatch.from_arrays([part.column("row"), pa.array(n_tokens.astype(np.int64))], ["row", "n"])))]
+                cuts = np.searchsorted(bucket, np.arange(2 * layout.buckets + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
                     own = slice(cuts[k], cuts[k + 1])
                     out.append((int(k), unit_blob(context[own], word[own], doc[own], times[own], int(train.sum()))))
@@ -311,26 +361,24 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
     def sample(key, t):
         release()
         bucket = key[0].as_py()
-        if bucket >= layout.buckets:
+        if bucket >= 2 * layout.buckets:
             return t.select(["unit", "blob"]).append_column("kind", pa.array([1] * t.num_rows, pa.int64()))
         ids = t.column("unit").to_numpy()
         blobs = [x.as_py() for x in t.column("blob")]
-        known = [unpack(b, "u1", "u1") for b, i in zip(blobs, ids) if i < 0]
+        known = [unpack(b, "u1", "u1") for b, i in zip(blobs, ids) if i == -1]
         vocabulary = np.concatenate([unsqueeze(k[0]) for k in known])
         vocabulary_count = np.concatenate([unplanes(k[1], "<u8") for k in known]).astype(np.int64)
         order = np.argsort(vocabulary)
         vocabulary, vocabulary_count = vocabulary[order], vocabulary_count[order]
         unit_ids = [int(i) for i in ids if i >= 0]
         parts = [read_unit_blob(b) for b, i in zip(blobs, ids) if i >= 0]
-        if not parts:
+        groups_of = [-2 - int(i) for i in ids if i < -1]
+        shares = [read_types(b) for b, i in zip(blobs, ids) if i < -1]
+        if not parts and not shares:
             return pa.table({"unit": pa.array([], pa.int64()), "blob": pa.array([], pa.binary()), "kind": pa.array([], pa.int64())})
-        context, word, trained_count = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        parts = [p[3:] for p in parts]
-        order = np.lexsort((word, context))
-        head = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
-        type_of = np.empty(len(order), np.int64)
-        type_of[order] = np.cumsum(head) - 1
-        first = order[head]
+        context, word, trained_count = (np.concatenate([p[k] for p in parts + shares]) for k in range(3))
+        parts, sizes = [p[3:] for p in parts], [len(p[0]) for p in shares]
+        first, type_of = types_of(context, word)
         count = np.bincount(type_of, trained_count)
         context, word = context[first], word[first]
         overall = vocabulary_count[np.searchsorted(vocabulary, word)]
@@ -341,15 +389,33 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
         model = Restaurants(context, word, count, overall, given, (n, v, n1, n2))
         score = np.log10(model.predict(np.random.default_rng(bucket)))
         base = np.log10((overall + 1) / (n + v + 1))
-        out, start = [], 0
-        for unit, (spread, doc, times) in zip(unit_ids, parts):
-            own = np.repeat(type_of[start:start + len(spread)], spread)
-            start += len(spread)
-            ids_of = np.unique(doc)
-            at = np.searchsorted(ids_of, doc)
-            sums = [np.bincount(at, times * x[own]) for x in (overall > 0, base, score)]
-            out.append((unit, pack(d=squeeze(ids_of.astype(np.int64)), k=planes(sums[0].astype("<u4")), b=fixed(sums[1], BASE_UNIT),
-                                   s=fixed(sums[2], SCORE_UNIT))))
+        out = unit_sums(unit_ids, parts, type_of, (overall > 0, base, score))
+        start = len(type_of) - sum(sizes)
+        kinds = [0] * len(out)
+        for group, size in zip(groups_of, sizes):
+            own = type_of[start:start + size]
+            start += size
+            out.append((group, pack(t=np.frombuffer(pack_types(context[own], word[own], (overall[own] > 0).astype(np.int64)), "u1"),
+                                    b=base[own], s=score[own])))
+            kinds.append(2)
+        return pa.table({"unit": pa.array([o[0] for o in out], pa.int64()), "blob": pa.array([o[1] for o in out], pa.binary()),
+                         "kind": pa.array(kinds, pa.int64())})
+
+    def score_parts(key, t):
+        """Sums of the tokens of split contexts, by the probabilities from their buckets."""
+        release()
+        ids = t.column("unit").to_numpy()
+        blobs = [x.as_py() for x in t.column("blob")]
+        given = [unpack(b, "u1", "<f8", "<f8") for b, i in zip(blobs, ids) if i < 0]
+        tables = [read_types(g[0].tobytes()) for g in given]
+        unit_ids = [int(i) for i in ids if i >= 0]
+        parts = [read_unit_blob(b) for b, i in zip(blobs, ids) if i >= 0]
+        context, word = (np.concatenate([p[k] for p in tables + parts]) for k in range(2))
+        known, base, score = (np.concatenate(x) for x in ([p[2] for p in tables], [g[1] for g in given], [g[2] for g in given]))
+        first, type_of = types_of(context, word)
+        if (first >= len(known)).any():
+            raise RuntimeError("a word of a split context has no probability")
+        out = unit_sums(unit_ids, [p[3:] for p in parts], type_of[len(known):], (known[first], base[first], score[first]))
         return pa.table({"unit": pa.array([o[0] for o in out], pa.int64()), "blob": pa.array([o[1] for o in out], pa.binary()),
                          "kind": pa.array([0] * len(out), pa.int64())})
 
@@ -371,13 +437,50 @@ def score_documents(docs: DataFrame, trained, text: str = "text") -> DataFrame:
     df = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("t"), trained.alias("train"))
     row_type = df.schema["row"].dataType.simpleString()
     tokens = df.mapInArrow(units, "bucket long, unit long, blob binary")
-    known = counts.where("bucket >= 0").select("bucket", F.lit(-1).cast("long").alias("unit"), "blob")
-    out = (tokens.unionByName(known).groupBy("bucket").applyInArrow(sample, "unit long, blob binary, kind long")
-           .groupBy("unit").applyInArrow(add_up, f"row {row_type}, n_tokens long, n_known long, base_score double, score double"))
+    # unit -1: words and their counts; below that: the counts of a group of parts
+    known = counts.where("bucket >= 0").select("bucket", (-F.col("v") - F.when(F.col("v") > 0, 2).otherwise(1)).alias("unit"), "blob")
+    sums = tokens.unionByName(known).groupBy("bucket").applyInArrow(sample, "unit long, blob binary, kind long")
+    if len(layout.contexts):
+        sums = materialize(sums, "sums")
+        shares = df.mapInArrow(lambda batches: units(batches, True), "bucket long, unit long, blob binary")
+        given = sums.where("kind = 2").select(F.col("unit").alias("bucket"), F.lit(-1).cast("long").alias("unit"), "blob")
+        sums = sums.where("kind < 2").unionByName(
+            shares.unionByName(given).groupBy("bucket").applyInArrow(score_parts, "unit long, blob binary, kind long"))
+    out = sums.groupBy("unit").applyInArrow(
+        add_up, f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
     return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "n_tokens", "n_known",
                       F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def pack_types(context, word, times) -> bytes:
+    """Types, sorted by context and word, with the sums of their counts."""
+    first, of = types_of(context, word)
+    total = np.bincount(of, times, len(first)).astype("<u8")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(context[first]) != 0]))
+    return pack(c=squeeze(context[first][at]), m=planes(np.diff(np.append(at, len(first))).astype("<u4")),
+                w=planes(word[first].astype("<i8")), t=planes(total))
+
+
+def read_types(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and counts of types."""
+    c, m, w, t = unpack(blob, "u1", "u1", "u1", "u1")
+    return np.repeat(unsqueeze(c), unplanes(m, "<u4")), unplanes(w, "<i8"), unplanes(t, "<u8").astype(np.int64)
+
+
+def unit_sums(unit_ids, parts, type_of, values) -> list[tuple[int, bytes]]:
+    """Sums of the types' values by document, for each unit's pairs."""
+    out, start = [], 0
+    for unit, (spread, doc, times) in zip(unit_ids, parts):
+        own = np.repeat(type_of[start:start + len(spread)], spread)
+        start += len(spread)
+        ids_of = np.unique(doc)
+        at = np.searchsorted(ids_of, doc)
+        sums = [np.bincount(at, times * x[own]) for x in values]
+        out.append((unit, pack(d=squeeze(ids_of.astype(np.int64)), k=planes(sums[0].astype("<u4")), b=fixed(sums[1], BASE_UNIT),
+                               s=fixed(sums[2], SCORE_UNIT))))
+    return out
+
+
 def unit_blob(context, word, doc, times, n_train: int) -> bytes:
     """A unit's tokens of one bucket, sorted by context, word and document."""
     new_c = np.concatenate([[True], context[1:] != context[:-1]])

@@ -50,6 +50,32 @@ def test_split_contexts(spark, monkeypatch):
     check_counts(rows, docs, lambda i: i % 3 != 0)
 
 
+def test_splits_and_partitions_change_no_score(spark, monkeypatch):
+    """A split context scores as a whole one does, whatever the session's number of partitions."""
+    monkeypatch.setattr(P, "BUCKET_TOKENS", 200)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(x for w in rng.zipf(1.3, 12) for x in ("the", words[w % 60]))) for i in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def scores():
+        return {r.doc_id: r.score for r in P.score_documents(frame, F.col("doc_id") % 3 != 0).collect()}
+
+    split = scores()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    other = scores()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    shuffled = {r.doc_id: r.score for r in P.score_documents(frame.repartition(5), F.col("doc_id") % 3 != 0).collect()}
+    assert len(P.layout_of(frame, "text", 150, 40).contexts)
+    monkeypatch.setattr(P, "layout_of", lambda docs, text, total, buckets: P.Layout(buckets, {}))
+    whole = scores()
+    assert split.keys() == whole.keys() == other.keys() == shuffled.keys()
+    for i in whole:
+        assert math.isclose(split[i], whole[i], abs_tol=1e-4) and math.isclose(other[i], whole[i], abs_tol=1e-4)
+        assert math.isclose(shuffled[i], whole[i], abs_tol=1e-4)
+
+
 def test_predictions_sum_to_one():
     """Over all words of the vocabulary and one unseen word, in every context."""
     rng = np.random.default_rng(3)
