@@ -29,6 +29,8 @@ HEADS = (4, 5, 6)        # lengths of word beginnings, in bytes
 POSITIVES = 6_000        # toxic documents that are fitted at most, all members together
 UNLABELLED = 18_000      # unlabelled documents that are fitted at most
 MEMBERS = 3              # classifiers
+CLEAN = 20_000           # clean documents of the training fold that a reject threshold is chosen on, at most
+CLEAN_REJECTED = 0.001   # share of them that a filter may reject
 STEPS = 160
 RATE = 0.1
 SHRINK = 0.003           # proximal step of each weight towards zero
@@ -191,6 +193,25 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def reject_threshold(docs: DataFrame, labels: DataFrame, members: list, prior: float, text: str = "text", seed: int = 17) -> float:
+    """The least score from which a filter rejects at most CLEAN_REJECTED of the clean documents.
+
+    Too few documents to tell such a share never lower it below 0.5.
+
+    ``labels`` as in :func:`train`.  A bounded draw of their clean documents is
+    scored, of a large table those that the classifiers have not met.
+    """
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = max(known.count(), 1)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    some = known.where((F.col("toxic") == 0) & (draw < 0.95 * CLEAN / n)).select("doc_id").limit(CLEAN)
+    clean = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    scores = np.sort([r.score for r in score(clean, members, prior).select("score").collect()])[::-1]
+    spared = int(CLEAN_REJECTED * len(scores))       # the first that has to stay
+    least = float(np.nextafter(scores[spared], 2)) if len(scores) else 0.5
+    return least if spared else max(0.5, least)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """Scores by members trained on the labels outside the held-out fold; ``held_out`` is false for a null id."""
     members, prior = train(docs, labels.where(~held_out()), text)

@@ -2,11 +2,13 @@
 
 import zlib
 
+import corpus_pipeline
 import numpy as np
 from tests.conftest import SMALL
 from tests.llm.cases import empty_docs, odd_docs, odd_texts
 
 from tabloom.llm import queries as Q
+from tabloom.llm import toxicity as T
 from tabloom.llm.toxicity import Features, fit, score, toxicity
 
 
@@ -42,6 +44,28 @@ def test_fit_finds_the_toxic_word_among_unlabelled():
     assert sorted(z.values())[1] > 0 > sorted(z.values())[0]
 
 
+def test_pipeline_stage_keeps_clean_documents(spark, tmp_path, monkeypatch):
+    """Clean documents that score above 0.5 stay, if a higher threshold parts them from the toxic ones."""
+    docs = [(i, "vile words" if i % 10 == 0 else "odd words" if i % 10 == 1 else "words") for i in range(400)]
+    spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in docs], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    weights = sorted({**{f: 5.0 for f in T.word_features(b"vile")}, T.hashed(b"=odd"): 2.0}.items())
+    member = (np.array([f for f, _ in weights]), np.array([w for _, w in weights]), -1.0)
+    monkeypatch.setattr(T, "train", lambda *a, **k: ([member], 0.1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, frame, str(tmp_path)).collect()}
+    assert left == {i for i, _ in docs if i % 10}
+
+
+def test_held_out_rates_of_the_stage(spark):
+    """Clean documents rejected and toxic ones found, with the committed model on documents it has not learnt from."""
+    sf = SMALL.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = spark.read.parquet(f"{sf}/labels.parquet").where(T.held_out()).join(docs.select("doc_id"), "doc_id").collect()
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    clean, toxic = ([r.doc_id not in left for r in own if r.toxic == y] for y in (0, 1))
+    assert np.mean(clean) <= 0.005 and np.mean(toxic) >= 0.5
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1), (6, 0), (8, 1), (2, 0), (99, 1)], "doc_id long, toxic int")
     out = toxicity(odd_docs(spark), labels).collect()
