@@ -165,28 +165,22 @@ def assemble(features: Sequence[str], handle_invalid: str = "keep") -> VectorAss
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid)
 
 
-TRAIN_ROWS_PER_PARTITION = 50_000
+TRAIN_PARTITIONS = 16
 
 
-def training_input(df: DataFrame) -> DataFrame:
+def training_input(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """Prepare the input of one or more fits.
 
     * Checkpointed into the shared checkpoint folder: every fit of a loop
       re-reads the prepared rows instead of recomputing their lineage, and a
       lost executor recomputes from the checkpoint files.
-    * Spread over the cores: tree training passes over its input once per
-      level and round, so a table that arrives in fewer partitions than cores
-      (one small file) would leave cores idle, while splitting a tiny table
-      only adds task overhead.  The target is one partition per 50k rows, at
-      most the default parallelism; large inputs already have more
-      partitions and are not touched.
+    * Placed by a hash of the row into ``partitions`` parts and sorted within
+      them: Spark draws each round's subsample by partition and position, so
+      the trees would otherwise follow the number of cores and input files.
+      The caller sets the number; a large job needs more than the default.
     """
-    ck = cut_lineage(df)
-    par = ck.sparkSession.sparkContext.defaultParallelism
-    want = max(1, min(par, ck.count() // TRAIN_ROWS_PER_PARTITION))
-    if ck.rdd.getNumPartitions() < want:
-        ck = cut_lineage(ck.repartition(want))
-    return ck
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return cut_lineage(df.repartition(partitions, F.xxhash64(*cols)).sortWithinPartitions(*cols))
 
 
 def train_gbt(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
@@ -220,9 +214,10 @@ def feature_importance(model: PipelineModel, features: Sequence[str], top_k: int
 # --- M9 / M10 / M11 / M12: cross-validation and tuning ---------------------------------
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
-                   fold_col: str = "fold", k: int | None = None, seed: int = 42) -> DataFrame:
+                   fold_col: str = "fold", k: int | None = None, seed: int = 42,
+                   partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """M9: per-fold test metrics of models trained on the other folds."""
-    df = training_input(df)
+    df = training_input(df, partitions)
     k = k or df.select(F.max(fold_col)).first()[0] + 1
     rows = []
     for f in range(k):
@@ -284,9 +279,10 @@ def cv_scores(df: DataFrame, features: Sequence[str], label: str, candidates: Se
 
 
 def simple_tuning(df: DataFrame, features: Sequence[str], label: str, space: dict[str, Any], n_trials: int = 10,
-                  key: str = "row_key", k: int = 3, seed: int = 42, scoring: str = "rmse") -> DataFrame:
+                  key: str = "row_key", k: int = 3, seed: int = 42, scoring: str = "rmse",
+                  partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """Every trial scored by k-fold CV; trials ranked (min rmse / max r2)."""
-    data = training_input(add_folds(df, key, k, seed, "__fold"))
+    data = training_input(add_folds(df, key, k, seed, "__fold"), partitions)
     cands = sample_params(space, n_trials, seed)
     scores = cv_scores(data, features, label, cands, "__fold", seed, scoring)
     rows = [(i, json.dumps(p, sort_keys=True), float(sc)) for i, (p, sc) in enumerate(zip(cands, scores))]
@@ -315,7 +311,7 @@ class TuningResult:
 
 def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[str, Any], key: str,
               outer: int = 5, inner: int = 3, n_trials: int = 10, seed: int = 42, scoring: str = "r2",
-              select: str = "best_fold", refit: bool = True) -> TuningResult:
+              select: str = "best_fold", refit: bool = True, partitions: int = TRAIN_PARTITIONS) -> TuningResult:
     """Nested cross-validation with a seeded random search.
 
     For each outer fold: candidates are scored by inner CV on the outer
@@ -325,7 +321,7 @@ def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[st
     ``"best_mean"`` the most frequent winner.  A final model is fitted on all
     data.
     """
-    data = training_input(add_folds(add_folds(df, key, outer, seed, "__outer", "outer fold"), key, inner, seed, "__inner", "inner fold"))
+    data = training_input(add_folds(add_folds(df, key, outer, seed, "__outer", "outer fold"), key, inner, seed, "__inner", "inner fold"), partitions)
     cands = sample_params(space, n_trials, seed)
     better = (lambda a, b: a > b) if scoring == "r2" else (lambda a, b: a < b)
     scores, winners = [], []
@@ -355,9 +351,10 @@ def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[st
 # --- M14: staged selection -------------------------------------------------------------
 
 def staged_selection(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                     params: dict[str, Any] | None = None, seed: int = 42) -> DataFrame:
+                     params: dict[str, Any] | None = None, seed: int = 42,
+                     partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """Train on all features, keep the max(1, n//2) most important, retrain, compare."""
-    train = training_input(train)
+    train = training_input(train, partitions)
     m1 = train_gbt(train, features, label, params, seed)
     r1 = regression_metrics(predict(m1, test), label).first()
     imp = m1.stages[-1].featureImportances.toArray().tolist()

@@ -143,7 +143,7 @@ def gbt_train_predict(spark, sf):
     # every boosting round read the checkpoint
     raw_train = M.training_input(raw.where(F.col("split") == "train").drop("split"))
     fp = M.fit_feature_pipeline(raw_train, target="l_extendedprice")
-    train = fp.apply(raw_train)
+    train = M.training_input(fp.apply(raw_train))      # the codes' join may have moved rows
     feats = [c for c in train.columns if c not in ("l_orderkey", "l_linenumber", "l_extendedprice")]
     model = M.train_gbt(train, feats, "l_extendedprice", _TRAIN_PARAMS)
     path = scratch_table_path(spark, "gbt")

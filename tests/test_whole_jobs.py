@@ -1,7 +1,9 @@
 """Registered queries do the whole job: every row, and results that don't follow the layout."""
 
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 
+from tabloom.operators import modeling as M
 from tabloom.plans import queries_keys as K
 
 
@@ -13,3 +15,14 @@ def test_every_customer_goes_round(spark, monkeypatch):
     K.catalog_round_trip(spark, SMALL).collect()
     keys = [r[0] for df in written for r in df.select("c_custkey").collect()]
     assert sorted(keys) == sorted(r[0] for r in spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey").collect())
+
+
+def test_trees_do_not_follow_the_partitions(spark):
+    df = spark.range(600).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    df = df.withColumn("y", F.col("a") * F.col("b") + F.col("id") % 3)
+
+    def sums(n):
+        model = M.train_gbt(M.training_input(df.repartition(n)), ["a", "b"], "y", {"n_estimators": 5, "subsample": 0.5})
+        return [round(r.prediction, 6) for r in M.predict(model, df).orderBy("id").collect()]
+
+    assert sums(1) == sums(7)
