@@ -128,9 +128,10 @@ def _prepared(spark, sf):
     return data, feats
 
 
-# Parameters of the registered training queries (reference defaults, fewer rounds).
-_TRAIN_PARAMS = {"n_estimators": 30, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8}
-_SPACE = {"n_estimators": (10, 30), "max_depth": [3, 4, 5], "learning_rate": (0.05, 0.2)}
+# The reference's sizes; num_leaves and the regularisation weights have no equivalent.
+_TRAIN_PARAMS = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8}
+_SPACE = {"n_estimators": (50, 200), "max_depth": (3, 10), "learning_rate": (0.01, 0.3), "min_child_samples": (5, 20),
+          "subsample": (0.7, 1.0), "colsample": (0.7, 1.0)}
 
 
 @query("gbt_train_predict")
@@ -177,8 +178,8 @@ def feature_importance(spark, sf):
 @query("cross_validate")
 def cross_validate(spark, sf):
     data, feats = _prepared(spark, sf)
-    folded = M.add_folds(data, "l_orderkey", 3, _SEED)
-    return rounded(M.cross_validate(folded, feats, "l_extendedprice", _TRAIN_PARAMS, "fold", 3))
+    folded = M.add_folds(data, "l_orderkey", 5, _SEED)
+    return rounded(M.cross_validate(folded, feats, "l_extendedprice", _TRAIN_PARAMS, "fold", 5))
 
 
 @query("staged_selection")
@@ -191,14 +192,14 @@ def staged_selection(spark, sf):
 @query("simple_tuning")
 def simple_tuning(spark, sf):
     data, feats = _prepared(spark, sf)
-    return rounded(M.simple_tuning(data, feats, "l_extendedprice", _SPACE, n_trials=3, key="l_orderkey", k=2))
+    return rounded(M.simple_tuning(data, feats, "l_extendedprice", _SPACE, n_trials=50, key="l_orderkey", k=3))
 
 
 @query("nested_cv_tuning")
 def nested_cv_tuning(spark, sf):
     """M10 + R6: nested CV; the summary is written as JSON and read back with best/worst scores."""
     data, feats = _prepared(spark, sf)
-    res = M.nested_cv(data, feats, "l_extendedprice", _SPACE, key="l_orderkey", outer=3, inner=2, n_trials=2)
+    res = M.nested_cv(data, feats, "l_extendedprice", _SPACE, key="l_orderkey", outer=5, inner=3, n_trials=50)
     path = scratch_table_path(spark, "tuning_summary")
     res.summary(spark).coalesce(1).write.mode("overwrite").json(path)
     out = R.read_tuning_summaries(spark, path)

@@ -1,10 +1,12 @@
 """Registered queries do the whole job: every row, and results that don't follow the layout."""
 
+import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SMALL
 
 from tabloom.operators import modeling as M
 from tabloom.plans import queries_keys as K
+from tabloom.plans import queries_model as Q
 
 
 def test_every_customer_goes_round(spark, monkeypatch):
@@ -26,3 +28,27 @@ def test_trees_do_not_follow_the_partitions(spark):
         return [round(r.prediction, 6) for r in M.predict(model, df).orderBy("id").collect()]
 
     assert sums(1) == sums(7)
+
+
+def test_registered_sizes_are_the_reference_s(monkeypatch):
+    """100 rounds, 5 folds, 50 trials on 3 folds, and 5 x 3 nested folds; nothing is trained here."""
+    calls = {}
+
+    def stand_in(name):
+        def call(*args, **kwargs):
+            calls[name] = (args, kwargs)
+            raise StopIteration
+        return call
+
+    monkeypatch.setattr(Q, "_prepared", lambda spark, sf: (None, []))
+    monkeypatch.setattr(Q.M, "add_folds", lambda data, key, k, seed: k)
+    for name in ("cross_validate", "simple_tuning"):
+        monkeypatch.setattr(Q.M, name, stand_in(name))
+    monkeypatch.setattr(Q.M, "nested_cv", stand_in("nested_cv_tuning"))
+    for name in ("cross_validate", "simple_tuning", "nested_cv_tuning"):
+        with pytest.raises(StopIteration):
+            getattr(Q, name)(None, SMALL)
+    assert Q._TRAIN_PARAMS["n_estimators"] == 100 and Q._SPACE["n_estimators"] == (50, 200)
+    assert calls["cross_validate"][0][0] == calls["cross_validate"][0][-1] == 5
+    assert calls["simple_tuning"][1]["n_trials"] == 50 and calls["simple_tuning"][1]["k"] == 3
+    assert [calls["nested_cv_tuning"][1][k] for k in ("outer", "inner", "n_trials")] == [5, 3, 50]
