@@ -71,6 +71,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), 1024)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.periodic import digest, periodic_runs, with_repeats
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(periodic_runs(with_repeats(docs), least=24, times=3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_toxicity": op1_pu_toxicity,
     "op2_token_combinations": op2_token_combinations,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_block_tree": op9_block_tree,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op6_norm_buckets": """
