@@ -71,6 +71,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), 1024)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.merkle import check
+    return check(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.periodic import digest, periodic_runs, with_repeats
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_block_tree": op9_block_tree,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
