@@ -76,6 +76,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
 
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.lang_spans import languages
+    return languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.periodic import digest, periodic_runs, with_repeats
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_block_tree": op9_block_tree,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_spans": op12_language_spans,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
