@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import nan_to_null
+from tabloom.operators.selection import select_ranks
 from tabloom.session import cut_lineage
 
 
@@ -153,7 +154,7 @@ def rank_small(df: DataFrame, order_by: Sequence[Column], name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)).cast("bigint"))
 
 
-# --- value counts: the one core behind quantiles, modes, categories and codes ------------
+# --- value counts: the one core behind modes, categories and codes ------------------------
 
 def value_counts(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
     """``(column, value, n)`` of the columns' present values, cast to ``as_type``.
@@ -191,8 +192,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] | di
 
     ``probs`` is one list, or one for each column.  ``exact=False``: one
     ``percentile_approx`` aggregation (fixed-size sketches).  ``exact=True``:
-    distributed value counts in range partitions; only the partitions that hold
-    a needed rank are looked into, and two values per probability are fetched.
+    bracketed selection (:mod:`tabloom.operators.selection`), two or three scans
+    of the columns that shuffle counts only; ``nblocks`` is the number of parts
+    that a bracket is cut into.
     """
     cols = list(dict.fromkeys(columns))
     if not cols:
@@ -205,23 +207,12 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] | di
         row = df.agg(*[F.percentile_approx(x(c), F.array(*[F.lit(float(p)) for p in wanted[c]]), accuracy).alias(f"q{i}")
                        for i, c in enumerate(cols)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[c])) for i, c in enumerate(cols)}
-    counts, parts = sorted_counts(value_counts(df, cols, "double"), nblocks)
-    total = {c: sum(r["n"] for r in parts if r["column"] == c) for c in cols}
-    ranks = {c: sorted({r for p in wanted[c] for h in [p * (total[c] - 1)]
-                        for r in (int(h // 1), min(int(h // 1) + 1, total[c] - 1))}) if total[c] else [] for c in cols}
-    needed = []
-    for c in cols:
-        before = 0
-        for r in (r for r in parts if r["column"] == c):
-            needed += [(c, r["__block"], before, k) for k in ranks[c] if before <= k < before + r["n"]]
-            before += r["n"]
-    spark = df.sparkSession
-    # two ranks per probability: a proven bound
-    ask = F.broadcast(spark.createDataFrame(needed, "column string, __block int, before long, rank long"))
-    w = Window.partitionBy("column", "__block").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.join(ask.select("column", "__block").distinct(), ["column", "__block"], "left_semi").withColumn("upto", F.sum("n").over(w))
-    got = {(r["column"], r["rank"]): r["value"] for r in run.join(ask, ["column", "__block"]).where(
-        (F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("n"))).collect()}
+
+    def place(p: float, n: int) -> tuple[float, int, int]:
+        h = p * (n - 1)
+        return h, int(h // 1), min(int(h // 1) + 1, n - 1)
+
+    total, got = select_ranks(df, cols, lambda c, n: [r for p in wanted[c] for r in place(p, n)[1:]], nblocks)
     out: dict[str, list] = {}
     for c in cols:
         out[c] = []
@@ -229,9 +220,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] | di
             if not total[c]:
                 out[c].append(None)
                 continue
-            h = p * (total[c] - 1)
-            lo = int(h // 1)
-            a, b = got[(c, lo)], got[(c, min(lo + 1, total[c] - 1))]
+            h, lo, hi = place(p, total[c])
+            a, b = got[c][lo], got[c][hi]
             out[c].append(a if a == b else a + (h - lo) * (b - a))
     return out
 
