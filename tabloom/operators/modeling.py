@@ -1,11 +1,9 @@
 """Splits, folds, boosted-tree training, metrics, tuning and selection.
 
-Training uses Spark ML's ``GBTRegressor``: trees are grown from statistics
-aggregated on the executors, so the training table is never gathered on one
-machine.  Loops over folds and parameter candidates run on the driver and
-launch distributed jobs; the prepared table is checkpointed once into the
-shared checkpoint folder so every fit re-reads it instead of recomputing the
-lineage.  Metrics are one aggregation each.
+Training uses the histogram booster of :mod:`tabloom.operators.boosting`: rows
+are binned and packed once, and all models of a call (folds, candidates, outer
+and inner splits) grow together over the same packed rows.  Metrics are one
+aggregation each.
 """
 
 from __future__ import annotations
@@ -17,14 +15,13 @@ import warnings
 from dataclasses import dataclass, field
 from typing import Any, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import date_columns, inf_to_null, nan_to_null
+from tabloom.operators import boosting as B
 from tabloom.operators.dates import parse_datetime
 from tabloom.operators.encode import LabelCodes, Lookup, code_table, small_category_sets
 from tabloom.session import cut_lineage
@@ -134,30 +131,15 @@ def overfit_flags_df(metrics: DataFrame, split_col: str = "split", r2_gap: float
 
 # --- M4 / M5 / M6 / M13: train, predict, importance -----------------------------------
 
-# LightGBM-style defaults of the reference mapped onto Spark GBT.
-DEFAULT_PARAMS = {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 5, "subsample": 0.8,
-                  "colsample": 0.9, "min_child_samples": 20, "min_split_gain": 0.0}
-_PARAM_MAP = {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth",
-              "min_child_samples": "minInstancesPerNode", "subsample": "subsamplingRate",
-              "min_split_gain": "minInfoGain", "max_bins": "maxBins"}
+DEFAULT_PARAMS = B.DEFAULTS
 
 
-def gbt_params(params: dict[str, Any]) -> dict[str, Any]:
-    """Map reference-style parameter names to ``GBTRegressor`` params.
-
-    num_leaves / reg_alpha / reg_lambda have no Spark equivalent; they are left
-    out with a warning, so a search over them does not go unnoticed.
-    """
-    unknown = sorted(set(params) - set(_PARAM_MAP) - {"colsample"})
+def known_params(params: dict[str, Any] | None) -> dict[str, Any]:
+    """The parameters that the booster knows; others are left out with a warning, so a search over them does not go unnoticed."""
+    unknown = sorted(set(params or {}) - set(DEFAULT_PARAMS) - {"max_bins"})
     if unknown:
         warnings.warn(f"parameters without an equivalent are ignored: {unknown}", stacklevel=2)
-    out = {}
-    for k, v in params.items():
-        if k in _PARAM_MAP:
-            out[_PARAM_MAP[k]] = int(v) if _PARAM_MAP[k] in ("maxIter", "maxDepth", "minInstancesPerNode", "maxBins") else float(v)
-        elif k == "colsample":
-            out["featureSubsetStrategy"] = str(float(v)) if float(v) < 1.0 else "all"
-    return out
+    return {k: v for k, v in (params or {}).items() if k not in unknown}
 
 
 def assemble(features: Sequence[str], handle_invalid: str = "keep") -> VectorAssembler:
@@ -165,45 +147,30 @@ def assemble(features: Sequence[str], handle_invalid: str = "keep") -> VectorAss
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid)
 
 
-TRAIN_PARTITIONS = 16
+def training_input(df: DataFrame) -> DataFrame:
+    """The input of one or more fits, written once into the shared checkpoint folder."""
+    return cut_lineage(df)
 
 
-def training_input(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """Prepare the input of one or more fits.
+def train_gbt(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
+              seed: int = 42, key: Sequence[str] | None = None) -> B.BoostedModel:
+    """M5: boosted regression trees fitted on ``df``.
 
-    * Checkpointed into the shared checkpoint folder: every fit of a loop
-      re-reads the prepared rows instead of recomputing their lineage, and a
-      lost executor recomputes from the checkpoint files.
-    * Placed by a hash of the row into ``partitions`` parts and sorted within
-      them: Spark draws each round's subsample by partition and position, so
-      the trees would otherwise follow the number of cores and input files.
-      The caller sets the number; a large job needs more than the default.
+    The same rows give the same model, however they are partitioned.  Missing
+    features are a bin of their own below the others; rows without a label are left out.
     """
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    return cut_lineage(df.repartition(partitions, F.xxhash64(*cols)).sortWithinPartitions(*cols))
+    p = known_params(params)
+    return B.fit_models(df, features, label, [B.Fit(p)], key=key, seed=seed)[0].model
 
 
-def train_gbt(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
-              seed: int = 42) -> PipelineModel:
-    """M5: assemble + GBT regressor fitted on ``df``."""
-    p = dict(DEFAULT_PARAMS)
-    p.update(params or {})
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", seed=seed,
-                       **gbt_params(p))
-    return Pipeline(stages=[assemble(features), gbt]).fit(df)
-
-
-def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
+def predict(model: B.BoostedModel, df: DataFrame, name: str = "prediction") -> DataFrame:
     """M6: all input columns plus the prediction."""
-    out = model.transform(df).drop("features")
-    return out.withColumnRenamed("prediction", name) if name != "prediction" else out
+    return model.predict(df, name)
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str], top_k: int | None = 10) -> DataFrame:
-    """(rank, feature, importance) sorted by importance (split-gain based)."""
-    gbt: GBTRegressionModel = model.stages[-1]
-    imp = gbt.featureImportances.toArray().tolist()
-    rows = sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
+def feature_importance(model: B.BoostedModel, features: Sequence[str], top_k: int | None = 10) -> DataFrame:
+    """(rank, feature, importance) sorted by importance (share of the splits' gain)."""
+    rows = sorted(zip(features, model.importance()), key=lambda t: (-t[1], t[0]))
     if top_k:
         rows = rows[:top_k]
     spark = SparkSession.getActiveSession()
@@ -215,15 +182,13 @@ def feature_importance(model: PipelineModel, features: Sequence[str], top_k: int
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, params: dict[str, Any] | None = None,
                    fold_col: str = "fold", k: int | None = None, seed: int = 42,
-                   partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """M9: per-fold test metrics of models trained on the other folds."""
-    df = training_input(df, partitions)
+                   key: Sequence[str] | None = None) -> DataFrame:
+    """M9: per-fold test metrics of models trained on the other folds, all in one fit."""
     k = k or df.select(F.max(fold_col)).first()[0] + 1
-    rows = []
-    for f in range(k):
-        m = train_gbt(df.where(F.col(fold_col) != f), features, label, params, seed)
-        r = regression_metrics(predict(m, df.where(F.col(fold_col) == f)), label).first()
-        rows.append((f, r["n"], r["r2"], r["mae"], r["mse"], r["rmse"]))
+    p = known_params(params)
+    fits = [B.Fit(p, test=(0, f)) for f in range(k)]
+    found = B.fit_models(df, features, label, fits, [fold_col], key, seed, keep=False)
+    rows = [(f, *[x.metrics[m] for m in ("n", "r2", "mae", "mse", "rmse")]) for f, x in enumerate(found)]
     return df.sparkSession.createDataFrame(rows, "fold int, n bigint, r2 double, mae double, mse double, rmse double")
 
 
@@ -249,47 +214,30 @@ def sample_params(space: dict[str, Any], n: int, seed: int = 42, log_scale: Sequ
     return out
 
 
-def cv_scores(df: DataFrame, features: Sequence[str], label: str, candidates: Sequence[dict[str, Any]],
-              fold_col: str, seed: int = 42, scoring: str = "rmse", parallelism: int = 4) -> list[float]:
-    """Mean k-fold score of every candidate parameter set (M9 / M12 inner loop).
+def mean_score(found: Sequence[B.Fitted], scoring: str) -> float:
+    """Mean of the folds' scores; a fold without test rows, or with equal labels, has none."""
+    own = [x.metrics[scoring] for x in found if x.metrics[scoring] is not None]
+    return sum(own) / len(own) if own else float("nan")
 
-    Spark ML's ``CrossValidator`` with a fold column: each (candidate, fold)
-    fit is a distributed job and up to ``parallelism`` of them run at the same
-    time, so small fits keep the cluster busy.  ``scoring``: r2, rmse, mse or
-    mae (``RegressionEvaluator`` uses the same formulas as
-    :func:`regression_metrics`).
-    """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
-    base = dict(DEFAULT_PARAMS)
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", seed=seed,
-                       **gbt_params(base))
-    pipe = Pipeline(stages=[assemble(features), gbt])
-    maps = []
-    for c in candidates:
-        p = dict(base)
-        p.update(c)
-        maps.append({getattr(gbt, k): v for k, v in gbt_params(p).items()})
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=scoring)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        numFolds=int(df.select(F.max(fold_col)).first()[0]) + 1, parallelism=parallelism,
-                        seed=seed)
-    return list(cv.fit(df).avgMetrics)
+
+def is_better(a: float, b: float | None, scoring: str) -> bool:
+    """Whether score ``a`` beats ``b`` (None or missing is beaten by any)."""
+    if math.isnan(a):
+        return False
+    return b is None or math.isnan(b) or (a > b if scoring == "r2" else a < b)
 
 
 def simple_tuning(df: DataFrame, features: Sequence[str], label: str, space: dict[str, Any], n_trials: int = 10,
-                  key: str = "row_key", k: int = 3, seed: int = 42, scoring: str = "rmse",
-                  partitions: int = TRAIN_PARTITIONS) -> DataFrame:
-    """Every trial scored by k-fold CV; trials ranked (min rmse / max r2)."""
-    data = training_input(add_folds(df, key, k, seed, "__fold"), partitions)
-    cands = sample_params(space, n_trials, seed)
-    scores = cv_scores(data, features, label, cands, "__fold", seed, scoring)
-    rows = [(i, json.dumps(p, sort_keys=True), float(sc)) for i, (p, sc) in enumerate(zip(cands, scores))]
+                  key: str = "row_key", k: int = 3, seed: int = 42, scoring: str = "rmse") -> DataFrame:
+    """Every trial scored by k-fold CV (all trials and folds in one fit); trials ranked (min rmse / max r2)."""
+    cands = [known_params(p) for p in sample_params(space, n_trials, seed)]
+    fits = [B.Fit(c, test=(0, f)) for c in cands for f in range(k)]
+    found = B.fit_models(add_folds(df, key, k, seed, "__fold"), features, label, fits, ["__fold"], seed=seed, keep=False)
+    rows = [(i, json.dumps(p, sort_keys=True), mean_score(found[i * k:(i + 1) * k], scoring)) for i, p in enumerate(cands)]
     t = df.sparkSession.createDataFrame(rows, "trial int, params string, score double")
     order = F.asc("score") if scoring in ("rmse", "mse", "mae") else F.desc("score")
     from tabloom.operators.order import rank_small
-    return rank_small(t, [order, F.col("trial")], "rank")
+    return rank_small(t, [F.isnan("score"), order, F.col("trial")], "rank")
 
 
 @dataclass
@@ -299,7 +247,7 @@ class TuningResult:
     std_score: float
     all_scores: list
     all_params: list
-    final_model: PipelineModel | None = None
+    final_model: B.BoostedModel | None = None
 
     def summary(self, spark) -> DataFrame:
         """R6-shaped summary row (the tuning-summary file as a table)."""
@@ -311,7 +259,7 @@ class TuningResult:
 
 def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[str, Any], key: str,
               outer: int = 5, inner: int = 3, n_trials: int = 10, seed: int = 42, scoring: str = "r2",
-              select: str = "best_fold", refit: bool = True, partitions: int = TRAIN_PARTITIONS) -> TuningResult:
+              select: str = "best_fold", refit: bool = True) -> TuningResult:
     """Nested cross-validation with a seeded random search.
 
     For each outer fold: candidates are scored by inner CV on the outer
@@ -319,47 +267,49 @@ def nested_cv(df: DataFrame, features: Sequence[str], label: str, space: dict[st
     Reports mean, sample std and all outer scores.  ``select="best_fold"``
     (reference behaviour) takes the parameters of the best-scoring outer fold;
     ``"best_mean"`` the most frequent winner.  A final model is fitted on all
-    data.
+    data.  All inner fits of all outer folds are one fit over the rows, which
+    are binned and packed once.
     """
-    data = training_input(add_folds(add_folds(df, key, outer, seed, "__outer", "outer fold"), key, inner, seed, "__inner", "inner fold"), partitions)
-    cands = sample_params(space, n_trials, seed)
-    better = (lambda a, b: a > b) if scoring == "r2" else (lambda a, b: a < b)
-    scores, winners = [], []
+    data = add_folds(add_folds(df, key, outer, seed, "__outer", "outer fold"), key, inner, seed, "__inner", "inner fold")
+    cands = [known_params(p) for p in sample_params(space, n_trials, seed)]
+    rows = B.prepare(data, features, label, ["__outer", "__inner"], bins=max((int(c.get("max_bins", B.BINS)) for c in cands), default=B.BINS))
+    inner_fits = [B.Fit(c, test=(1, i), out=(0, o)) for o in range(outer) for c in cands for i in range(inner)]
+    found = rows.fit(inner_fits, seed, keep=False)
+    winners = []
     for o in range(outer):
-        train = data.where(F.col("__outer") != o)
-        test = data.where(F.col("__outer") == o)
-        best, best_s = None, None
-        for p, sc in zip(cands, cv_scores(train, features, label, cands, "__inner", seed, scoring)):
-            if best_s is None or better(sc, best_s):
+        best, best_s = cands[0], None
+        for c, p in enumerate(cands):
+            at = (o * len(cands) + c) * inner
+            sc = mean_score(found[at:at + inner], scoring)
+            if is_better(sc, best_s, scoring):
                 best, best_s = p, sc
-        m = train_gbt(train, features, label, best, seed)
-        scores.append(regression_metrics(predict(m, test), label).first()[scoring])
         winners.append(best)
+    refits = rows.fit([B.Fit(w, test=(0, o)) for o, w in enumerate(winners)], seed, keep=False)
+    scores = [float("nan") if x.metrics[scoring] is None else x.metrics[scoring] for x in refits]
     mean = sum(scores) / len(scores)
     std = math.sqrt(sum((s - mean) ** 2 for s in scores) / (len(scores) - 1)) if len(scores) > 1 else float("nan")
     if select == "best_fold":
-        idx = max(range(len(scores)), key=lambda i: scores[i]) if scoring == "r2" else \
-            min(range(len(scores)), key=lambda i: scores[i])
-        chosen = winners[idx]
+        chosen, top = winners[0], None
+        for w, s in zip(winners, scores):
+            if is_better(s, top, scoring):
+                chosen, top = w, s
     else:
         keyed = [json.dumps(w, sort_keys=True) for w in winners]
-        chosen = json.loads(max(set(keyed), key=keyed.count))
-    final = train_gbt(data, features, label, chosen, seed) if refit else None
+        chosen = json.loads(max(sorted(set(keyed)), key=keyed.count))
+    final = rows.fit([B.Fit(chosen)], seed)[0].model if refit else None
     return TuningResult(chosen, mean, std, scores, winners, final)
 
 
 # --- M14: staged selection -------------------------------------------------------------
 
 def staged_selection(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                     params: dict[str, Any] | None = None, seed: int = 42,
-                     partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+                     params: dict[str, Any] | None = None, seed: int = 42) -> DataFrame:
     """Train on all features, keep the max(1, n//2) most important, retrain, compare."""
-    train = training_input(train, partitions)
+    train = training_input(train)
     m1 = train_gbt(train, features, label, params, seed)
     r1 = regression_metrics(predict(m1, test), label).first()
-    imp = m1.stages[-1].featureImportances.toArray().tolist()
     keep_n = max(1, len(features) // 2)
-    keep = [f for f, _ in sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))[:keep_n]]
+    keep = [f for f, _ in sorted(zip(features, m1.importance()), key=lambda t: (-t[1], t[0]))[:keep_n]]
     m2 = train_gbt(train, keep, label, params, seed)
     r2 = regression_metrics(predict(m2, test), label).first()
     spark = train.sparkSession
@@ -414,15 +364,15 @@ def fit_feature_pipeline(df: DataFrame, target: str | None = None, max_categorie
 
 # --- M16: persistence -------------------------------------------------------------------------
 
-def save_model(model: PipelineModel, path: str, metadata: dict[str, Any]) -> None:
-    """Spark ML model files plus a one-row metadata table next to them."""
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model: B.BoostedModel, path: str, metadata: dict[str, Any]) -> None:
+    """The model as a one-row table, plus a one-row metadata table next to it."""
+    B.save(model, f"{path}/model")
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(metadata, sort_keys=True, default=str),)], "metadata string") \
         .coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict[str, Any]]:
+def load_model(path: str) -> tuple[B.BoostedModel, dict[str, Any]]:
     spark = SparkSession.getActiveSession()
     meta = spark.read.json(f"{path}/metadata").first()["metadata"]
-    return PipelineModel.load(f"{path}/model"), json.loads(meta)
+    return B.load(spark, f"{path}/model"), json.loads(meta)

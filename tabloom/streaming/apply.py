@@ -55,5 +55,5 @@ def predict_stream(spark: SparkSession, source: str, schema: T.StructType, steps
                    model, out_path: str, name: str = "predictions"):
     """Score new files with a fitted feature chain and model; returns the running query."""
     s = apply_fitted(read_parquet_stream(spark, source, schema), steps)
-    scored = model.transform(s).drop("features")
+    scored = model.predict(s)
     return write_table_stream(scored, out_path, name)
