@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tabloom.operators.dates import parse_datetime
 from tabloom.operators.order import global_row_index
+from tabloom.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -100,21 +101,97 @@ def auto_date_join(tables: dict[str, DataFrame], order_by: dict[str, Sequence[st
     return acc.drop(*[c for c in acc.columns if c.startswith("__pos_")])
 
 
-def merge_on_key(tables: dict[str, DataFrame], key: str) -> DataFrame:
+HOT_ROWS = 10_000     # a key with fewer rows is never split
+
+
+def hot_keys(tables: Sequence[DataFrame], key: str, hot_rows: int | None = None) -> tuple[DataFrame | None, int]:
+    """Keys that a fold of full joins would gather in one task, with their rows in every table: ``key, n0, n1, ...``.
+
+    One counted pass over the keys of all tables.  A key is hot if a table, or
+    the fold before a join, has more than ``hot_rows`` rows of it; by default a
+    quarter of an even share of all rows for each shuffle partition, and
+    HOT_ROWS at least, so there are few of them.  None if no key is.
+    """
+    spark = tables[0].sparkSession
+    one = [t.select(F.col(key).alias("key"), *[F.lit(int(i == k)).cast("long").alias(f"n{i}") for i in range(len(tables))])
+           for k, t in enumerate(tables)]
+    counts = cut_lineage(reduce(DataFrame.unionByName, one).groupBy("key").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(tables))]))
+    if hot_rows is None:
+        total = counts.agg(F.sum(reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(tables))]))).first()[0] or 0
+        hot_rows = max(HOT_ROWS, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    fold, most = F.col("n0"), F.col("n0")
+    for i in range(1, len(tables)):
+        most = F.greatest(most, fold, f"n{i}")
+        fold = joined_rows(fold, F.col(f"n{i}"))
+    # at most (rows of the tables and of the fold) / hot_rows of them
+    rows = counts.where(F.col("key").isNotNull() & (most > hot_rows)).collect()
+    return (spark.createDataFrame(rows, counts.schema) if rows else None), hot_rows
+
+
+def joined_rows(n, m):
+    """Rows of a key in the full join of two tables that have ``n`` and ``m`` of it."""
+    return F.when((n > 0) & (m > 0), n * m).otherwise(n + m)
+
+
+def full_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, n_left, n_right, hot_rows: int) -> DataFrame:
+    """Full outer join on ``key`` (one coalesced column) whose hot and NULL keys are dealt to many tasks.
+
+    ``hot``: a bounded table of the hot keys with the row counts ``n_left`` and
+    ``n_right``.  The side with more rows of a hot key gets a salt in each row,
+    the other side's rows are repeated for every salt; a copy that met no row
+    is taken out again, since its row met others.  A NULL key, and a hot key
+    that one side lacks, meets nothing: its rows are dealt and not repeated.
+    """
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = spark.createDataFrame([], "`__k` int, `__s` int, `__big` int") if hot is None else hot.select(
+        F.col("key").alias("__k"), F.greatest(F.lit(2), F.least(F.lit(16 * parts), F.ceil(F.greatest(n_left, n_right) / hot_rows))).cast("int").alias("__s"),
+        F.when((n_left > 0) & (n_right > 0), F.when(n_left >= n_right, 0).otherwise(1)).otherwise(2).alias("__big"))
+
+    def salted(df: DataFrame, side: int) -> DataFrame:
+        own = [c for c in df.columns]
+        hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        deal = lambda n: F.pmod(F.xxhash64(*hashable), n).cast("int")          # noqa: E731
+        k = F.col(key)
+        if hot is None:
+            return df.select(*own, F.when(k.isNull(), deal(F.lit(parts))).otherwise(0).alias("__salt"), F.lit(False).alias(f"__copy{side}"), F.lit(True).alias(f"__in{side}"))
+        # bounded: the hot keys only
+        j = df.join(F.broadcast(none), k == F.col("__k"), "left")
+        copies = F.coalesce(F.col("__big") == 1 - side, F.lit(False))
+        salts = (F.when(copies, F.sequence(F.lit(0), F.col("__s") - 1))
+                 .when(k.isNull(), F.array(deal(F.lit(parts))))
+                 .when(F.col("__s").isNotNull(), F.array(deal(F.col("__s"))))
+                 .otherwise(F.array(F.lit(0))))
+        return j.select(*own, F.explode(salts).alias("__salt"), copies.alias(f"__copy{side}"), F.lit(True).alias(f"__in{side}"))
+
+    out = salted(left, 0).join(salted(right, 1), [key, "__salt"], "full")
+    stray = (F.col("__copy0") & F.col("__in1").isNull()) | (F.col("__copy1") & F.col("__in0").isNull())
+    return out.where(~F.coalesce(stray, F.lit(False))).drop("__salt", "__copy0", "__copy1", "__in0", "__in1")
+
+
+def merge_on_key(tables: dict[str, DataFrame], key: str, hot_rows: int | None = None) -> DataFrame:
     """Full outer joins on a key present in every table (one coalesced key).
 
-    Overlapping non-key columns get ``_<table>`` on the right side.
+    Overlapping non-key columns get ``_<table>`` on the right side.  NULL keys
+    match nothing and stay as rows of their own.  Keys with many rows are
+    counted first and split over tasks (:func:`full_join`); ``hot_rows`` sets
+    how many are too many.
     """
     for n, t in tables.items():
         if key not in t.columns:
             raise ValueError(f"key {key!r} missing in {n!r}")
     names = list(tables)
     acc = tables[names[0]]
-    for n in names[1:]:
+    if len(names) == 1:
+        return acc
+    hot, limit = hot_keys([tables[n] for n in names], key, hot_rows)
+    rows = F.col("n0")
+    for i, n in enumerate(names[1:], 1):
         r = tables[n]
         overlap = (set(acc.columns) & set(r.columns)) - {key}
         r = r.select(*[F.col(c).alias(f"{c}_{n}") if c in overlap else F.col(c) for c in r.columns])
-        acc = acc.join(r, on=key, how="full")
+        acc = full_join(acc, r, key, hot, rows, F.col(f"n{i}"), limit)
+        rows = joined_rows(rows, F.col(f"n{i}"))
     return acc
 
 

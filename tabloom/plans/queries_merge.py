@@ -77,6 +77,25 @@ def merge_on_key_full(spark, sf):
     return rounded(J.merge_on_key({"part": p, "lines": lines}, "p_partkey"))
 
 
+# two fifths of the orders have no key, a fifth of them has one and the same
+@query("merge_on_key_hot", """
+WITH o AS (SELECT CASE WHEN o_orderkey % 5 < 2 THEN NULL WHEN o_orderkey % 5 = 2 THEN 1 ELSE o_custkey END AS k, o_orderkey, o_totalprice
+           FROM orders),
+     c AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_custkey END AS k, c_name, c_acctbal FROM customer
+           UNION ALL SELECT 1, 'second row of the hot key', 0.5)
+SELECT CAST(coalesce(o.k, c.k) AS DOUBLE) AS k, CAST(o.o_orderkey AS DOUBLE) AS o_orderkey, round(o.o_totalprice, 4) AS o_totalprice,
+       c.c_name, round(c.c_acctbal, 4) AS c_acctbal
+FROM o FULL JOIN c ON o.k = c.k""")
+def merge_on_key_hot(spark, sf):
+    o = V.table(spark, sf, "orders")
+    fifth = F.pmod(F.col("o_orderkey"), F.lit(5))
+    o = o.select(F.when(fifth < 2, None).when(fifth == 2, 1).otherwise(F.col("o_custkey")).cast("bigint").alias("k"), "o_orderkey", "o_totalprice")
+    c = V.table(spark, sf, "customer")
+    c = c.select(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey")).cast("bigint").alias("k"), "c_name", "c_acctbal")
+    c = c.union(spark.createDataFrame([(1, "second row of the hot key", 0.5)], "k bigint, c_name string, c_acctbal double"))
+    return rounded(nullable_ints_as_double(J.merge_on_key({"orders": o, "customers": c}, "k", hot_rows=200), ["k", "o_orderkey"]))
+
+
 @query("merge_horizontal", """
 WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation),
      r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos FROM region)
