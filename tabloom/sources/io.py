@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, null_safe_true
+from tabloom.sources.csv_ranges import read_split
 
 log = logging.getLogger(__name__)
 
@@ -32,14 +33,19 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     Without a header the columns are named ``"0", "1", ...`` unless
     ``headers`` supplies the names, whose count must match the columns.
     Everything is read as text; :func:`infer_column_types` types it in one
-    pass.  Cells may hold doubled quotes and, with ``multiline``, line breaks;
-    a file is then one task's, so large files without line breaks in cells are
-    better read with ``multiline=False``.
+    pass.  Cells may hold doubled quotes and, with ``multiline``, line breaks
+    (LF, or CR LF, which they keep); large files are read by many tasks in either case
+    (:mod:`tabloom.sources.csv_ranges`).  Encodings of several bytes a letter
+    whose bytes look like quotes or line breaks (UTF-16, UTF-32) are read a file a task.
     """
-    df = (spark.read.option("sep", delimiter).option("encoding", encoding)
-          .option("header", header).option("inferSchema", False)
-          .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-          .option("nullValue", "").option("emptyValue", None).csv(path))
+    kind = encoding.lower().replace("-", "").replace("_", "")
+    if multiline and not kind.startswith(("utf16", "utf32")):
+        df = read_split(spark, path, header, delimiter, encoding)
+    else:
+        df = (spark.read.option("sep", delimiter).option("encoding", encoding)
+              .option("header", header).option("inferSchema", False)
+              .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+              .option("nullValue", "").option("emptyValue", None).csv(path))
     if headers is not None:
         if len(headers) != len(df.columns):
             raise ValueError(f"{len(headers)} header names for {len(df.columns)} columns")
