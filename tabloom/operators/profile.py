@@ -21,6 +21,7 @@ from tabloom.functions.exprs import (
     WEEKDAY_JA, numeric_columns, sample_kurtosis, sample_skewness,
 )
 from tabloom.operators.clean import filter_rows_by_search, valid_sales
+from tabloom.operators.columns import column_counts, pair_grids
 from tabloom.operators.order import quantiles, rank_small
 
 
@@ -113,8 +114,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
     """Distinct (non-null) and non-null counts of the categorical columns."""
     num = set(numeric_columns(df))
     cols = list(columns) if columns else [c for c in df.columns if c not in num]
-    cd = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[cd(F.col(c)).alias(f"__d{i}") for i, c in enumerate(cols)],
+    if not approx:
+        return column_counts(df, cols).select("column", F.col("n_distinct").alias("n_unique"), (F.col("n_rows") - F.col("nulls")).alias("n_non_null"))
+    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"__d{i}") for i, c in enumerate(cols)],
                  *[F.count(F.col(c)).alias(f"__c{i}") for i, c in enumerate(cols)])
     return _long(row, [(c, [("n_unique", F.col(f"__d{i}")), ("n_non_null", F.col(f"__c{i}"))])
                        for i, c in enumerate(cols)])
@@ -345,15 +347,8 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 
 def histogram_2d_pairs(df: DataFrame, xs: Sequence[str], ys: Sequence[str], bins: int = 20) -> DataFrame:
-    """P11 over every x-by-y combination of two column lists (x = y skipped)."""
-    out = None
-    for a in xs:
-        for b in ys:
-            if a == b:
-                continue
-            h = histogram_2d(df, a, b, bins)
-            out = h if out is None else out.unionByName(h)
-    return out
+    """P11 over every x-by-y combination of two column lists (x = y skipped), in two scans."""
+    return pair_grids(df, [(a, b) for a in xs for b in ys if a != b], bins)
 
 
 def top_cells(hist2d: DataFrame, k: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabloom.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT
 from tabloom.operators import profile as P
+from tabloom.operators.columns import chart_data_all
 from tabloom.plans import views as V
 from tabloom.plans.registry import nullable_ints_as_double, query, rounded
 from tabloom.sources import io as S
@@ -111,6 +112,40 @@ def histogram2d(spark, sf):
                                         ["l_extendedprice"], 20))
 
 
+_LINE_NUM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE_TEXT = ("l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _charts_sql() -> str:
+    """A histogram of every numeric column with over 20 values, else counts; the top 20 of other columns."""
+    parts = []
+    for c in _LINE_NUM:
+        parts.append(f"""SELECT '{c}' AS "column", 'histogram' AS chart, CAST(bin AS DOUBLE) AS bin, lower, upper, CAST(NULL AS VARCHAR) AS value, count,
+            CAST(NULL AS DOUBLE) AS n_unique FROM ({_hist_sql(c, "lineitem", 30)}) WHERE (SELECT count(DISTINCT {c}) FROM lineitem) > 20""")
+    for c in _LINE_NUM + _LINE_TEXT:
+        most = "n_unique <= 20" if c in _LINE_NUM else "true"
+        parts.append(f"""SELECT '{c}', CASE WHEN n_unique <= 20 THEN 'counts' ELSE 'top' END, NULL, NULL, NULL, value, n, CAST(n_unique AS DOUBLE) FROM (
+            SELECT value, n, count(*) OVER () AS n_unique, row_number() OVER (ORDER BY n DESC, value) AS place FROM (
+              SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1)) WHERE {most} AND place <= 20""")
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+@query("chart_all_columns", _charts_sql())
+def chart_all_columns(spark, sf):
+    """The charts of every lineitem column in two scans."""
+    li = V.table(spark, sf, "lineitem").select(*_LINE_NUM, *_LINE_TEXT)
+    return rounded(nullable_ints_as_double(chart_data_all(li), ["bin", "n_unique"]))
+
+
+_PAIR_X, _PAIR_Y = ("l_quantity", "l_discount", "l_tax"), ("l_extendedprice", "l_quantity", "l_partkey")
+
+
+@query("histogram2d_all_pairs", " UNION ALL ".join(
+    f"SELECT * FROM ({_h2_sql(x, y, 'lineitem', 20)})" for x in _PAIR_X for y in _PAIR_Y if x != y))
+def histogram2d_all_pairs(spark, sf):
+    return rounded(P.histogram_2d_pairs(V.table(spark, sf, "lineitem"), _PAIR_X, _PAIR_Y, 20))
+
+
 @query("top_cells", """
 WITH h AS (""" + _h2_sql("l_quantity", "l_extendedprice", "lineitem", 20) + """)
 SELECT row_number() OVER (ORDER BY count DESC, x_col, y_col, bx, "by") AS rank, x_col, y_col, bx, "by", count,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.exprs import INTEGER_TEXT, NUMERIC_TEXT, null_safe_true
+from tabloom.operators.columns import column_counts
 from tabloom.sources.csv_ranges import read_split
 
 log = logging.getLogger(__name__)
@@ -170,16 +171,19 @@ def dtype_name(t: T.DataType) -> str:
 def table_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column type, NULL count and distinct count, plus row/column counts.
 
-    One aggregation for all columns (the reference ran two queries per
-    column).  ``exact=False`` counts distinct values approximately, with a sketch
-    of fixed size per column.
+    One pass for all columns (the reference ran two queries per column).
+    ``exact=False`` counts distinct values approximately, with a sketch of
+    fixed size per column.
     """
-    cd = F.count_distinct if exact else F.approx_count_distinct
+    t = {f.name: dtype_name(f.dataType) for f in df.schema.fields}
+    if exact:
+        own = df.sparkSession.createDataFrame([(c, t[c]) for c in df.columns], "column string, dtype string")
+        return column_counts(df, df.columns).join(F.broadcast(own), "column").select(
+            "column", "dtype", "nulls", "n_distinct", "n_rows", F.lit(len(df.columns)).alias("n_columns"))
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(df.columns):
-        aggs += [F.sum(F.col(c).isNull().cast("bigint")).alias(f"z{i}"), cd(F.col(c)).alias(f"d{i}")]
+        aggs += [F.sum(F.col(c).isNull().cast("bigint")).alias(f"z{i}"), F.approx_count_distinct(F.col(c)).alias(f"d{i}")]
     row = df.agg(*aggs)
-    t = {f.name: dtype_name(f.dataType) for f in df.schema.fields}
     items = [F.struct(F.lit(c).alias("column"), F.lit(t[c]).alias("dtype"),
                       F.coalesce(F.col(f"z{i}"), F.lit(0)).alias("nulls"), F.col(f"d{i}").alias("n_distinct"),
                       F.col("__n").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
