@@ -61,6 +61,10 @@ SUBSTITUTE_FROM = dt.date(1973, 4, 12)
 CITIZENS_FROM = dt.date(1988, 1, 1)
 
 
+# years that the rules below cover
+FIRST_YEAR, LAST_YEAR = 1955, 2099
+
+
 def _nth_monday(year: int, month: int, n: int) -> dt.date:
     first = dt.date(year, month, 1)
     offset = (0 - first.weekday()) % 7
@@ -152,7 +156,7 @@ def japanese_holidays(start_year: int, end_year: int) -> list[tuple[dt.date, str
 _ROWS_CACHE: dict[tuple[int, int], list] = {}
 
 
-def holidays_table(spark: SparkSession, start_year: int = 1955, end_year: int = 2099) -> DataFrame:
+def holidays_table(spark: SparkSession, start_year: int = FIRST_YEAR, end_year: int = LAST_YEAR) -> DataFrame:
     """``holidays(date DATE, holiday_name STRING)`` dimension for a year range."""
     key = (start_year, end_year)
     if key not in _ROWS_CACHE:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import re
-from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,7 +176,3 @@ def sample_kurtosis(c) -> Column:
     n = F.count(c).cast("double")
     g2 = F.kurtosis(c)
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-
-
-def columns_of(df: DataFrame, cols: Iterable[str] | None) -> list[str]:
-    return list(df.columns) if cols is None else list(cols)

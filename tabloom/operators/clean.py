@@ -211,28 +211,29 @@ def map_column(df: DataFrame, ref: str, mapping_from: Sequence, mapping_to: Sequ
                default=None, overwrite: bool = False) -> DataFrame:
     """Map the text of ``ref`` through a value table into ``new``.
 
-    ``new`` is placed right after ``ref``.  The mapping is a literal map for a
-    few thousand pairs; larger mappings should use :func:`map_column_join`.
+    ``new`` is placed right after ``ref``.  The pairs become a small table that
+    is joined by hash (:func:`map_column_join`), so a row costs one lookup
+    however many there are; of repeated keys the last pair counts.  Whole
+    numbers beside fractions become fractions, other mixed values text.
     """
     if len(mapping_from) != len(mapping_to):
         raise ValueError("mapping lists must have the same length")
     if new in df.columns and not overwrite:
         raise ValueError(f"column {new!r} exists; pass overwrite=True")
-    pairs = []
-    for k, v in zip(mapping_from, mapping_to):
-        pairs += [F.lit(str(k)), F.lit(v)]
-    m = F.create_map(*pairs) if pairs else F.create_map()
-    val = F.try_element_at(m, F.col(ref).cast("string"))
-    if default is not None:
-        val = F.coalesce(val, F.lit(default))
-    cols = []
-    for c in df.columns:
-        if c == new:
-            continue
-        cols.append(F.col(c))
-        if c == ref:
-            cols.append(val.alias(new))
-    return df.select(*cols)
+    pairs = {str(k): v for k, v in zip(mapping_from, mapping_to)}
+    kinds = {type(v) for v in pairs.values() if v is not None} or {type(default) if default is not None else str}
+    if len(kinds) > 1:
+        to = float if kinds <= {int, float} else str
+        pairs = {k: None if v is None else to(v) for k, v in pairs.items()}
+        kinds = {to}
+    kind = kinds.pop()
+    value_type = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}.get(kind)
+    spark = df.sparkSession
+    if value_type is None:       # dates, decimals and the like: Spark finds the type
+        mapping = spark.createDataFrame(list(pairs.items()), ["key", "value"])
+    else:
+        mapping = spark.createDataFrame(list(pairs.items()), T.StructType([T.StructField("key", T.StringType()), T.StructField("value", value_type)]))
+    return map_column_join(df, ref, mapping, new, default)
 
 
 def map_column_join(df: DataFrame, ref: str, mapping: DataFrame, new: str, default=None) -> DataFrame:
@@ -261,7 +262,7 @@ def unmapped_values(df: DataFrame, ref: str, mapping_from: Sequence) -> DataFram
     spark = df.sparkSession
     keys = spark.createDataFrame([(str(k),) for k in mapping_from], "key string")
     vals = df.select(F.col(ref).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    return vals.join(F.broadcast(keys), vals.value == keys.key, "left_anti")
+    return vals.join(keys, vals.value == keys.key, "left_anti")
 
 
 # --- A: arithmetic, conversion -------------------------------------------

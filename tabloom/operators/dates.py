@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.calendar import holidays_table
+from tabloom.functions.calendar import FIRST_YEAR, LAST_YEAR, holidays_table
 from tabloom.functions.exprs import (
     WEEKDAY_EN, WEEKDAY_EN_SHORT, WEEKDAY_JA, date_columns, strptime_to_java, weekday_label,
 )
@@ -85,11 +85,13 @@ def add_weekday(df: DataFrame, column: str, name: str = "曜日", style: str = "
 
 def add_holiday_flag(df: DataFrame, column: str, name: str = "holiday", holidays: DataFrame | None = None,
                      with_name: str | None = None, fmt: str | None = None) -> DataFrame:
-    """D3: TRUE where the date is a public holiday (missing date -> FALSE).
+    """D3: TRUE where the date is a public holiday, FALSE where not (and for a missing date).
 
     A left join on the calendar date against the holiday dimension.  The
-    generated dimension is a few thousand rows by construction, so it is
-    broadcast and the input is never shuffled.
+    generated one has a few thousand rows by construction, so it is broadcast
+    and the input is never shuffled; its rules reach from FIRST_YEAR to
+    LAST_YEAR, and dates outside get NULL.  A table of the caller's is joined as
+    its size asks for, and its dates are all the holidays there are.
     """
     spark = df.sparkSession
     t = _types(df)
@@ -102,8 +104,12 @@ def add_holiday_flag(df: DataFrame, column: str, name: str = "holiday", holidays
         hol = holidays.select(F.col("date").cast("date").alias("__hdate"),
                               F.col(holidays.columns[1]).alias("__hname")).dropDuplicates(["__hdate"])
     key = F.to_date(parse_datetime(column, t[column], fmt))
-    j = df.withColumn("__day", key).join(F.broadcast(hol), F.col("__day") == F.col("__hdate"), "left")
-    out = [F.col(c) for c in df.columns] + [F.col("__hdate").isNotNull().alias(name)]
+    known = F.lit(True)
+    if holidays is None:
+        hol = F.broadcast(hol)
+        known = F.coalesce(F.year("__day").between(FIRST_YEAR, LAST_YEAR), F.lit(True))
+    j = df.withColumn("__day", key).join(hol, F.col("__day") == F.col("__hdate"), "left")
+    out = [F.col(c) for c in df.columns] + [F.when(known, F.col("__hdate").isNotNull()).alias(name)]
     if with_name:
         out.append(F.col("__hname").alias(with_name))
     return j.select(*out)
@@ -148,7 +154,8 @@ def business_flags(df: DataFrame, date_col: str = "date", time_col: str | None =
     * ``date_day`` and ``is_month_end``: day >= 25 (D9)
     * ``is_lunch`` (11-13) / ``is_dinner`` (>= 18) from the hour (D10)
     * ``time_category`` <12:0, <15:1, <18:2, else 3 (D11)
-    * ``date_month`` and ``season`` 12-2:0, 3-5:1, 6-8:2, else 3 (D12)
+    * ``date_month`` and ``season`` 12-2:0, 3-5:1, 6-8:2, else 3 (D12); a named
+      ``month_col`` that the table lacks gives no month and season 0
     Text dates are parsed with ``fmt`` (D13, strict pattern; bad -> NULL).
     """
     t = _types(df)
@@ -156,7 +163,8 @@ def business_flags(df: DataFrame, date_col: str = "date", time_col: str | None =
     hour = F.col(time_col) if time_col and time_col in df.columns else F.hour(ts)
     dow = F.weekday(ts) + 1
     day = F.dayofmonth(ts)
-    month = F.col(month_col) if month_col else F.month(ts)
+    lacks_month = month_col is not None and month_col not in df.columns
+    month = F.lit(None).cast("int") if lacks_month else F.col(month_col) if month_col else F.month(ts)
     return df.withColumns({
         "dow": dow,
         "is_weekend": F.when(dow >= weekend_cut, 1).otherwise(0),
@@ -166,11 +174,6 @@ def business_flags(df: DataFrame, date_col: str = "date", time_col: str | None =
         "is_dinner": F.when(hour >= 18, 1).otherwise(0),
         "time_category": F.when(hour < 12, 0).when(hour < 15, 1).when(hour < 18, 2).otherwise(3),
         "date_month": month,
-        "season": F.when(month.isin(12, 1, 2), 0).when(month.isin(3, 4, 5), 1)
+        "season": F.lit(0) if lacks_month else F.when(month.isin(12, 1, 2), 0).when(month.isin(3, 4, 5), 1)
                    .when(month.isin(6, 7, 8), 2).otherwise(3),
     })
-
-
-def season_without_month(df: DataFrame) -> DataFrame:
-    """D12 corner: no month column -> season 0."""
-    return df.withColumn("season", F.lit(0))

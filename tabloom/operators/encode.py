@@ -164,20 +164,40 @@ class OneHot:
         return df.select(*[F.col(x) for x in df.columns if x not in self.categories], *new)
 
 
+MAX_DUMMIES = 1000     # dummy columns that one column may become
+
+
 def fit_onehot(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
-               max_categories: int | None = None) -> OneHot:
+               max_categories: int | None = MAX_DUMMIES) -> OneHot:
     """Dummies ``<col>_<value>`` in sorted order; first dropped; source dropped.
 
-    Every category becomes a column, so the list itself is the result's schema;
-    a caller who wants a bound sets ``max_categories``, and more is an error.
+    Every category becomes a column of the result.  The categories are counted
+    first; a column with more than ``max_categories`` is an error before any
+    value is collected (:func:`onehot_sparse` takes any number).
     """
-    sets = small_category_sets(df, columns, max_categories if max_categories is not None else 1 << 62)
+    sets = small_category_sets(df, columns, MAX_DUMMIES if max_categories is None else max_categories)
     for c in columns:
         if sets[c] is None:
-            raise TooManyCategories(f"{c}: more than {max_categories} categories for one-hot")
+            raise TooManyCategories(f"{c}: more than {max_categories} categories for one-hot; use onehot_sparse")
     return OneHot({c: sets[c] for c in columns}, drop_first)
 
 
+def onehot_sparse(df: DataFrame, keys: Sequence[str], columns: Sequence[str], drop_first: bool = True,
+                  codes: LabelCodes | None = None) -> DataFrame:
+    """E1 of any width: ``keys``, ``column``, ``code`` of each row's dummies that are 1.
+
+    ``code`` counts the column's sorted values from 0; with ``drop_first`` value
+    0 has no dummy and the others keep their codes.  Codes come from the
+    distributed code table (``codes``, or fitted on ``df``), so no value is
+    collected.  Missing values, and values that the fit has not seen, have no dummy.
+    """
+    fitted = codes or fit_label_codes(df, columns, missing="null")
+    out = LabelCodes(fitted.lookups, fitted.sizes, "null").apply(df.select(*dict.fromkeys([*keys, *columns])), suffix="__code")
+    items = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__code").cast("bigint").alias("code")) for c in columns]
+    long = out.select(*keys, F.explode(F.array(*items)).alias("__d")).select(*keys, "__d.column", "__d.code")
+    return long.where(F.col("code") >= (1 if drop_first else 0))
+
+
 # --- E4 frequency, E5 target mean --------------------------------------------
 
 @dataclass

@@ -54,12 +54,6 @@ def add_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, s
     return df.withColumn(name, F.when(u < F.lit(test_size), "test").otherwise("train"))
 
 
-def random_split(df: DataFrame, key, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    s = add_split(df, key, test_size, seed, "__split")
-    return (s.where(F.col("__split") == "train").drop("__split"),
-            s.where(F.col("__split") == "test").drop("__split"))
-
-
 def time_split_cutoff(df: DataFrame, time_col: str, test_size: float = 0.2, exact: bool = True) -> float:
     """M2: epoch-second cut-off so that the last ``test_size`` share by time is test."""
     t = {f.name: f.dataType for f in df.schema.fields}[time_col]

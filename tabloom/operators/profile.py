@@ -362,29 +362,34 @@ def top_cells(hist2d: DataFrame, k: int = 3) -> DataFrame:
 
 
 def scatter_data(df: DataFrame, x: str, y: str, seed: int = 42, fraction: float | None = None,
-                 jitter: float = 0.3) -> DataFrame:
+                 jitter: float = 0.3, key: str | Sequence[str] | None = None) -> DataFrame:
     """(x, y) pairs; a text axis becomes sorted codes with uniform jitter.
 
     Codes come from the label encoder (sorted distinct values).  ``fraction``
-    samples the points (the chart's own sampling).
+    samples the points (the chart's own sampling).  Jitter and sample are drawn
+    from the row's ``key`` (all plain columns by default) and ``seed``, so they
+    do not follow the partitioning; rows with one key are drawn alike.
     """
     from tabloom.operators.encode import fit_label_codes
+    from tabloom.operators.modeling import uniform_from_key
 
-    base = df.select(x, y)
+    own = [key] if isinstance(key, str) else list(key or [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
+    draws = {f"__u{i}": uniform_from_key(own, seed, f"jitter {c}") for i, c in enumerate((x, y))}
+    base = df.withColumns(draws).withColumn("__take", uniform_from_key(own, seed, "sample"))
     if fraction is not None:
-        base = base.sample(fraction=fraction, seed=seed)
+        base = base.where(F.col("__take") < fraction)
+    base = base.select(*dict.fromkeys((x, y)), *draws)
     num = set(numeric_columns(df, include_bool=False))
     out = {}
     for i, c in enumerate((x, y)):
         if c in num:
-            out[c] = F.col(c).cast("double")
+            out[i] = F.col(c).cast("double")
         else:
             codes = fit_label_codes(df, [c])
-            base = codes.apply(base, suffix="__code")
-            k = codes.sizes[c]
-            jit = (F.rand(seed + i) * 2 - 1) * jitter if k > 1 else F.lit(0.0)
-            out[c] = F.col(f"{c}__code").cast("double") + jit
-    return base.select(out[x].alias("x"), out[y].alias("y"))
+            base = codes.apply(base, suffix=f"__code{i}")
+            jit = (F.col(f"__u{i}") * 2 - 1) * jitter if codes.sizes[c] > 1 else F.lit(0.0)
+            out[i] = F.col(f"{c}__code{i}").cast("double") + jit
+    return base.select(out[0].alias("x"), out[1].alias("y"))
 
 
 # --- P14-P16 sales summaries -------------------------------------------------

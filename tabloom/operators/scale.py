@@ -177,8 +177,3 @@ def fit_scaler(df: DataFrame, plan: dict[str, str | dict], exact: bool = True, n
 def scale(df: DataFrame, plan: dict[str, str | dict], **kw) -> DataFrame:
     """Fit and apply in one call (in-sample, as the notebook does)."""
     return fit_scaler(df, plan, **kw).apply(df)
-
-
-def all_numeric_plan(df: DataFrame, method: str, columns: Sequence[str] | None = None) -> dict[str, str]:
-    """H1 'all numeric columns' selection."""
-    return {c: method for c in (columns or numeric_columns(df, include_bool=False))}

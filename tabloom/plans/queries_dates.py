@@ -85,3 +85,13 @@ def holiday_flag(spark, sf):
     o = V.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return rounded(D.add_holiday_flag(o, "o_orderdate", "holiday", with_name="holiday_name")
                    .withColumn("o_orderdate", F.to_date("o_orderdate")))
+
+
+@query("holiday_flag_far_dates", """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN true ELSE false END AS holiday FROM orders""")
+def holiday_flag_far_dates(spark, sf):
+    """D3: dates beyond the calendar's rules are unknown, not plain days; a missing date is none."""
+    fifth = F.pmod(F.col("o_orderkey"), F.lit(5))
+    day = F.when(fifth == 0, "1900-01-01").when(fifth == 1, "2150-01-01").when(fifth == 2, "2020-01-01").when(fifth == 3, "2020-01-07")
+    o = V.table(spark, sf, "orders").select("o_orderkey", day.cast("date").alias("d"))
+    return D.add_holiday_flag(o, "d").select("o_orderkey", "holiday")

@@ -117,11 +117,13 @@ def fitted_fill_new_batch(spark, sf):
     return rounded(imp.apply(test))
 
 
-@query("scatter_points")
+@query("scatter_points", f"""
+SELECT round((dense_rank() OVER (ORDER BY o_orderpriority) - 1) + ({M.uniform_sql("o_orderkey", 42, "jitter o_orderpriority")} * 2 - 1) * 0.3, 4) AS x,
+       round(o_totalprice, 4) AS y FROM orders""")
 def scatter_points(spark, sf):
-    """(x, y) chart points; the text axis gets sorted codes with jitter."""
+    """(x, y) chart points; the text axis gets sorted codes with jitter drawn from the key."""
     o = V.table(spark, sf, "orders")
-    return rounded(P.scatter_data(o, "o_orderpriority", "o_totalprice", seed=42))
+    return rounded(P.scatter_data(o, "o_orderpriority", "o_totalprice", seed=42, key="o_orderkey"))
 
 
 @query("column_summary", """

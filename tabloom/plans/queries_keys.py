@@ -208,8 +208,7 @@ def constant_fill(spark, sf):
 
 
 @query("catalog_round_trip", """
-SELECT c_nationkey, count(*) AS n, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) * 2 AS n_rows, 3 AS n_columns
-FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1""")
+SELECT c_nationkey, count(*) AS n, (SELECT count(*) FROM customer) AS n_rows, 3 AS n_columns FROM customer GROUP BY 1""")
 def catalog_round_trip(spark, sf):
     """A table created from data, appended to, listed, counted, read back by columns, and dropped."""
     customer = V.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
@@ -221,9 +220,7 @@ def catalog_round_trip(spark, sf):
     whole = S.read_table(spark, name, ["c_custkey", "c_nationkey", "c_acctbal"])
     if whole.exceptAll(customer).count() or customer.exceptAll(whole).count():
         raise RuntimeError("the table read back is not the one that was written")
-    # the twin counts customers with even keys, so only its result is narrowed to them
-    back = cut_lineage(S.read_table(spark, name, ["c_custkey", "c_nationkey"]).where(even)
-                       .groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")))
+    back = cut_lineage(S.read_table(spark, name, ["c_nationkey"]).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")))
     n_rows, n_columns = S.table_count(spark.table(name)), S.table_schema(spark.table(name)).count()
     if not S.table_exists(spark, name) or listed != {name: n_rows}:
         raise RuntimeError(f"the catalog lists {listed}, the table has {n_rows} rows")

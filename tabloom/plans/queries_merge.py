@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tabloom.operators import merge as J
 from tabloom.operators import order as O
 from tabloom.operators import timeseries as W
 from tabloom.plans import views as V
-from tabloom.plans.registry import nullable_ints_as_double, query, rounded
+from tabloom.plans.registry import nullable_ints_as_double, query, rnd, rounded
+from tabloom.session import cut_lineage
+from tabloom.sources import io as S
 
 
 def _customers_with_null_key(spark, sf):
@@ -205,3 +210,30 @@ SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r
 def row_index(spark, sf):
     o = V.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return O.global_row_index(o, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("auto_date_join_positional", """
+WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+     s AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier)
+SELECT c.c_custkey, c.c_name, CAST(s.s_suppkey AS DOUBLE) AS s_suppkey, s.s_name FROM c LEFT JOIN s ON c.i = s.i""")
+def auto_date_join_positional(spark, sf):
+    """Tables without a date column are placed side by side by position."""
+    c, s = V.table(spark, sf, "customer").select("c_custkey", "c_name"), V.table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    out = J.auto_date_join({"customer": c, "supplier": s}, {"customer": ["c_custkey"], "supplier": ["s_suppkey"]})
+    return nullable_ints_as_double(out, ["s_suppkey"])
+
+
+@query("save_and_query", """
+SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice >= 1000.5 GROUP BY 1""")
+def save_and_query(spark, sf):
+    """The orders saved as a table, queried by SQL with a named parameter, and dropped."""
+    name = S.save_table(V.table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), f"tabloom_{uuid.uuid4().hex}")
+    try:
+        S.save_table(spark.range(1).toDF("o_totalprice"), name)
+        raise RuntimeError("an existing table was overwritten")
+    except AnalysisException:
+        pass
+    out = cut_lineage(S.run_sql(spark, f"SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FROM {name} "
+                                       "WHERE o_totalprice >= :least GROUP BY 1", {"least": 1000.5}))
+    spark.sql(f"DROP TABLE {name}")
+    return out.select("o_orderpriority", "n", rnd("total", 2).alias("total"))

@@ -156,6 +156,50 @@ def gbt_train_predict(spark, sf):
     return rounded(pred.select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction"))
 
 
+@query("model_reload_same", f"""
+SELECT l_orderkey, l_linenumber, true AS same, true AS within_labels FROM lineitem WHERE {_U} < 0.2""")
+def model_reload_same(spark, sf):
+    """Every test row's prediction by the reloaded model equals that of the model in memory and lies in the labels' range."""
+    data, feats = _prepared(spark, sf)
+    train = M.training_input(data.where(F.col("split") == "train"))
+    model = M.train_gbt(train, feats, "l_extendedprice", _TRAIN_PARAMS)
+    path = scratch_table_path(spark, "gbt")
+    M.save_model(model, path, {"features": feats})
+    loaded, _ = M.load_model(path)
+    lo, hi = train.agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    test = M.predict(loaded, M.predict(model, data.where(F.col("split") == "test"), "in_memory"), "reloaded")
+    slack = (hi - lo) / 2
+    return test.select("l_orderkey", "l_linenumber", (F.col("in_memory") == F.col("reloaded")).alias("same"),
+                       F.col("in_memory").between(lo - slack, hi + slack).alias("within_labels"))
+
+
+@query("run_records", "SELECT split, CAST(n AS DOUBLE) AS n, round(r2, 6) AS r2, round(rmse, 4) AS rmse FROM (" + _METRICS_SQL + ")", ("preds",))
+def run_records(spark, sf):
+    """The metrics of both splits written as runs and read back."""
+    m = M.regression_metrics(M.add_split(V.preds(spark, sf), "l_orderkey", 0.2, _SEED), "y", "yhat", group_by=["split"])
+    path = scratch_table_path(spark, "runs")
+    for r in m.collect():                              # one row a split
+        R.write_run(spark, path, "metrics", r["split"], {"seed": _SEED}, {k: r[k] for k in ("n", "r2", "rmse")}, {"split": r["split"]}, ["note"])
+    back = spark.read.parquet(path).where((F.col("experiment") == "metrics") & (F.col("tags")["split"] == F.col("run_id")))
+    return back.select(F.col("run_id").alias("split"), F.col("metrics")["n"].alias("n"), rnd(F.col("metrics")["r2"], 6).alias("r2"),
+                       rnd(F.col("metrics")["rmse"], 4).alias("rmse"))
+
+
+@query("tuning_summaries", """
+SELECT experiment, round(max(score), 6) AS best_score, round(min(score), 6) AS worst_score, count(*) AS n_scores
+FROM (SELECT experiment, k, avg(r2) AS score FROM runs GROUP BY 1, 2) GROUP BY 1""", ("runs",))
+def tuning_summaries(spark, sf):
+    """Each experiment's mean score by setting k written as a summary file, read back with best and worst."""
+    scores = V.runs(spark, sf).groupBy("experiment", F.col("params")["k"].alias("k")).agg(F.avg(F.col("metrics")["r2"]).alias("score"))
+    path = scratch_table_path(spark, "tuning_summary")
+    # one file an experiment, as tuning jobs write them
+    (scores.groupBy("experiment").agg(F.collect_list("score").alias("all_scores"))
+     .repartition("experiment").write.partitionBy("experiment").json(path))
+    out = R.read_tuning_summaries(spark, path)
+    return out.select(F.col("experiment").cast("string").alias("experiment"), rnd("best_score", 6).alias("best_score"),
+                      rnd("worst_score", 6).alias("worst_score"), F.size("all_scores").cast("bigint").alias("n_scores"))
+
+
 @query("train_test_metrics")
 def train_test_metrics(spark, sf):
     """M5-M8: metrics of train and test predictions and the overfitting verdict."""

@@ -280,3 +280,15 @@ def target_encode_oof(spark, sf):
                   "c_custkey", 5, 42)
     out = E.target_mean_out_of_fold(c, "c_mktsegment", "c_acctbal", "fold")
     return rounded(out.select("c_custkey", "c_mktsegment", "c_mktsegment_target"))
+
+
+_SPARSE_SQL = """SELECT o_orderkey, '{c}' AS "column", code FROM (
+    SELECT o_orderkey, {x} AS v, dense_rank() OVER (ORDER BY {x}) - 1 AS code FROM orders WHERE {x} IS NOT NULL) WHERE code > 0"""
+
+
+@query("onehot_sparse", " UNION ALL ".join(f"SELECT * FROM ({_SPARSE_SQL.format(c=c, x=x)})" for c, x in (
+    ("customer", "CAST(o_custkey AS VARCHAR)"), ("o_orderpriority", "o_orderpriority"))))
+def onehot_sparse(spark, sf):
+    """E1 of any width: the dummies that are 1, of a column with thousands of values and of one with five."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")
+    return E.onehot_sparse(o, ["o_orderkey"], ["customer", "o_orderpriority"])
