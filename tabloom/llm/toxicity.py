@@ -36,6 +36,7 @@ RATE = 0.1
 SHRINK = 0.003           # proximal step of each weight towards zero
 LEAST_POSITIVES = 4      # positives that must have a feature
 CACHE = 150_000          # words whose features a worker keeps
+ROWS = 2_500             # documents of a batch that are scored and sent back together
 
 # bytes of words: ASCII letters (lower-cased), digits, and all of non-ASCII characters
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
@@ -130,6 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 17
         p = t.column("p").to_numpy()
         texts = [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
         f, w, b = fit([x for x, y in zip(texts, p) if y], [x for x, y in zip(texts, p) if not y], prior)
+        texts.clear()
+        release()
         return pa.table({"f": pa.array([f.tolist()], pa.list_(pa.int64())), "w": pa.array([w.tolist()], pa.list_(pa.float64())),
                          "b": pa.array([b], pa.float64())})
 
@@ -138,15 +141,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 17
     return [(np.array(r.f, np.int64), np.array(r.w), r.b) for r in rows], prior
 
 
-def score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1, the members' mean probability) and ``predicted`` (1 if score >= 0.5).
+def with_score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text", column: str = "score",
+               keep_text: bool = True) -> DataFrame:
+    """The columns of ``docs`` and ``column``, the members' mean probability.
 
-    A narrow pass over whole texts.  Null texts score as empty ones, by the
-    bias alone; without a member every score is the prior.  Repeated rows
-    score alike; columns with the new names are replaced.
+    A narrow pass over whole texts, each of which goes through Python once
+    (and not back without ``keep_text``).  ``column`` replaces one of its name.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    df = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"))
+    kept = [c for c in docs.columns if c != column and (keep_text or c != text)]
+    others = [c for c in kept if c != text]
+    df = docs.select(F.struct(*others).alias("row") if others else F.lit(True).alias("row"), F.col(text).alias("text"))
     row_type = df.schema["row"].dataType.simpleString()
     weights = np.zeros((1 << BITS, max(len(members), 1)), np.float32)
     for k, (f, w, _) in enumerate(members):
@@ -157,21 +161,35 @@ def score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = dict(zip(used.tolist(), range(len(used))))
         features = Relevant(place)
-        for b in batches:
-            out = []
-            for t in utf8(b, "text"):
-                if not len(bias):
-                    out.append(prior)
-                    continue
-                own = features.of(t)
-                z = bias + (weights[list(own)].sum(axis=0) if own else 0.0)
-                out.append(float((1 / (1 + np.exp(-np.clip(z, -50, 50)))).mean()))
-            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "score": pa.array(out, pa.float64())})
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                out = []
+                for t in utf8(b, "text"):
+                    if not len(bias):
+                        out.append(prior)
+                        continue
+                    own = features.of(t)
+                    z = bias + (weights[list(own)].sum(axis=0) if own else 0.0)
+                    out.append(float((1 / (1 + np.exp(-np.clip(z, -50, 50)))).mean()))
+                back = {"text": b.column("text")} if keep_text else {}
+                yield pa.RecordBatch.from_pydict({"row": b.column("row"), **back, "score": pa.array(out, pa.float64())})
             release()
 
-    scored = df.mapInArrow(run, f"row {row_type}, score double")
-    return scored.select(*[F.col("row").getField(c).alias(c) for c in kept], "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = df.mapInArrow(run, f"row {row_type}, {'text string, ' if keep_text else ''}score double")
+    return scored.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept],
+                         F.col("score").alias(column))
+
+
+def score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds ``score`` (0 to 1, the members' mean probability) and ``predicted`` (1 if score >= 0.5).
+
+    Null texts score as empty ones, by the bias alone; without a member every
+    score is the prior.  Repeated rows score alike; columns with the new names
+    are replaced.
+    """
+    out = with_score(docs.drop("predicted"), members, prior, text, keep_text=keep_text)
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 class Relevant(Features):
@@ -199,21 +217,25 @@ def reject_threshold(docs: DataFrame, labels: DataFrame, members: list, prior: f
     Too few documents to tell such a share never lower it below 0.5.
 
     ``labels`` as in :func:`train`.  A bounded draw of their clean documents is
-    scored, of a large table those that the classifiers have not met.
+    scored, of a large table those that the classifiers have not met.  Texts
+    are scored where they lie, and only (doc_id, score) is shuffled.  Of several
+    rows of a document the highest score counts; null ids and labels do not,
+    and without a clean document the threshold is 0.5.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = max(known.count(), 1)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     some = known.where((F.col("toxic") == 0) & (draw < 0.95 * CLEAN / n)).select("doc_id").limit(CLEAN)
-    clean = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    scores = np.sort([r.score for r in score(clean, members, prior).select("score").collect()])[::-1]
+    clean = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
+    once = with_score(clean, members, prior, keep_text=False).groupBy("doc_id").agg(F.max("score").alias("score"))
+    scores = np.sort([r.score for r in once.collect()])[::-1]
     spared = int(CLEAN_REJECTED * len(scores))       # the first that has to stay
     least = float(np.nextafter(scores[spared], 2)) if len(scores) else 0.5
     return least if spared else max(0.5, least)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """Scores by members trained on the labels outside the held-out fold; ``held_out`` is false for a null id."""
+    """Scores by members trained on the labels outside the held-out fold, without the texts; ``held_out`` is false for a null id."""
     members, prior = train(docs, labels.where(~held_out()), text)
-    out = score(docs, members, prior, text)
+    out = score(docs, members, prior, text, keep_text=False)
     return out.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
