@@ -51,6 +51,18 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Arrow batches between Spark and Python hold at most ``rows`` rows, for whole texts travel in them.
+
+    A batch lies in the executor beside its heap and in the Python worker, once
+    on the way in and once on the way out.  A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def release() -> None:
     """Give memory that freed arrays held back to the system.
 
