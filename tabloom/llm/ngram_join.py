@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from xxhash import xxh3_64_intdigest
 
 from tabloom.llm.common import materialize, parallel, release
 from tabloom.llm.components import components
-from tabloom.llm.suffix_dedup import Rolling, doc_bucket, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
+from tabloom.llm.suffix_dedup import doc_bucket, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 
 UNIT_BYTES = 2 << 20       # text bytes of a unit
 ID_BITS = 40               # bits of a shingle's hash that are counted (collisions only change its class)
@@ -45,19 +46,27 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word, by a function without known families of collisions."""
+    own = {w: xxh3_64_intdigest(w) for w in set(words)}
+    return np.fromiter(map(own.__getitem__, words), _U, len(words))
+
+
 def _shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     words = [t.lower().split() for t in texts]
-    raw = np.frombuffer(b" ".join(b" ".join(w) for w in words if w), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    gaps = np.flatnonzero(raw == 32)
-    start, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
     n = np.array([len(w) for w in words], np.int64)
+    if not n.sum():
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    word = word_hashes([x for w in words for x in w])
     first = np.cumsum(n) - n
     size = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
     doc = np.repeat(np.arange(len(texts)), size)
     i = np.repeat(first, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    h = Rolling(raw).of(start[i], end[i + np.minimum(n[doc], k) - 1])
+    long = np.minimum(n[doc], k)
+    h = long.astype(_U)
+    for j in range(k):              # a text of fewer words is one shingle of them all
+        at = np.flatnonzero(long > j)
+        h[at] = mix(h[at] * _U(0x9E3779B97F4A7C15) + word[i[at] + j])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])

@@ -120,3 +120,14 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (200, 200)]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, 90: 90, 100: 90, 200: 200}
+
+
+def test_thue_morse_words_are_not_linked(spark):
+    """Words on which every polynomial hash modulo a power of two collides: a Thue-Morse string and its complement."""
+    rows = []
+    for n in (512, 1024, 4096, 8192):
+        a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        rows += [(len(rows), a), (len(rows) + 1, a.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.jaccard_components(docs, 5, 75).collect()}
+    assert got == {i: (1, i) for i, _ in rows}
