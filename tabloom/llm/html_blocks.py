@@ -9,6 +9,8 @@ from typing import NamedTuple
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAMES = re.compile(r"[a-z]+")
+# fixed values: first parts of class names that tell of a page's layout, as in "no-sidebar" or "has-header-image"
+LAYOUT_NAMES = {"no", "not", "has", "have", "with", "without", "is", "layout"}
 
 # fixed values: elements whose content is not text
 RAW = {"script", "style", "noscript", "template", "svg", "math", "textarea", "title", "iframe", "object", "canvas", "audio", "video", "select"}
@@ -25,6 +27,8 @@ ASIDE_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup",
                "promo", "promoted", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social",
                "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets"}
+# fixed values: names of parts that may hold article elements which are no articles of the page
+ENTRY_NAMES = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "related", "promo", "promoted", "widget", "widgets"}
 ARTICLE_NAMES = {"article", "main", "story", "post", "entry", "articlebody"}
 
 
@@ -52,26 +56,44 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _part(name: str, raw: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element starts the main part, or another part of the page."""
+def _names(raw: str) -> set[str]:
+    """Words of an element's class, id and role names; names that tell of the page's layout are left out."""
+    if not raw or not ("class" in raw or "id" in raw or "role" in raw):
+        return set()
+    a = attributes(raw)
+    parts = [_NAMES.findall(name) for k in ("class", "id", "role") if k in a for name in a[k].lower().split()]
+    return {w for p in parts if p and p[0] not in LAYOUT_NAMES for w in p}
+
+
+def _part(name: str, raw: str, inside: bool, aside: int) -> tuple[bool, int]:
+    """Whether the content of an element lies in the main part, and how far in another part of the page.
+
+    Another part is 2 where it may hold articles of its own (comments, related
+    ones, asides), else 1.  A main or article element ends a part of degree 1: a
+    form or a frame around the article does not make it something else.
+    """
     main = name in ("article", "main")
-    other = name in ASIDE or name == "header" and not inside
-    if raw and ("class" in raw or "id" in raw or "role" in raw) and name not in ("html", "body"):
-        a = attributes(raw)
-        names = {w for k in ("class", "id", "role") if k in a for w in _NAMES.findall(a[k].lower())}
-        if inside:
-            names.discard("header")         # an article's own head
-        other = other or bool(names & ASIDE_NAMES) and not main
-        main = main or bool(names & ARTICLE_NAMES) and not other
-    return main, other
+    other = 2 if name in ("nav", "footer", "aside") else int(name in ASIDE or name == "header" and not inside)
+    names = _names(raw) if name not in ("html", "body") else set()
+    if inside:
+        names.discard("header")             # an article's own head
+    if main:
+        if names & ENTRY_NAMES:
+            return inside, 2
+        return True, 0 if aside < 2 else aside
+    if names & ASIDE_NAMES:
+        other = max(other, 2 if names & ENTRY_NAMES else 1)
+    main = bool(names & ARTICLE_NAMES) and not other
+    return inside or main, max(aside, other)
 
 
 def read_page(html: str) -> tuple[list[Block], list[Link], str]:
     """Blocks in page order, links, and the title."""
     blocks: list[Block] = []
     links: list[Link] = []
-    open_: list[tuple[str, bool, bool]] = []      # name, inside, aside
-    inside = aside = heading = False
+    open_: list[tuple[str, bool, int]] = []       # name, inside, aside
+    inside = heading = False
+    aside = 0
     parts: list[str] = []
     link_parts: list[str] | None = None
     link_words = 0
@@ -93,7 +115,7 @@ def read_page(html: str) -> tuple[list[Block], list[Link], str]:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
             n = text.count(" ") + 1
-            blocks.append(Block(text, n, min(link_words, n), heading, inside, aside))
+            blocks.append(Block(text, n, min(link_words, n), heading, inside, aside > 0))
         parts, link_words = [], 0
         if again:
             link_parts = []
@@ -135,7 +157,7 @@ def read_page(html: str) -> tuple[list[Block], list[Link], str]:
             if name in ("br", "img", "input", "wbr"):
                 parts.append("" if name == "wbr" else " ")
             continue
-        if name in INLINE and not _part(name, raw, inside)[1]:
+        if name in INLINE and _part(name, raw, inside, aside)[1] <= aside:
             open_.append((name, inside, aside)) if not closing else None
             continue
         if closing and name in INLINE:
@@ -156,8 +178,7 @@ def read_page(html: str) -> tuple[list[Block], list[Link], str]:
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and not raw.strip():
             continue                        # their ends are often left out, and they name no part
-        main, other = _part(name, raw, inside)
         open_.append((name, inside, aside))
-        inside, aside = inside or main, aside or other
+        inside, aside = _part(name, raw, inside, aside)
     end_block()
     return blocks, links, title

@@ -102,3 +102,19 @@ def test_odd_rows(spark):
     assert {r.text for r in out if r.page_id is None} == {"x"} and {r.text for r in out if r.page_id == 7} == {"a\n\nb"}
     assert max(r.n_chars for r in out if r.page_id == 6) == 20_000 * 11 - 2
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("frame", ["<div class='layout with-sidebar'>%s</div>", "<form action='/'>%s</form>", "<div class='no-sidebar has-header-image'>%s</div>",
+                                   "<div class='sidebar-wrapper'>%s</div>", "<div id='menu-page'><form>%s</form></div>"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_keep_the_article(frame, tag):
+    """A form or a frame of the page's layout around the article does not make it something else."""
+    body = f"<{tag}><h1>Bridge plans</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "<div class='sidebar'><p>Read this next, if you like it.</p></div>" + f"</{tag}>"
+    assert main_text(FRAME % (frame % body), article_tree()).split("\n\n") == WANT
+
+
+def test_comments_in_article_elements_are_left_out():
+    comments = "<section id='comments'><article class='comment'><p>I think that this is a very bad idea and nobody should pay for it.</p></article>" \
+               "<article><p>And I think that it is a very good one, for which everybody should pay.</p></article></section>"
+    body = "<article><h1>Bridge plans</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</article>" + comments
+    assert main_text(FRAME % body, article_tree()).split("\n\n") == WANT
