@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm.common import table
+from tabloom.llm.merkle_sql import manifest_sql
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -103,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": manifest_sql(),
     "op6_norm_buckets": """
         WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings

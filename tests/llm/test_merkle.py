@@ -107,3 +107,16 @@ def test_proofs_fold_without_the_table(spark):
         for s in r.steps:
             cur = H(s.before, cur, s.after)
         assert cur == r.root and r.altered is None
+
+
+def test_sql_equals_plain_construction():
+    """The DuckDB twin on the given table and on awkward shapes."""
+    import duckdb
+    con = duckdb.connect()
+    odd = [(None, None, None, None, None), (1, None, "de", 3, "A é"), (1, None, "de", 3, "B"), (None, "é", "x", 1, ""), (-5, "Z", "", 0, "ÄZ"),
+           (2, "", "en", 1, "Q"), *[(i, "s", "en", i, f"Text {i}") for i in range(300)], *[(i, f"t{i}", "en", i, "T") for i in range(40)]]
+    given = con.sql(f"SELECT doc_id, source, lang, n_chars, text FROM '{SMALL}/documents.parquet'").fetchall()
+    for rows in (given, odd, [(7, "a", "en", 1, "Q")]):
+        con.execute("CREATE OR REPLACE TABLE documents (doc_id BIGINT, source VARCHAR, lang VARCHAR, n_chars BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+        assert sorted(con.sql(Q.ORACLES["op11_merkle_manifest"]).fetchall(), key=str) == brute(rows)
