@@ -51,7 +51,7 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lets Arrow batches between Spark and Python hold at most ``rows`` rows, for whole texts travel in them.
 
     A batch lies in the executor beside its heap and in the Python worker, once

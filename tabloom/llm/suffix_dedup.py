@@ -34,7 +34,7 @@ from tabloom.llm.common import parallel, release
 
 GRAM = 16                    # leading bytes that place a suffix
 CHUNK = 1 << 20              # bytes that the anchor search handles at once
-PART_BYTES = 6 << 20         # text bytes of a batch's part, within which equal strings are settled at once
+PART_BYTES = 3 << 20         # text bytes of a batch's part, within which equal strings are settled at once
 BUCKET_SUFFIXES = 100_000    # suffixes that a bucket is planned for
 LEVEL = 4                    # zstd level of what holds text
 SAMPLE_BYTES = 8 << 20       # text bytes of the sample that gives the splitters

@@ -69,16 +69,16 @@ class Features(dict):
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, weights and bias of one classifier."""
     features = Features()
-    rows = [np.fromiter(features.of(t), np.int64) for t in positive + unlabelled]
-    held = np.bincount(np.concatenate(rows[:len(positive)] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
+    rows = [np.fromiter(features.of(t), np.int32) for part in (positive, unlabelled) for t in part]
+    features.clear()
+    held = np.bincount(np.concatenate(rows[:len(positive)] or [np.zeros(0, np.int32)]), minlength=1 << BITS)
     used = np.flatnonzero(held >= min(LEAST_POSITIVES, max(1, len(positive) // 4)))
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     rows = [(c := place[r])[c >= 0] for r in rows]
     col = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     is_p = np.arange(len(rows)) < len(positive)
-    features.clear()
     place = None
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
     w, b = np.zeros(len(used)), 0.0
