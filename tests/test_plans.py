@@ -34,6 +34,22 @@ def test_ffill_has_no_global_window_over_rows(spark):
     assert single_partition_only_over_aggregates(p)
 
 
+def test_bfill_reads_each_partition_once(spark):
+    # Spark starts a frame that ends with its partition anew for every row
+    ev = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "user_id", "value")
+    for part in ([], ["user_id"]):
+        p = plan(O.backward_fill(ev, ["value"], ["event_id"], part, nblocks=4)).lower()
+        assert "unboundedpreceding" in p and "unboundedfollowing" not in p
+
+
+def test_bfill_by_group_with_missing_keys(spark):
+    data = [(g, i, float(i) if i % 5 == 4 else None) for i in range(60) for g in ("a", "b", None)] + [("a", None, None), ("b", None, 7.0)]
+    df = spark.createDataFrame(data, "g string, i int, v double")
+    got = {(r.g, r.i): r.v for r in O.backward_fill(df, ["v"], ["i"], ["g"], nblocks=5).collect()}
+    want = {(g, i): float(i // 5 * 5 + 4) for i in range(60) for g in ("a", "b", None)} | {("a", None): 4.0, ("b", None): 7.0}
+    assert got == want
+
+
 def test_projection_pruned_at_scan(spark):
     li = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     p = plan(P.numeric_stats(li, ["l_quantity", "l_tax"]))
