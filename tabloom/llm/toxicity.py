@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import release, utf8
+from tabloom.llm.common import materialize, release, utf8
+from tabloom.operators.selection import select_ranks
 
 BITS = 20                # hashed features: 2**BITS
 HEADS = (4, 5, 6)        # lengths of word beginnings, in bytes
 POSITIVES = 6_000        # toxic documents that are fitted at most, all members together
 UNLABELLED = 18_000      # unlabelled documents that are fitted at most
 MEMBERS = 3              # classifiers
-CLEAN = 20_000           # clean documents of the training fold that a reject threshold is chosen on, at most
-CLEAN_REJECTED = 0.001   # share of them that a filter may reject
+CLEAN_REJECTED = 0.001   # share of the training fold's clean documents that a filter may reject
 STEPS = 160
 RATE = 0.1
 SHRINK = 0.003           # proximal step of each weight towards zero
@@ -211,27 +211,24 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def reject_threshold(docs: DataFrame, labels: DataFrame, members: list, prior: float, text: str = "text", seed: int = 17) -> float:
+def reject_threshold(scored: DataFrame, labels: DataFrame, column: str = "score") -> float:
     """The least score from which a filter rejects at most CLEAN_REJECTED of the clean documents.
 
     Too few documents to tell such a share never lower it below 0.5.
 
-    ``labels`` as in :func:`train`.  A bounded draw of their clean documents is
-    scored, of a large table those that the classifiers have not met.  Texts
-    are scored where they lie, and only (doc_id, score) is shuffled.  Of several
-    rows of a document the highest score counts; null ids and labels do not,
-    and without a clean document the threshold is 0.5.
+    ``labels`` as in :func:`train`; all their clean documents in ``scored``
+    count, and only ids and scores are shuffled.  Of several rows of a document
+    the highest score counts; null ids and labels do not, and without a clean
+    document the threshold is 0.5.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = max(known.count(), 1)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    some = known.where((F.col("toxic") == 0) & (draw < 0.95 * CLEAN / n)).select("doc_id").limit(CLEAN)
-    clean = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
-    once = with_score(clean, members, prior, keep_text=False).groupBy("doc_id").agg(F.max("score").alias("score"))
-    scores = np.sort([r.score for r in once.collect()])[::-1]
-    spared = int(CLEAN_REJECTED * len(scores))       # the first that has to stay
-    least = float(np.nextafter(scores[spared], 2)) if len(scores) else 0.5
-    return least if spared else max(0.5, least)
+    once = scored.groupBy("doc_id").agg(F.max(column).alias("score")).join(known.where("toxic = 0"), "doc_id").select("score")
+    # the first that has to stay
+    total, found = select_ranks(materialize(once, "clean_scores"), ["score"], lambda _, n: [n - 1 - int(CLEAN_REJECTED * n)] if n else [])
+    if not total["score"]:
+        return 0.5
+    least = float(np.nextafter(next(iter(found["score"].values())), 2))
+    return least if int(CLEAN_REJECTED * total["score"]) else max(0.5, least)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.llm.cases import empty_docs, odd_docs, odd_texts
 
@@ -56,6 +57,29 @@ def test_pipeline_stage_keeps_clean_documents(spark, tmp_path, monkeypatch):
     assert left == {i for i, _ in docs if i % 10}
 
 
+def test_reject_threshold_counts_every_clean_document(spark, tmp_path, monkeypatch):
+    """30 of 30,000 clean documents score high: the whole table allows their rejection, a draw that meets all 30 does not."""
+    n = 30_000
+    at = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))).alias("at")
+    ids = spark.range(5 * n).select(F.col("id").alias("doc_id")).where(~T.held_out()).orderBy("doc_id").limit(n)
+    vile = {r.doc_id for r in ids.select("doc_id", at).orderBy("at").limit(30).collect()}
+    docs = ids.select("doc_id", F.when(F.col("doc_id").isin(list(vile)), "vile words").otherwise("words").alias("text"))
+    docs.select("doc_id", F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    weights = sorted({f: 5.0 for f in T.word_features(b"vile")}.items())
+    member = (np.array([f for f, _ in weights]), np.array([w for _, w in weights]), -1.0)
+    monkeypatch.setattr(T, "train", lambda *a, **k: ([member], 0.1))
+    left = corpus_pipeline.drop_toxic(spark, docs.unionByName(docs.limit(50)), str(tmp_path))
+    assert left.select("doc_id").distinct().count() == n - 30 and left.where("text like 'vile%'").count() == 0
+
+
+def test_reject_threshold_of_few_or_no_clean_documents(spark):
+    scored = spark.createDataFrame([(1, 0.2), (1, 0.7), (2, 0.1), (None, 0.9), (3, 0.95)], "doc_id long, score double")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (2, None), (3, 0), (3, 1), (None, 0), (9, 0)], "doc_id long, toxic int")
+    assert T.reject_threshold(scored, labels) == np.nextafter(0.7, 2)
+    assert T.reject_threshold(scored, labels.where("doc_id = 2")) == 0.5
+    assert T.reject_threshold(scored, labels.where("doc_id = 9")) == 0.5
+
+
 def test_held_out_rates_of_the_stage(spark):
     """Clean documents rejected and toxic ones found, with the committed model on documents it has not learnt from."""
     sf = SMALL.replace("0.001", "0.1")
