@@ -11,7 +11,7 @@ from tabloom.llm.common import materialize, small_batches, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity lies below the reject threshold of the training fold.
 
-    Each text is scored once; the threshold follows from the scores as written.
+    Each text is scored once; the threshold follows from the scores as kept.
     Null and empty texts have the score of the bias alone.  Without a toxic
     label to learn from, all stay.
     """
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tabloom.llm import toxicity as T
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~T.held_out())
     members, prior = T.train(docs, labels)
-    scored = materialize(T.with_score(docs, members, prior, column="toxicity of the text"), "scored")
-    least = T.reject_threshold(scored, labels, "toxicity of the text")
+    scored, scores = T.kept_scores(docs, members, prior, column="toxicity of the text")
+    least = T.reject_threshold(scores, labels, "toxicity of the text")
     return scored.where(F.col("toxicity of the text") < least).select(*docs.columns)
 
 

@@ -16,18 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh table in the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing, and
-    values such as generated row ids stay the same in every later use.
+    values such as generated row ids stay the same in every later use.  The
+    table stays; its path is added to ``written`` for a later :func:`discard`.
     """
     spark = df.sparkSession
     path = scratch_table_path(spark, name)
+    if written is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, written: list[str]) -> None:
+    """Delete tables of :func:`materialize` that no frame still to be read depends on."""
+    for name in written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallel(df: DataFrame, at_least: int | None = None) -> int:
     """Number of shuffle partitions configured for the session."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

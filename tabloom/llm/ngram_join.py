@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from tabloom.llm.common import materialize, parallel, release
+from tabloom.llm.common import discard, materialize, parallel, release
 from tabloom.llm.components import components
 from tabloom.llm.suffix_dedup import doc_bucket, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
+from tabloom.session import cut_lineage
 
 UNIT_BYTES = 2 << 20       # text bytes of a unit
 ID_BITS = 40               # bits of a shingle's hash that are counted (collisions only change its class)
@@ -118,7 +119,10 @@ def class_keys(h: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
 
 
 def to_units(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """``(unit, blob)``: rows with their set's size ``n`` and fingerprint ``node``, in units of a few MB."""
+    """``(unit, blob)``: rows with their set's size ``n`` and fingerprint ``node``, in units of a few MB.
+
+    A checkpoint, for it has all texts: Spark can delete it once no frame reads it any more.
+    """
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +134,7 @@ def to_units(docs: DataFrame, k: int, text: str) -> DataFrame:
                                                   [*cols, "n__", "node__"])
                 yield pa.RecordBatch.from_pydict({"blob": pa.array([to_ipc(part)], pa.binary())})
             release()
-    return materialize(docs.mapInArrow(run, "blob binary").withColumn("unit", F.monotonically_increasing_id()), "units")
+    return cut_lineage(docs.mapInArrow(run, "blob binary").withColumn("unit", F.monotonically_increasing_id()))
 
 
 def steps(ids: np.ndarray) -> np.ndarray:
@@ -286,14 +290,15 @@ def can_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
-def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, written: list[str]) -> DataFrame:
     """Screened pairs that share an index key and lie in different components.
 
     A pair recurs under every key that it shares; the lists of pairs are merged
-    as arrays, so that each pair becomes one row.
+    as arrays, so that each pair becomes one row.  ``written`` gets the path of
+    the table that the pairs are read from.
     """
     placed = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    placed = materialize(placed, "placed")
+    placed = materialize(placed, "placed", written)
     several = (placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"))
                .where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("nb")))
     block = F.pmod(F.xxhash64("node"), F.col("nb"))
@@ -395,23 +400,28 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, text: s
 
 
 def grouped_members(docs: DataFrame, kept: list[str], k: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """The units, and every document with the label of its component as ``node``."""
+    """The units, and every document with the label of its component as ``node``.
+
+    Index and links are deleted as soon as the labels stand.
+    """
     units = to_units(docs, k, text)
+    passing: list[str] = []
     members = materialize(members_of(units, kept, docs), "members")
     chosen = members.where("n > 0").groupBy("node").agg(F.min("unit").alias("unit"))
     total = members.agg(F.sum("n")).first()[0] or 0
     ranges = max(64, 1 << int(total // 500_000).bit_length())
     classes = shingle_classes(units, k, text, ranges)
-    index = materialize(index_rows(units, chosen, classes, k, text, percent), "index")
+    index = materialize(index_rows(units, chosen, classes, k, text, percent), "index", passing)
     sets = index.where("key is null").select("node", "n", "bits", "shingles")
     keys = index.where("key is not null").select("key", "node")
     star = (keys.join(keys.groupBy("key").agg(F.min("node").alias("a")), "key").where("a != node")
             .select("a", F.col("node").alias("b")).distinct())
-    edges = materialize(linked(star, sets, percent), "links")
+    edges = materialize(linked(star, sets, percent), "links", passing)
     labels = components(edges)
-    more = materialize(linked(residual_pairs(keys, sets, labels, percent), sets, percent), "links")
+    more = materialize(linked(residual_pairs(keys, sets, labels, percent, passing), sets, percent), "links", passing)
     if more.limit(1).count():
         labels = components(edges.union(more))
+    discard(docs.sparkSession, passing)
     grouped = members.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
     return units, grouped
 

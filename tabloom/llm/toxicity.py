@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import materialize, release, utf8
+from tabloom.llm.suffix_dedup import LEVEL, to_ipc
 from tabloom.operators.selection import select_ranks
+from tabloom.session import cut_lineage
 
 BITS = 20                # hashed features: 2**BITS
 HEADS = (4, 5, 6)        # lengths of word beginnings, in bytes
@@ -148,6 +150,37 @@ def with_score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "
     A narrow pass over whole texts, each of which goes through Python once
     (and not back without ``keep_text``).  ``column`` replaces one of its name.
     """
+    df, run, row_type, columns = scoring(docs, members, prior, text, column, keep_text)
+    return df.mapInArrow(run, f"row {row_type}, {'text string, ' if keep_text else ''}score double").select(*columns)
+
+
+def kept_scores(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text", column: str = "score") -> tuple[DataFrame, DataFrame]:
+    """:func:`with_score`, and only ``doc_id`` and ``column`` of it, both read from one pass that is kept.
+
+    The pass is kept as packed batches in a checkpoint, which Spark can delete
+    once neither frame is read any more.
+    """
+    df, run, row_type, columns = scoring(docs, members, prior, text, column)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_pydict({"blob": pa.array([to_ipc(b, LEVEL)], pa.binary())})
+
+    def opened(*fields: int):
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for blob in b.column("blob"):
+                    yield from pa.ipc.open_stream(blob.as_buffer(), options=pa.ipc.IpcReadOptions(included_fields=list(fields)))
+                release()
+        return read
+
+    blobs = cut_lineage(df.mapInArrow(pack, "blob binary"))
+    return (blobs.mapInArrow(opened(0, 1, 2), f"row {row_type}, text string, score double").select(*columns),
+            blobs.mapInArrow(opened(0, 2), f"row {row_type}, score double").select("row.doc_id", F.col("score").alias(column)))
+
+
+def scoring(docs: DataFrame, members: list, prior: float, text: str, column: str, keep_text: bool = True):
+    """What a scoring pass reads, its function of batches, the type of their ``row``, and the columns that they give."""
     kept = [c for c in docs.columns if c != column and (keep_text or c != text)]
     others = [c for c in kept if c != text]
     df = docs.select(F.struct(*others).alias("row") if others else F.lit(True).alias("row"), F.col(text).alias("text"))
@@ -176,9 +209,8 @@ def with_score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "
                 yield pa.RecordBatch.from_pydict({"row": b.column("row"), **back, "score": pa.array(out, pa.float64())})
             release()
 
-    scored = df.mapInArrow(run, f"row {row_type}, {'text string, ' if keep_text else ''}score double")
-    return scored.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept],
-                         F.col("score").alias(column))
+    columns = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept]
+    return df, run, row_type, [*columns, F.col("score").alias(column)]
 
 
 def score(docs: DataFrame, members: list, prior: float = 0.0, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -60,3 +60,22 @@ def test_odd_rows(spark):
         if name == "near_duplicates":
             assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 1, 2, 3, 4, 7, 8, 9, 10, 11]
         assert stage(spark, empty_docs(spark).withColumnRenamed("lang", "n_chars"), SMALL).count() == 0
+
+
+def test_stages_leave_no_copies_of_the_texts(spark, tmp_path, monkeypatch):
+    """What a stage keeps with texts is a checkpoint, which Spark can delete; index and links go at once."""
+    from tabloom import session
+    old, folder = session.checkpoint_dir(spark), f"{tmp_path}/kept"
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        base = [" ".join(f"w{(7 * i + j) % 997}x{i % 40}" for j in range(60)) for i in range(200)]
+        docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(base)], "doc_id long, text string, n_chars long")
+        clean = C.drop_toxic(spark, docs, SMALL)
+        once = C.drop_near_copies(spark, clean, SMALL)
+        rows = rows_of(once)
+    finally:
+        spark.sparkContext.setCheckpointDir(old)
+    assert 0 < len(rows) <= 200 and rows == rows_of(once)
+    tables = {p.name.rpartition("-")[0] for p in (tmp_path / "kept" / "tables").iterdir()}
+    assert not tables & {"scored", "units", "index", "links", "placed"} and "members" in tables
