@@ -38,7 +38,9 @@ ID_BITS = 40               # bits of a shingle's hash that are counted (collisio
 CLASS_FROM = (2, 4, 16, 64)   # smallest number of sets of classes 1, 2, ...; the last class is the frequent one
 FREQUENT = len(CLASS_FROM)
 BLOCK = 2048               # sets of one index key that meet in one block
+LONG_WORD = 64             # bytes; longer words are hashed one by one
 _U = np.uint64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,27 +49,72 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word, by a function without known families of collisions."""
-    own = {w: xxh3_64_intdigest(w) for w in set(words)}
-    return np.fromiter(map(own.__getitem__, words), _U, len(words))
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, start and end of each word in them, and each text's number of words."""
+    raw = np.frombuffer(b"\n".join([b"", *texts, bytes(8)]).lower(), np.uint8)
+    space = _SPACE[raw[:len(raw) - 8]]
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    bounds = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return raw, start, end, np.diff(np.searchsorted(start, bounds))
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, by functions without known families of collisions.
+
+    Words of up to LONG_WORD bytes advance together, eight bytes a step;
+    ``raw`` goes on for eight bytes behind the last one.
+    """
+    size = end - start
+    h = size.astype(_U)
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    at = np.flatnonzero(size <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - done, 8).astype(_U)
+        chunk = eight[start[at] + done].view("<u8").ravel() & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left))
+        h[at] = scramble(h[at] * _U(0x9E3779B97F4A7C15) + chunk)
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxh3_64_intdigest(raw[start[i]:end[i]])
+    return h
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A one-to-one function of 64 bits in which each bit depends on all."""
+    for _ in range(2):
+        x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+def chain(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a sequence of words that goes on with ``word``."""
+    return mix(h * _U(0x9E3779B97F4A7C15) + word)
 
 
 def _shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.lower().split() for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    if not n.sum():
+    raw, start, end, n = words_of(texts)
+    if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    word = word_hashes([x for w in words for x in w])
+    word = word_hashes(raw, start, end)
     first = np.cumsum(n) - n
     size = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
     doc = np.repeat(np.arange(len(texts)), size)
     i = np.repeat(first, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    long = np.minimum(n[doc], k)
-    h = long.astype(_U)
-    for j in range(k):              # a text of fewer words is one shingle of them all
+    every = np.full(max(len(word) - k + 1, 0), k, _U)       # the k words from each word on, across texts as well
+    for j in range(k):
+        every = chain(every, word[j:j + len(every)])
+    h = np.empty(len(doc), _U)
+    full = n[doc] >= k
+    h[full] = every[i[full]]
+    short = np.flatnonzero(~full)   # a text of fewer words is one shingle of them all
+    long = n[doc[short]]
+    own = long.astype(_U)
+    for j in range(k - 1):
         at = np.flatnonzero(long > j)
-        h[at] = mix(h[at] * _U(0x9E3779B97F4A7C15) + word[i[at] + j])
+        own[at] = chain(own[at], word[i[short[at]] + j])
+    h[short] = own
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])

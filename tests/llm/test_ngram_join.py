@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -131,3 +132,36 @@ def test_thue_morse_words_are_not_linked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.jaccard_components(docs, 5, 75).collect()}
     assert got == {i: (1, i) for i, _ in rows}
+
+
+def test_words_are_hashed_together():
+    """A text of more distinct words takes no more calls."""
+    def calls(n):
+        seen = []
+        texts = [" ".join(f"word{i}x{j}" for j in range(n)).encode() for i in range(3)]
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            N.shingle_sets(texts, 5)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+    calls(10)
+    assert calls(5000) < 2 * calls(50) + 50
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_shingles_of_odd_words_equal_brute_force(k):
+    """Words of every length, on both sides of the chunks of eight bytes and of LONG_WORD; texts without words between others."""
+    rng = random.Random(k)
+    texts = []
+    for _ in range(150):
+        words = ["".join(rng.choice("aAbB\0é") for _ in range(rng.choice((1, 2, 7, 8, 9, 16, 17, 40, 63, 64, 65, 66, 130))))
+                 for _ in range(rng.choice((0, 1, 2, 4, 5, 6, 30)))]
+        words += words[:rng.randrange(10)]
+        texts.append(rng.choice((" ", "\n", "\x0b", "\x0c", " \t", "\x1c ", "\x85 ")).join(words) + rng.choice(("", " ", "\r")))
+    doc, h = N.shingle_sets([t.encode() for t in texts], k)
+    sets = [shingles(t, k) for t in texts]
+    assert np.bincount(doc, minlength=len(texts)).tolist() == [len(s) for s in sets]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(h[doc == i], h[doc == j])) == len(sets[i] & sets[j])
