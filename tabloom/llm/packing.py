@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.bpe import Pieces
+from tabloom.llm.bpe import Encoder
 from tabloom.llm.common import materialize, parallel, release
 from tabloom.llm.hilbert import hilbert_index
 from tabloom.llm.suffix_dedup import groups
@@ -61,10 +60,10 @@ def tokenized(docs: DataFrame, path: str, ranks: str | None, text: str) -> DataF
     row_type = df.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, lambda ids: struct.pack(f"<{len(ids)}H", *ids), b"".join, limit=WORDS, ranks=ranks)
+        encoder = Encoder(path, WORDS, ranks)
         end = np.array([END], "<u2").tobytes()
         for b in batches:
-            blobs = [pieces.of(t or "") + end for t in b.column("t").to_pylist()]
+            blobs = [x + end for x in encoder.of([t or "" for t in b.column("t").to_pylist()])]
             ids = [np.frombuffer(x, "<u2") for x in blobs]
             yield pa.RecordBatch.from_pydict({
                 "row": b.column("row"), "ids": pa.array(blobs, pa.binary()),

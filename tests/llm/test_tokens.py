@@ -9,8 +9,9 @@ import pytest
 from tests.conftest import SMALL
 from tests.llm.cases import empty_docs, odd_docs, odd_texts
 
+from tabloom.llm import bpe
 from tabloom.llm import queries as Q
-from tabloom.llm.bpe import Pieces
+from tabloom.llm.bpe import Encoder, Pieces
 from tabloom.llm.hilbert import hilbert_index
 from tabloom.llm.packing import pack
 from tabloom.llm.token_counts import count_tokens
@@ -36,6 +37,37 @@ def test_cache_equals_library(library, ranks):
         assert pieces.of(t) == tuple(ids(library, t)), repr(t)
 
 
+@pytest.mark.parametrize("ranks", [None, Q.vocabulary("byte_bpe_50k.tiktoken")])
+def test_encoder_equals_library(library, monkeypatch, ranks):
+    """Texts of many kinds in one batch; the cache is soon full, and a part holds few texts."""
+    monkeypatch.setattr(bpe, "TOGETHER", 300)
+    rng = random.Random(8)
+    alphabet = "   abcXYZ 0129.,!?'’\n\t\r\x0b\x0c\x1c\x1f\xa0éßñçÉ  　あ²½́\U0001f600-_<|>"
+    plain = "abcXYZ01.,!?'’éß-_<|> \n"
+    texts = ["", " ", "\n", "a", "a b", "a\nb", "a \nb", "a <|endoftext|> b", "a\n\nb c", "a\xa0b \xa0c d"]
+    for i in range(1500):
+        words = ["".join(rng.choice(alphabet if i % 3 == 0 else plain[:-2]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(25))]
+        texts.append("".join(w + rng.choice(" \n") for w in words).strip(rng.choice(" x")))
+    encoder = Encoder(Q.vocabulary(), 50, ranks)
+    for s in range(0, len(texts), 100):
+        for t, x in zip(texts[s:s + 100], encoder.of(texts[s:s + 100]), strict=True):
+            assert np.frombuffer(x, "<u2").tolist() == ids(library, t), repr(t)
+    assert len(encoder.rows) == 50 and len(encoder.bounds) == 51
+    assert encoder.of([]) == []
+
+
+def test_new_words_are_encoded_together(library):
+    """Words that the cache has no room for cost no call of the tokenizer each."""
+    encoder = Encoder(Q.vocabulary(), 100, Q.vocabulary("byte_bpe_50k.tiktoken"))
+    calls, ranks = [], encoder.pieces.ranks
+    encoder.pieces.ranks = lambda t: calls.append(t) or ranks(t)
+    texts = [" ".join(f"{chr(97 + i % 26)}{j}x{i}" for j in range(50)) for i in range(200)]
+    for _ in range(2):
+        calls.clear()
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.of(texts)] == [ids(library, t) for t in texts]
+        assert len(calls) < 3 * len(texts) + 10      # the first word of each text is cut into its pieces
+
+
 def test_counts_equal_library(spark, library):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
