@@ -55,6 +55,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def apart(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt anew, so that Python steps before and after run in different tasks.
+
+    Steps of one task each need a worker at the same time, and executors keep
+    all the workers that any task needed.
+    """
+    return df.repartition(*by)
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     col = batch.column(name)

@@ -54,6 +54,16 @@ def window_blocks(items: DataFrame, n: int, block_bytes: int) -> Iterator[dict[b
         yield block
 
 
+def normalized(batch: pa.RecordBatch) -> tuple[list[bytes], pa.Array]:
+    """Each text's words, one space around each, and their number."""
+    norm, n = [], []
+    for t in utf8(batch, "text"):
+        w = words_of(t)
+        norm.append(b" " + b" ".join(w) + b" ")
+        n.append(len(w))
+    return norm, pa.array(n, pa.int64())
+
+
 def _search_block(block: dict[bytes, list[str]]):
     """A mapInArrow function that adds the block's hits to every row."""
     patterns = list(block)
@@ -63,7 +73,7 @@ def _search_block(block: dict[bytes, list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = WuManber(patterns)
         for batch in batches:
-            norm = [b" " + b" ".join(words_of(t)) + b" " for t in utf8(batch, "text")]
+            norm, n = normalized(batch)
             starts = np.cumsum([0] + [len(x) + 1 for x in norm])
             buf = b"\n".join(norm)
             at, which = engine.search(buf)
@@ -79,13 +89,20 @@ def _search_block(block: dict[bytes, list[str]]):
                 spans[d] = merged([(s["first"], s["last"]) for s in spans[d]]
                                   + [(int(f), int(f) + lengths[w]) for f, w in zip(first, which[part])])
                 items[d] = sorted({*items[d], *(o for w in set(which[part].tolist()) for o in owners[w] if o is not None)})
-            out = {"row": batch.column("row"), "text": batch.column("text"),
+            out = {"row": batch.column("row"), "text": batch.column("text"), "n_words": n,
                    "hits": pa.array(spans, batch.schema.field("hits").type),
                    "items": pa.array(items, batch.schema.field("items").type)}
             yield pa.RecordBatch.from_pydict(out)
     return run
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their number of words, where there is nothing to search for."""
+    for b in batches:
+        at = b.schema.get_field_index("n_words")
+        yield b.set_column(at, b.schema.field(at), normalized(b)[1])
+
+
 def merged(spans: list[tuple[int, int]]) -> list[dict]:
     """Union of half-open word ranges, in order."""
     out: list[list[int]] = []
@@ -113,21 +130,13 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "
     are searched like any others, and empty tables give no hits.
     """
     kept = [c for c in docs.columns if c not in (text, "n_words", "hits", "items")]
-    df = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"),
+    df = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"), F.lit(None).cast("long").alias("n_words"),
                      F.array().cast(SPANS).alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = df.schema
-    for block in window_blocks(items.select("item_id", F.col("text")), n, block_bytes):
-        df = df.mapInArrow(_search_block(block), schema)
-
-    def count(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({
-                "row": b.column("row"), "text": b.column("text"), "n_words": pa.array([len(words_of(t)) for t in utf8(b, "text")], pa.int64()),
-                "hits": b.column("hits"), "items": b.column("items")})
-
-    row_type = df.schema["row"].dataType.simpleString()
-    out = df.mapInArrow(count, f"row {row_type}, text string, n_words long, hits {SPANS}, items array<string>")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("text").alias(text), "n_words", "hits", "items")
+    passes = [_search_block(block) for block in window_blocks(items.select("item_id", F.col("text")), n, block_bytes)]
+    for search in passes or [_count]:       # a search counts the words as well: a pass of its own would need a worker of its own
+        df = df.mapInArrow(search, schema)
+    return df.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("text").alias(text), "n_words", "hits", "items")
 
 
 def hit_words(hits="hits"):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from tabloom.llm.common import discard, materialize, parallel, release
+from tabloom.llm.common import apart, discard, materialize, parallel, release
 from tabloom.llm.components import components
 from tabloom.llm.suffix_dedup import doc_bucket, from_ipc, groups, mix, pack, runs_of, slices, to_ipc, unpack
 from tabloom.session import cut_lineage
@@ -38,6 +38,7 @@ ID_BITS = 40               # bits of a shingle's hash that are counted (collisio
 CLASS_FROM = (2, 4, 16, 64)   # smallest number of sets of classes 1, 2, ...; the last class is the frequent one
 FREQUENT = len(CLASS_FROM)
 BLOCK = 2048               # sets of one index key that meet in one block
+MEET = 1 << 18             # pairs of a block that are compared at once
 LONG_WORD = 64             # bytes; longer words are hashed one by one
 _U = np.uint64
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -321,10 +322,10 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(test(b), pa.bool_()))
         return run
 
-    for test, value in ((screen, "bits"), (decide, "shingles")):
+    for k, (test, value) in enumerate(((screen, "bits"), (decide, "shingles"))):
         a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(value).alias("xa"))
         b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(value).alias("xb"))
-        pairs = pairs.join(a, "a").join(b, "b").mapInArrow(keep(test), "a long, b long")
+        pairs = (apart(pairs, "a", "b") if k else pairs).join(a, "a").join(b, "b").mapInArrow(keep(test), "a long, b long")
     return pairs
 
 
@@ -364,19 +365,20 @@ def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         name, first, local = np.unique(node, return_index=True, return_inverse=True)
         size, n_of = np.array([len(bits[i]) for i in first]), n[first]
         codes: list[np.ndarray] = []
-        waiting = 0
+        waiting, most = 0, 2 * MEET
         for _, g in groups(run):
             a = g[own[g] == lo[g[0]]]
             b = g[own[g] == hi[g[0]]]
-            for rows_a in np.array_split(a, -(-len(a) * len(b) // (1 << 20))) if len(b) and len(a) else []:
+            for rows_a in np.array_split(a, -(-len(a) * len(b) // MEET)) if len(b) and len(a) else []:
                 ok = ((label[rows_a][:, None] != label[b]) & (100 * np.minimum(n[rows_a][:, None], n[b])
                                                               >= percent * np.maximum(n[rows_a][:, None], n[b])))
                 i, j = np.nonzero(ok)
                 x, y = local[rows_a[i]], local[b[j]]
                 codes.append(np.minimum(x, y) * len(name) + np.maximum(x, y))
                 waiting += len(i)
-            if waiting > 1 << 21:       # pairs recur under many keys
+            if waiting > most:       # pairs recur under many keys
                 codes, waiting = [np.unique(np.concatenate(codes))], 0
+                most = min(max(len(codes[0]), 2 * MEET), 8 * MEET)
         pair = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         x, y = pair // len(name), pair % len(name)
         least = np.minimum(size[x], size[y])
@@ -399,8 +401,8 @@ def residual_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
 
     rows = rows.select(deal.alias("deal"), "key", "lo", "hi", "own", "node", "label", "n", "bits")
-    return (rows.groupBy("deal").applyInArrow(meet, "bucket long, blob binary")
-            .groupBy("bucket").applyInArrow(once, "a long, b long"))
+    return apart(rows.groupBy("deal").applyInArrow(meet, "bucket long, blob binary")
+                 .groupBy("bucket").applyInArrow(once, "a long, b long"), "a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text") -> DataFrame:

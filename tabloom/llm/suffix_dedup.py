@@ -29,11 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabloom.llm.common import parallel, release
 
 GRAM = 16                    # leading bytes that place a suffix
-CHUNK = 1 << 20              # bytes that the anchor search handles at once
+CHUNK = 1 << 19              # bytes that the anchor search handles at once
 PART_BYTES = 3 << 20         # text bytes of a batch's part, within which equal strings are settled at once
 BUCKET_SUFFIXES = 100_000    # suffixes that a bucket is planned for
 LEVEL = 4                    # zstd level of what holds text
@@ -52,7 +54,7 @@ def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
         p = np.ones(1, _U)
         while len(p) < n:
             p = np.concatenate([p, p * (p[-1:] * base)])
-        _powers[which] = p
+        _powers[which] = p = p[:max(n, CHUNK + 2)].copy()
     return p[:n]
 
 
@@ -397,11 +399,27 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
     """
     kept = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     docs = docs.select(*kept)
+
+    def result(b: pa.RecordBatch, rest: list[bytes], sizes: list[int], spans: list[int]) -> pa.Table:
+        n_removed = [n - len(r) for n, r in zip(sizes, rest)]
+        return pa.table({**{c: b.column(c) for c in kept}, "kept": pa.array(rest, pa.binary()), "n_bytes": pa.array(sizes, pa.int64()),
+                         "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())})
+
+    new = {"kept": T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, t) for c, t in new.items()]])
+    return removal(docs, width, text, result, schema)
+
+
+def removal(docs: DataFrame, width: int, text: str, result, schema: T.StructType) -> DataFrame:
+    """What ``result`` makes of each batch of rows, the bytes kept of its texts, their sizes before and their removed runs.
+
+    It is called where the ranges meet the documents, so no further Python
+    worker has to stand beside that one.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = parallel(docs)
     plan = Plan(sample_anchors(docs, text, total, width), total * 2 // (width - GRAM + 2), 4 * parts)
     n_docs = max(4 * parts, total // (8 << 20))
-    in_schema = docs.schema
     row = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     def ids_of(batch) -> np.ndarray:
@@ -463,7 +481,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
         for x in t.filter(pc.equal(t.column("kind"), 0)).column("blob"):
             b = from_ipc(x.as_py()).combine_chunks()
             texts = texts_of(b)
-            kept_bytes, removed, spans = [], [], []
+            kept_bytes, spans = [], []
             for k, raw in zip(zip(ids_of(b).tolist(), doc_hash(texts).tolist()), texts):
                 ranges = np.array(gone.get(k, []), np.int64).reshape(-1, 2)
                 if k in repeated and len(raw) >= width:
@@ -476,18 +494,11 @@ def remove_repeats(docs: DataFrame, width: int = 100, text: str = "text") -> Dat
                     at = z
                 rest.append(raw[at:])
                 kept_bytes.append(b"".join(rest))
-                removed.append(len(raw) - len(kept_bytes[-1]))
                 spans.append(len(s))
-            new = {"kept": pa.array(kept_bytes, pa.binary()), "n_bytes": pa.array([len(r) for r in texts], pa.int64()),
-                   "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
-            out.append(pa.table({**{c: b.column(c) for c in kept}, **new}))
+            out.append(result(b, kept_bytes, [len(t) for t in texts], spans))
         return pa.concat_tables(out) if out else empty
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in in_schema.fields)
-    schema = f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    empty = pa.schema([*to_arrow_schema(in_schema), ("kept", pa.binary()), ("n_bytes", pa.int64()),
-                       ("n_removed", pa.int64()), ("n_spans", pa.int64())]).empty_table()
+    empty = to_arrow_schema(schema).empty_table()
     pair = "bucket long, blob binary"
     ranges = (docs.select("doc_id", text).mapInArrow(suffixes, pair)
               .groupBy("bucket").applyInArrow(sort_bucket, pair).withColumn("kind", F.lit(1)))
@@ -502,19 +513,15 @@ def without_repeats(docs: DataFrame, width: int = 100, text: str = "text", n_cha
     stay null; a column ``n_chars`` follows the new text.
     """
     cols = docs.columns
-    result = remove_repeats(docs, width, text)
 
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(b.column("gone").to_pylist(), b.column("kept").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "text": pa.array(new, pa.string())})
-
-    df = result.select(F.struct(*[c for c in cols if c != text], F.lit(0).alias("_")).alias("row"),
-                       F.when(F.col(text).isNotNull(), F.lit(1)).alias("gone"), "kept")
-    row_type = df.schema["row"].dataType.simpleString()
-    out = df.mapInArrow(restore, f"row {row_type}, text string")
-    value = {text: F.col("text"), n_chars: F.length("text").cast(docs.schema[n_chars].dataType) if n_chars in cols else None}
-    return out.select(*[value[c].alias(c) if c in value else F.col("row").getField(c).alias(c) for c in cols])
+    def result(b: pa.RecordBatch, rest: list[bytes], sizes: list[int], spans: list[int]) -> pa.Table:
+        new = [r.decode("utf-8", "ignore") if there else None for r, there in zip(rest, b.column(text).is_valid().to_pylist())]
+        return pa.table({c: pa.array(new, pa.string()) if c == text else b.column(c) for c in cols})
+
+    out = removal(docs, width, text, result, docs.schema)
+    if n_chars not in cols:
+        return out
+    return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
 
 
 def digest(result: DataFrame) -> DataFrame:

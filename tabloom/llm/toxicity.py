@@ -73,6 +73,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
     features = Features()
     rows = [np.fromiter(features.of(t), np.int32) for part in (positive, unlabelled) for t in part]
     features.clear()
+    release()
     held = np.bincount(np.concatenate(rows[:len(positive)] or [np.zeros(0, np.int32)]), minlength=1 << BITS)
     used = np.flatnonzero(held >= min(LEAST_POSITIVES, max(1, len(positive) // 4)))
     place = np.full(1 << BITS, -1, np.int32)

@@ -79,3 +79,38 @@ def test_stages_leave_no_copies_of_the_texts(spark, tmp_path, monkeypatch):
     assert 0 < len(rows) <= 200 and rows == rows_of(once)
     tables = {p.name.rpartition("-")[0] for p in (tmp_path / "kept" / "tables").iterdir()}
     assert not tables & {"scored", "units", "index", "links", "placed"} and "members" in tables
+
+
+def workers_at_once(plan):
+    """The most Python nodes that one task of a plan runs: of the whole plan, and above its highest exchanges."""
+    parts = [workers_at_once(plan.children().apply(i)) for i in range(plan.children().size())]
+    most = max([p[0] for p in parts], default=0)
+    name = plan.nodeName()
+    if "Exchange" in name:
+        return most, 0
+    here = [p[1] for p in parts]
+    here = (max if name == "Union" else sum)(here or [0]) + ("InArrow" in name)
+    return max(most, here), here
+
+
+def test_a_task_needs_one_python_worker(spark):
+    """Executors keep every worker that a task ever needed beside the heap, so steps of one task add up."""
+    from pyspark.sql import functions as F
+    from tabloom.llm.decontaminate import benchmark_hits
+    from tabloom.llm.ngram_join import linked, residual_pairs
+    from tabloom.llm.suffix_dedup import remove_repeats, without_repeats
+    docs = spark.createDataFrame([(1, "a b c " * 50, 300), (2, None, None)], "doc_id long, text string, n_chars int")
+    items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    sets = spark.createDataFrame([(1, 1, b"", b"")], "node long, n long, bits binary, shingles binary")
+    pairs = spark.createDataFrame([(1, 1)], "a long, b long")
+    keys, labels = sets.select("node", F.col("n").alias("key")), sets.select("node", F.col("node").alias("label"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frames = {"without": without_repeats(docs), "remove": remove_repeats(docs), "search": benchmark_hits(docs, items),
+                  "count": benchmark_hits(docs, items.limit(0)), "star": linked(pairs, sets, 75),
+                  "residual": linked(residual_pairs(keys, sets, labels, 75, []), sets, 75)}
+        found = {k: workers_at_once(df._jdf.queryExecution().executedPlan())[0] for k, df in frames.items()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert set(found.values()) == {1}, found
