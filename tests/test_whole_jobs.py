@@ -52,3 +52,20 @@ def test_registered_sizes_are_the_reference_s(monkeypatch):
     assert calls["cross_validate"][0][0] == calls["cross_validate"][0][-1] == 5
     assert calls["simple_tuning"][1]["n_trials"] == 50 and calls["simple_tuning"][1]["k"] == 3
     assert [calls["nested_cv_tuning"][1][k] for k in ("outer", "inner", "n_trials")] == [5, 3, 50]
+
+
+def test_train_and_test_rows_are_predicted_once(spark, monkeypatch):
+    """Metrics and verdict come from one pass over the predictions."""
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def guess(x):
+        rows.add(1)
+        return x + 1.0
+
+    data = spark.range(40).select(F.col("id").cast("double").alias("l_extendedprice"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    monkeypatch.setattr(Q, "_prepared", lambda spark, sf: (data, ["l_extendedprice"]))
+    monkeypatch.setattr(Q.M, "train_gbt", lambda *a: None)
+    monkeypatch.setattr(Q.M, "predict", lambda model, df: df.withColumn("prediction", guess("l_extendedprice")))
+    got = Q.train_test_metrics(spark, SMALL).collect()
+    assert sorted((r.split, r.n, r.mae) for r in got) == [("test", 10, 1.0), ("train", 30, 1.0)] and rows.value == 40
